@@ -1,6 +1,6 @@
 """All registered queries with their oracle SQL."""
 
-from . import q_profile  # noqa: F401 - registers on import
+from . import q_blueprint, q_profile  # noqa: F401 - registers on import
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -35,11 +35,10 @@ def read_csv_encoded(spark: SparkSession, path: str) -> DataFrame:
     return raw.join(judged, "file").select("file", F.regexp_replace(text, "^﻿", "").alias("value"))
 
 
-def _split_line(line: Column, width: int, sep: str) -> Column:
-    """Fields of one line, or null when their number is not ``width``."""
+def _parse_line(line: Column, width: int, sep: str) -> Column:
+    """Struct of the fields of one line; ``_bad`` is set when their number is not ``width``."""
     schema = ", ".join(f"c{i} string" for i in range(width)) + ", _bad string"
-    parsed = F.from_csv(line, schema, {"sep": sep, "columnNameOfCorruptRecord": "_bad", "quote": '"', "escape": '"'})
-    return F.when(parsed["_bad"].isNull(), F.array(*[parsed[f"c{i}"] for i in range(width)]))
+    return F.from_csv(line, schema, {"sep": sep, "columnNameOfCorruptRecord": "_bad", "quote": '"', "escape": '"'})
 
 
 def read_csv_mixed(spark: SparkSession, path: str, infer: bool = True, on_bad: str = "fail") -> DataFrame:
@@ -57,18 +56,21 @@ def read_csv_mixed(spark: SparkSession, path: str, infer: bool = True, on_bad: s
     names = next(csv.reader([header], delimiter=sep, quotechar='"'))
     value = F.col("value")
     body = lines.where((F.trim(value) != "") & (value != F.lit(header)))
-    comma, semi = _split_line(value, len(names), ","), _split_line(value, len(names), ";")
-    semi_first = F.regexp_count(value, F.lit(";")) > F.regexp_count(value, F.lit(","))
-    fields = F.when(semi_first, F.coalesce(semi, comma)).otherwise(F.coalesce(comma, semi))
-    split = body.select("value", fields.alias("_f"))
+    comma, semi = _parse_line(value, len(names), ","), _parse_line(value, len(names), ";")
+    # Two steps, so that each line is parsed once unless the first delimiter fails.
+    split = body.select("value", (F.regexp_count(value, F.lit(";")) > F.regexp_count(value, F.lit(","))).alias("_semi"))
+    split = split.select("value", "_semi", F.when(F.col("_semi"), semi).otherwise(comma).alias("_f"))
+    good = F.col("_f._bad").isNull()
+    split = split.select("value", F.when(good, F.col("_f")).when(F.col("_semi"), comma).otherwise(semi).alias("_f"))
     if on_bad == "only":
-        return split.where(F.col("_f").isNull()).select("value")
+        return split.where(~good).select("value")
     if on_bad == "drop":
-        split = split.where(F.col("_f").isNotNull())
+        split = split.where(good)
     else:
-        split = split.withColumn("_f", F.coalesce("_f", F.raise_error(
-            F.concat(F.lit("line fits neither delimiter: "), F.substring(value, 1, 120))).cast("array<string>")))
-    table = split.select(*[F.col("_f")[i].alias(n) for i, n in enumerate(names)])
+        message = F.concat(F.lit("line fits neither delimiter: "), F.substring(value, 1, 120))
+        split = split.withColumn("_f", F.when(good, F.col("_f")).otherwise(
+            F.raise_error(message).cast(split.schema["_f"].dataType)))
+    table = split.select(*[F.col("_f")[f"c{i}"].alias(n) for i, n in enumerate(names)])
     return infer_types(table) if infer else table
 
 
