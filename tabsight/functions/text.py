@@ -29,14 +29,18 @@ def quoted(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def let(value: Column, then) -> Column:
+    """``then(value)`` with the value computed once, however often ``then`` uses it."""
+    return F.transform(F.array(value), then)[0]
+
+
 def strip(c: Column) -> Column:
     return F.regexp_replace(c, r"^\s+|\s+$", "")
 
 
 def to_number(c: Column) -> Column:
     """Strict numeric text to double, else null (Java suffixes such as '1d' are not numbers)."""
-    t = strip(c.cast("string"))
-    return F.when(t.rlike(NUMBER), t.try_cast("double"))
+    return let(strip(c.cast("string")), lambda t: F.when(t.rlike(NUMBER), t.try_cast("double")))
 
 
 def null_text(c: Column) -> Column:
@@ -76,23 +80,26 @@ def has_token(tokens: Column, words) -> Column:
 def money_text(c: Column) -> Column:
     """Money text to plain number text: brackets are minus, the last separator decides the decimals."""
     t = F.regexp_replace(strip(c), r"^\((.+)\)$", r"-$1")
-    t = F.regexp_replace(t, f"[{MONEY_SYMBOLS}\\s]", "")
-    t = F.regexp_replace(t, r"(?i)^rs\.?", "")
+    t = F.regexp_replace(F.regexp_replace(F.translate(t, MONEY_SYMBOLS, ""), r"\s+", ""), r"(?i)^rs\.?", "")
     t = strip(F.regexp_replace(t, rf"(?i)\b(?:{MONEY_CODES})\b", ""))
-    sign = F.regexp_extract(t, r"^[+-]", 0)
-    body = F.regexp_replace(t, r"^[+-]", "")
-    comma, dot = body.contains(","), body.contains(".")
-    no_dots, no_commas = F.regexp_replace(body, r"\.", ""), F.regexp_replace(body, ",", "")
-    plain = (
-        F.when(comma & dot & body.rlike(r",[^.,]*$"), F.regexp_replace(no_dots, ",", "."))
-        .when(comma & dot, no_commas)
-        .when(comma & body.rlike(r",\d{2}$"), F.regexp_replace(F.regexp_replace(body, r",(?=.*,)", ""), ",", "."))
-        .when(comma, no_commas)
-        .when(dot & body.rlike(r"\.\d{3}$"), no_dots)
-        .when(dot, F.regexp_replace(body, r"\.(?=.*\.)", ""))
-        .otherwise(body)
-    )
-    return F.when(body != "", F.concat(sign, plain))
+
+    def plain(body):
+        comma, dot = body.contains(","), body.contains(".")
+        no_dots, no_commas = F.translate(body, ".", ""), F.translate(body, ",", "")
+        return (
+            F.when(comma & dot & body.rlike(r",[^.,]*$"), F.translate(no_dots, ",", "."))
+            .when(comma & dot, no_commas)
+            .when(comma & body.rlike(r",\d{2}$"), F.translate(F.regexp_replace(body, r",(?=.*,)", ""), ",", "."))
+            .when(comma, no_commas)
+            .when(dot & body.rlike(r"\.\d{3}$"), no_dots)
+            .when(dot, F.regexp_replace(body, r"\.(?=.*\.)", ""))
+            .otherwise(body))
+
+    def signed(text):
+        body = F.regexp_replace(text, r"^[+-]", "")
+        return F.when(body != "", F.concat(F.regexp_extract(text, r"^[+-]", 0), let(body, plain)))
+
+    return let(t, signed)
 
 
 def parse_money(c: Column) -> Column:
