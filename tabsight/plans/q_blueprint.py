@@ -19,12 +19,17 @@ CATALOG = {
     "messy_sales": {"order_id": "bigint", "amount": "string", "status": "string", "priority": "string",
                     "segment": "string", "order_date": "string", "quantity": "double", "unit_price": "double",
                     "discount_rate": "double", "tax": "double", "sales": "double", "active": "string"},
+    "sales": {"order_id": "bigint", "region": "string", "customer_segment": "string", "product_category": "string",
+              "sales_representative": "string", "units_sold": "double", "net_sales": "double", "profit": "double",
+              "profit_margin": "double", "discount_percentage": "double", "shipping_cost": "double", "returned": "boolean"},
 }
 _profiles = {}
 
 
 def _load(spark, d, name):
-    return messy_sales(spark, d, *CATALOG[name]) if name == "messy_sales" else table(spark, d, name)
+    if name == "messy_sales":
+        return messy_sales(spark, d, *CATALOG[name])
+    return sales(spark, d, *CATALOG[name]) if name == "sales" else table(spark, d, name)
 
 
 def catalog_profile(spark, d):
@@ -61,7 +66,7 @@ def _profile_sql(t, schema):
               {q}[3] AS p95""")
         else:
             extra = "false AS has_outliers, NULL AS s, NULL AS ku, 0.0 AS max_abs_r, 0 AS partners, NULL AS p95"
-        hint = "false" if c in numbers else "true"
+        hint = "false" if c in numbers or k == "boolean" else "true"
         parts.append(f"""SELECT '{t}' AS table_name, '{c}' AS "column", '{k}' AS dtype, count(*) AS "rows",
             count(*) - count("{c}") AS missing_count, round((count(*) - count("{c}")) * 100.0 / count(*), 2) AS missing_pct,
             count(DISTINCT "{c}") + max(CAST("{c}" IS NULL AS INT)) AS unique_count, {firsts} AS firsts,
@@ -91,7 +96,7 @@ def _has(words):
     return f"list_has_any(tokens, {_words(words.split())})"
 
 
-PROFILE_SQL = f"""WITH {MESSY_SQL}, raw AS ({' UNION ALL '.join(_profile_sql(t, s) for t, s in CATALOG.items())}),
+PROFILE_SQL = f"""WITH {MESSY_SQL}, {SALES_SQL}, raw AS ({' UNION ALL '.join(_profile_sql(t, s) for t, s in CATALOG.items())}),
 prof AS (SELECT *, unique_count / "rows" AS cardinality_ratio,
     unique_count / "rows" >= 0.95 AND missing_count = 0 AND "rows" > 1 AS candidate_key_hint,
     regexp_extract_all(lower("column"), '[a-z0-9]+') AS tokens, list_slice(coalesce(firsts, []), 1, 3) AS samples,
@@ -102,7 +107,7 @@ prof AS (SELECT *, unique_count / "rows" AS cardinality_ratio,
     hinted AND ("column" = 'id' OR ends_with("column", '_id') OR starts_with("column", 'id_')) AS identifier_like,
     coalesce(abs(s) <= 0.5 AND abs(ku) <= 1, false) AS is_normal FROM raw),
 typed AS (SELECT *, CASE WHEN dtype IN ('bigint', 'int', 'double') THEN 'numeric' WHEN dtype = 'timestamp_ntz' THEN 'datetime'
-    WHEN numeric_pct >= 80 THEN 'numeric' WHEN datetime_pct >= 80 THEN 'datetime' ELSE 'string' END AS inferred_type FROM prof),
+    WHEN dtype = 'boolean' THEN 'boolean' WHEN numeric_pct >= 80 THEN 'numeric' WHEN datetime_pct >= 80 THEN 'datetime' ELSE 'string' END AS inferred_type FROM prof),
 tagged AS (SELECT *, CASE WHEN inferred_type = 'numeric' THEN 'float' ELSE inferred_type END AS intended_type, CASE
     WHEN inferred_type = 'datetime' OR datetime_pct >= 80 OR {_has('date time timestamp created updated')} THEN 'datetime'
     WHEN (inferred_type = 'numeric' OR currency_like) AND ({_has(TAGS['currency'])} OR currency_like) THEN 'currency'
@@ -123,7 +128,7 @@ suited AS (SELECT *, round((1 - unique_count / "rows") * 100, 2) AS duplicate_pr
 policy AS (SELECT *, CASE WHEN missing_pct <= 0 THEN 'none' WHEN semantic_tag = 'identifier' THEN 'drop_rows'
     WHEN semantic_tag = 'currency' THEN 'flag_only'
     WHEN semantic_tag = 'datetime' THEN CASE WHEN missing_pct >= 25 THEN 'flag_only' ELSE 'none' END
-    WHEN semantic_tag IN ('geographic', 'text') THEN 'flag_only' WHEN missing_pct >= 60 THEN 'drop_column'
+    WHEN semantic_tag IN ('geographic', 'text') THEN 'flag_only' WHEN semantic_tag = 'unknown' AND intended_type NOT IN ('float', 'boolean') THEN 'flag_only' WHEN missing_pct >= 60 THEN 'drop_column'
     WHEN semantic_tag = 'categorical_label' THEN CASE WHEN missing_pct >= 40 THEN 'flag_only'
       WHEN unique_count <= 5 AND missing_pct <= 15 AND len(list_distinct(list_transform(samples, lambda v: lower(trim(v))))) <= 2 THEN 'impute_mode'
       WHEN unique_count <= 20 AND missing_pct <= 25 THEN 'impute_unknown_label' ELSE 'flag_only' END

@@ -16,14 +16,14 @@ def _messy(spark, d, *columns):
 
 @query("clean_currency", f"""WITH {MESSY_SQL}
 SELECT substr(amount, 1, 1) AS first_char, count(*) AS n, CAST(count(*) FILTER (amount = 'abc') AS BIGINT) AS failed,
-  round(sum(CASE line % 4 WHEN 1 THEN true_amount WHEN 2 THEN true_amount WHEN 3 THEN -true_amount END), 1) AS total,
+  round(sum(CASE line % 4 WHEN 1 THEN true_amount WHEN 2 THEN true_amount WHEN 3 THEN -true_amount END), 4) AS total,
   min(CASE line % 4 WHEN 1 THEN true_amount WHEN 2 THEN true_amount WHEN 3 THEN -true_amount END) AS lowest,
   max(CASE line % 4 WHEN 1 THEN true_amount WHEN 2 THEN true_amount WHEN 3 THEN -true_amount END) AS highest
 FROM messy_sales GROUP BY 1""")
 def _(spark, d):
     m = _messy(spark, d, "amount").withColumn("first_char", F.substring("amount", 1, 1))
     return K.clean_currency(m, ["amount"]).groupBy("first_char").agg(
-        F.count("*").alias("n"), F.sum("amount_parse_failed").alias("failed"), F.round(F.sum("amount"), 1).alias("total"),
+        F.count("*").alias("n"), F.sum("amount_parse_failed").alias("failed"), F.round(F.sum("amount"), 4).alias("total"),
         F.min("amount").alias("lowest"), F.max("amount").alias("highest"))
 
 
@@ -267,12 +267,12 @@ def _(spark, d):
   quantile_cont(net_sales, [0.05, 0.95]) AS s FROM sales),
 c AS (SELECT product_category, units_sold, net_sales, least(greatest(net_sales, s[1]), s[2]) AS clipped,
   net_sales < s[1] OR net_sales > s[2] AS hit FROM sales, b)
-SELECT product_category, count(*) AS n, round(sum(clipped), 1) AS clipped, round(sum(net_sales), 1) AS raw,
+SELECT product_category, count(*) AS n, round(sum(clipped), 4) AS clipped, round(sum(net_sales), 4) AS raw,
   count(*) FILTER (hit) AS was_clipped FROM c GROUP BY 1""")
 def _(spark, d):
     out = K.clip_outliers(sales(spark, d, "product_category", "net_sales"), ["net_sales"], risk="high")
     return out.groupBy("product_category").agg(
-        F.count("*").alias("n"), F.round(F.sum("net_sales"), 1).alias("clipped"), F.round(F.sum("net_sales_raw"), 1).alias("raw"),
+        F.count("*").alias("n"), F.round(F.sum("net_sales"), 4).alias("clipped"), F.round(F.sum("net_sales_raw"), 4).alias("raw"),
         F.count_if("net_sales_was_clipped").alias("was_clipped"))
 
 
@@ -285,10 +285,10 @@ def _(spark, d):
                                                F.round(F.avg("cost_scaled"), 6).alias("cost"))
 
 
-@query("unscale_minmax", f"""WITH {SALES_SQL} SELECT product_category, round(sum(cost), 1) AS cost FROM sales GROUP BY 1""")
+@query("unscale_minmax", f"""WITH {SALES_SQL} SELECT product_category, round(sum(cost), 4) AS cost FROM sales GROUP BY 1""")
 def _(spark, d):
     scaled, params = K.scale_minmax(sales(spark, d, "product_category", "cost"), ["cost"], overwrite=True)
-    return K.unscale_minmax(scaled, params).groupBy("product_category").agg(F.round(F.sum("cost"), 1).alias("cost"))
+    return K.unscale_minmax(scaled, params).groupBy("product_category").agg(F.round(F.sum("cost"), 4).alias("cost"))
 
 
 @query("date_features", """SELECT year(o_orderdate) AS order_date_year, month(o_orderdate) AS order_date_month,
@@ -303,14 +303,14 @@ def _(spark, d):
 @query("derive_metrics", f"""WITH {SALES_SQL}, x AS (SELECT product_category, net_sales - cost AS p, (net_sales - cost) / net_sales * 100 AS m,
   net_sales / units_sold AS u, (epoch_us(ship_date) - epoch_us(order_date)) / 1e6 / 86400 AS days,
   cost + tax_amount AS c FROM sales)
-SELECT product_category, round(sum(p), 1) AS derived_profit, round(avg(m), 4) AS derived_profit_margin_pct,
+SELECT product_category, round(sum(p), 4) AS derived_profit, round(avg(m), 4) AS derived_profit_margin_pct,
   round(avg(u), 4) AS derived_revenue_per_unit, round(avg(days), 4) AS derived_days_to_ship,
   round(avg(c), 4) AS derived_total_cost_with_tax FROM x GROUP BY 1""")
 def _(spark, d):
     out, _ = K.derive_metrics(sales(spark, d, "product_category", "net_sales", "cost", "units_sold", "order_date", "ship_date",
                                     "tax_amount"), {"net_sales": "revenue"})
     return out.groupBy("product_category").agg(
-        F.round(F.sum("derived_profit"), 1).alias("derived_profit"),
+        F.round(F.sum("derived_profit"), 4).alias("derived_profit"),
         *[F.round(F.avg(c), 4).alias(c) for c in ("derived_profit_margin_pct", "derived_revenue_per_unit",
                                                   "derived_days_to_ship", "derived_total_cost_with_tax")])
 
@@ -321,10 +321,10 @@ DEDUP = ("order_id", "line", "status", "priority", "quantity", "sales")
 
 
 @query("dedup_exact", f"""WITH {MESSY_SQL}, d AS (SELECT DISTINCT {', '.join(DEDUP)} FROM messy_sales)
-SELECT status, count(*) AS n, round(sum(sales), 1) AS sales FROM d GROUP BY 1""")
+SELECT status, count(*) AS n, round(sum(sales), 4) AS sales FROM d GROUP BY 1""")
 def _(spark, d):
     return D.dedup_exact(_messy(spark, d, *DEDUP)).groupBy("status").agg(
-        F.count("*").alias("n"), F.round(F.sum("sales"), 1).alias("sales"))
+        F.count("*").alias("n"), F.round(F.sum("sales"), 4).alias("sales"))
 
 
 @query("dedup_canonical", f"""WITH {MESSY_SQL}, d AS (SELECT DISTINCT order_id // 50 AS block, {CANON_SQL.format('priority')} AS priority FROM messy_sales)

@@ -47,13 +47,13 @@ def _mixed_file(spark, d, ext=""):
 
 MIXED_SQL = """
 SELECT o_orderpriority || '; x' AS priority, count(*) AS n, CAST(sum(o_orderkey) AS BIGINT) AS keys,
-  round(sum(o_totalprice), 1) AS total, min(o_orderdate) AS first_day
+  round(sum(o_totalprice), 4) AS total, min(o_orderdate) AS first_day
 FROM orders GROUP BY 1"""
 
 
 def _mixed_totals(df):
     return df.groupBy("priority").agg(
-        F.count("*").alias("n"), F.sum("order_id").alias("keys"), F.round(F.sum("total"), 1).alias("total"),
+        F.count("*").alias("n"), F.sum("order_id").alias("keys"), F.round(F.sum("total"), 4).alias("total"),
         F.min("order_date").alias("first_day"))
 
 
@@ -68,13 +68,13 @@ def _(spark, d):
 
 
 @query("read_json_any", """
-SELECT c_mktsegment AS segment, count(*) AS n, round(sum(c_acctbal), 1) AS balance, CAST(sum(c_custkey) AS BIGINT) AS keys
+SELECT c_mktsegment AS segment, count(*) AS n, round(sum(c_acctbal), 4) AS balance, CAST(sum(c_custkey) AS BIGINT) AS keys
 FROM customer GROUP BY 1""")
 def _(spark, d):
     path = scratch_path(spark, "lines") + ".jsonl"
     table(spark, d, "customer").write.json(path)
     return R.read_json_any(spark, path).groupBy(F.col("c_mktsegment").alias("segment")).agg(
-        F.count("*").alias("n"), F.round(F.sum("c_acctbal"), 1).alias("balance"), F.sum("c_custkey").alias("keys"))
+        F.count("*").alias("n"), F.round(F.sum("c_acctbal"), 4).alias("balance"), F.sum("c_custkey").alias("keys"))
 
 
 @query("read_parquet", """
