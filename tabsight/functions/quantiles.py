@@ -24,16 +24,32 @@ def exact_quantiles(long: DataFrame, keys: list[str], value: str, probs: list[fl
                     opts: Options = DEFAULTS, bins: int = 512, rows: int | None = None) -> DataFrame:
     """One row per key with ``q``, the array of linear-interpolated quantiles.
 
-    The key combinations are result rows (columns, labels of a chosen dimension) and few. ``rows`` is an upper bound
-    on the input size when the caller knows one.
+    A key with few rows is a plain ``percentile`` over its group. Keys with more rows than that are few (at most the
+    table size over the limit), so their histograms and the driver's part of the search stay small, however many keys
+    there are. ``rows`` is an upper bound on the input size when the caller knows one.
     """
     clean = long.where(quoted(value).isNotNull())
-    grouped = clean.groupBy(*keys)
+    wanted = F.array(*[F.lit(float(p)) for p in probs])
+
+    def direct(df):
+        return df.groupBy(*keys).agg(F.percentile(quoted(value), wanted).alias("q"))
+
     if rows is None:
         rows = clean.count()
     if rows <= opts.in_memory_rows:
-        return grouped.agg(F.percentile(quoted(value), F.array(*[F.lit(float(p)) for p in probs])).alias("q"))
-    return _refine(clean, keys, value, probs, bins)
+        return direct(clean)
+    big = clean.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > opts.in_memory_rows).select(*keys).collect()
+    if not big:
+        return direct(clean)
+    table = clean.sparkSession.createDataFrame([tuple(r) for r in big], T.StructType([
+        T.StructField("_k_" + k, clean.schema[k].dataType) for k in keys]))
+    same = F.lit(True)
+    for k in keys:
+        same = same & quoted(k).eqNullSafe(quoted("_k_" + k))
+    # One row per big key: at most rows / in_memory_rows of them.
+    large = clean.join(F.broadcast(table), same, "left_semi")
+    small = clean.join(F.broadcast(table), same, "left_anti")
+    return _refine(large, keys, value, probs, bins).unionByName(direct(small))
 
 
 def _refine(clean, keys, value, probs, bins):

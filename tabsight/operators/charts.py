@@ -3,6 +3,7 @@
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.numbers import numeric_columns
+from ..functions.quantiles import exact_quantiles
 from ..functions.text import quoted
 from ..options import DEFAULTS, Options
 from .stats import box_stats, histogram
@@ -35,8 +36,7 @@ def chart_query(df: DataFrame, chart: str, x: str, y: str | None = None, group_b
     usable(y)
     rows = df.where(quoted(x).isNotNull()).groupBy(quoted(x).cast("string").alias("label"))
     if agg == "median":
-        from ..functions.quantiles import exact_quantiles
-        # The medians of all labels are a result row each; exact_quantiles never gathers a label in one task.
+        # A label of any size is safe: exact_quantiles searches big groups by histograms.
         long = df.select(quoted(x).cast("string").alias("label"), quoted(y).cast("double").alias("v")).dropna()
         out = exact_quantiles(long, ["label"], "v", [0.5], opts).select("label", F.col("q")[0].alias("value"))
     else:

@@ -83,7 +83,7 @@ class Options:
     top_fact_docs: int = 6
     chart_rows: int = 15
     # physical limits (they choose a method, never a result)
-    in_memory_rows: int = 2_000_000
+    in_memory_rows: int = 1_000_000
     chunk_rows: int = 5_000_000
     max_chunks: int = 4096
 
