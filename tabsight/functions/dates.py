@@ -21,10 +21,14 @@ DATE_FORMATS = [
 ]
 
 
+# What every supported date text begins with; one cheap test turns other texts away.
+_BEGINNING = r"^(\d{4}[-/]|\d{1,2}[-/ ]|[A-Z][a-z]{2} \d|\d{8}$)"
+
+
 def parse_datetime(c: Column) -> Column:
     """Text to timestamp_ntz by the first matching shape; null when no format fits."""
     t = strip(c.cast("string"))
     out = F.when(t.rlike(r"^\d{4}-\d{2}-\d{2}" + _CLOCK + "$"), t.try_cast("timestamp_ntz"))
     for shape, fmt in DATE_FORMATS:
         out = out.when(t.rlike(shape), F.try_to_timestamp(t, F.lit(fmt)).cast("timestamp_ntz"))
-    return out
+    return F.when(t.rlike(_BEGINNING), out)

@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from ..options import DEFAULTS, Options
 from .text import quoted
 
+COLLECT_VALUES = 50_000
+
 
 def melt(df: DataFrame, columns, keys=(), name: str = "column", value: str = "value") -> DataFrame:
     """Numeric columns to long form, nulls dropped; no shuffle."""
@@ -55,11 +57,11 @@ def exact_quantiles(long: DataFrame, keys: list[str], value: str, probs: list[fl
 def _refine(clean, keys, value, probs, bins):
     spark, v = clean.sparkSession, quoted(value)
     base = clean.groupBy(*keys).agg(F.count(v).alias("_n"), F.min(v).alias("_lo"), F.max(v).alias("_hi")).collect()
-    found = {}
-    open_brackets = {}
+    found, open_brackets, inside = {}, {}, {}
     for i, r in enumerate(base):
         wanted = {f(p * (r["_n"] - 1)) for p in probs for f in (math.floor, math.ceil)}
         open_brackets[(i, r["_lo"], r["_hi"], 0)] = wanted
+        inside[(i, r["_lo"], r["_hi"], 0)] = r["_n"]
     key_fields = [clean.schema[k] for k in keys]
     schema = T.StructType([T.StructField("_k_" + f.name, f.dataType) for f in key_fields] + [
         T.StructField("_b", T.IntegerType()), T.StructField("_lo", T.DoubleType()), T.StructField("_hi", T.DoubleType())])
@@ -71,12 +73,23 @@ def _refine(clean, keys, value, probs, bins):
         if not open_brackets:
             break
         order = list(open_brackets)
+        last = sum(inside[b] for b in order) <= COLLECT_VALUES
         table = spark.createDataFrame(
             [tuple(base[i][k] for k in keys) + (b, float(lo), float(hi)) for b, (i, lo, hi, _) in enumerate(order)], schema)
         on = (v.cast("double") >= F.col("_lo")) & (v.cast("double") <= F.col("_hi"))
         for k in keys:
             on = on & quoted(k).eqNullSafe(quoted("_k_" + k))
         share = (v.cast("double") - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))
+        if last:  # few values are left inside the brackets: fetch and count them out
+            rest = {}
+            for r in clean.join(F.broadcast(table), on).groupBy("_b", v.cast("double").alias("x")).agg(F.count("*").alias("n")).collect():
+                rest.setdefault(r["_b"], []).append((r["x"], r["n"]))
+            for b, key in enumerate(order):
+                seen = key[3]
+                for x, n in sorted(rest[b]):
+                    found.update({(key[0], k): x for k in open_brackets[key] if seen <= k < seen + n})
+                    seen += n
+            break
         # The bracket table has at most two rows per wanted quantile and key, so broadcasting it is bounded.
         counts = (clean.join(F.broadcast(table), on)
                   .groupBy("_b", F.least(F.floor(share * bins), F.lit(bins - 1)).alias("_bin"))
@@ -92,6 +105,7 @@ def _refine(clean, keys, value, probs, bins):
                 here = {k for k in ranks if seen <= k < seen + r["n"]}
                 if here:
                     fresh.setdefault((i, r["lo"], r["hi"], seen), set()).update(here)
+                    inside[(i, r["lo"], r["hi"], seen)] = r["n"]
                 seen += r["n"]
         open_brackets = fresh
     rows = []

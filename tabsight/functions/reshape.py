@@ -1,6 +1,6 @@
 """One-row aggregates to long form, and first values per column."""
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .text import quoted
 
@@ -33,14 +33,27 @@ def value_counts(df: DataFrame, columns=None) -> DataFrame:
     return text_cells(df, columns or df.columns).groupBy("column", "value").agg(F.count("*").alias("n"))
 
 
-def first_values(df: DataFrame, columns, n: int, order_by=None) -> DataFrame:
-    """``(column, values)``: the first n non-null values of each column in the given order (ties and no order: by value).
+HEAD_ROWS = 20
 
-    The rank filter is applied inside every task before the shuffle, so n rows per task and column move.
+
+def first_values(df: DataFrame, columns, n: int, order_by=None) -> dict[str, list[str]]:
+    """The first n non-null values of each column, as text, in row order (ties and no order: by all columns).
+
+    The first rows are a top-k without a sort and serve most columns; a column that is mostly null there gets its own.
     """
     order_by = list(order_by or [])
-    cells = text_cells(df, columns, order_by, keep_null=False)
-    w = Window.partitionBy("column").orderBy(*[quoted(k) for k in order_by], "value")
-    ranked = cells.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n)
-    return ranked.groupBy("column").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("_rn", "value"))), lambda x: x["value"]).alias("values"))
+    order = [quoted(c) for c in order_by + [c for c in df.columns if c not in order_by]]
+    cells = [quoted(c).cast("string").alias(f"v{i}") for i, c in enumerate(columns)]
+    head = df.orderBy(*order).limit(HEAD_ROWS).select(*cells).collect()
+    out = {}
+    for i, c in enumerate(columns):
+        values = [r[i] for r in head if r[i] is not None][:n]
+        if len(values) < n and len(head) == HEAD_ROWS:
+            values = [r[0] for r in df.where(quoted(c).isNotNull()).orderBy(*order).limit(n).select(cells[i]).collect()]
+        out[c] = values
+    return out
+
+
+def keep_small(df: DataFrame) -> DataFrame:
+    """A result of one row per column, pair or period, computed once and held by the driver for the steps that read it."""
+    return df.sparkSession.createDataFrame(df.collect(), df.schema)

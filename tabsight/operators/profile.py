@@ -8,7 +8,7 @@ from ..functions.dates import parse_datetime
 from ..functions.numbers import (NUMERIC_TYPES, datetime_columns, kurtosis_agg, numeric_columns, pct, pearson_agg, ratio,
                                  skewness_agg, string_columns)
 from ..functions.quantiles import column_quantiles
-from ..functions.reshape import first_values, long_agg, value_counts
+from ..functions.reshape import first_values, keep_small, long_agg, value_counts
 from ..functions.text import HIDDEN_NULL_WORDS, MONEY_SYMBOLS, quoted, strip, to_number
 from ..options import DEFAULTS, Options
 
@@ -46,14 +46,19 @@ def profile_shape(df: DataFrame) -> DataFrame:
         (r - F.col("_distinct")).alias("duplicate_rows"), pct(r - F.col("_distinct"), r).alias("duplicate_pct"))
 
 
-def profile_columns(df: DataFrame, order_by=None, opts: Options = DEFAULTS) -> DataFrame:
-    """One row per column; the distinct count takes null as one value."""
+def _values_table(df: DataFrame, values: dict[str, list[str]], name: str) -> DataFrame:
+    return df.sparkSession.createDataFrame([(c, v) for c, v in values.items()], f"column string, {name} array<string>")
+
+
+def profile_columns(df: DataFrame, order_by=None, opts: Options = DEFAULTS, firsts: dict[str, list[str]] | None = None) -> DataFrame:
+    """One row per column; the distinct count takes null as one value. ``firsts`` saves looking at the first rows again."""
     types = F.create_map(*[x for f in df.schema for x in (F.lit(f.name), F.lit(f.dataType.simpleString()))])
     position = F.create_map(*[x for i, c in enumerate(df.columns) for x in (F.lit(c), F.lit(i))])
     per_column = value_counts(df).groupBy("column").agg(
         F.sum("n").alias("rows"), F.count("*").alias("unique_count"),
         F.coalesce(F.sum(F.when(F.col("value").isNull(), F.col("n"))), F.lit(0)).alias("missing_count"))
-    samples = first_values(df, df.columns, 3, order_by).withColumnRenamed("values", "sample_values")
+    firsts = firsts or first_values(df, df.columns, 3, order_by)
+    samples = _values_table(df, {c: v[:3] for c, v in firsts.items()}, "sample_values")
     share = ratio(F.col("unique_count"), F.col("rows"))
     return per_column.join(samples, "column", "left").select(
         "column", types[F.col("column")].alias("dtype"), position[F.col("column")].alias("position"), "rows",
@@ -163,16 +168,12 @@ def parseability(df: DataFrame) -> DataFrame:
     return long_agg(df, metrics)
 
 
-def format_hints(df: DataFrame, order_by=None, opts: Options = DEFAULTS) -> DataFrame:
+def format_hints(df: DataFrame, order_by=None, opts: Options = DEFAULTS, firsts: dict[str, list[str]] | None = None) -> DataFrame:
     """Money, date and identifier hints from the name and the first 10 values of non-numeric columns."""
     columns = [f.name for f in df.schema if not isinstance(f.dataType, (*NUMERIC_TYPES, T.BooleanType))]
-    if not columns:
-        return df.sparkSession.createDataFrame(
-            [], "column string, currency_like boolean, date_like boolean, identifier_like boolean")
-    firsts = first_values(df, columns, 10, order_by)
-    names = df.sparkSession.createDataFrame([(c,) for c in columns], "column string")
-    low, vals = F.lower("column"), F.coalesce("values", F.array().cast("array<string>"))
-    return names.join(firsts, "column", "left").select(
+    firsts = firsts or first_values(df, columns, 10, order_by)
+    low, vals = F.lower("column"), F.col("values")
+    return _values_table(df, {c: firsts[c] for c in columns}, "values").select(
         "column",
         F.exists(vals, lambda v: v.rlike(f"[{MONEY_SYMBOLS[:5]}]")).alias("currency_like"),
         (low.contains("date") | low.contains("time")
@@ -189,10 +190,11 @@ def profile_confidence(shape: DataFrame) -> DataFrame:
 def full_profile(df: DataFrame, table_name: str, order_by=None, opts: Options = DEFAULTS) -> DataFrame:
     """Everything the tagging rules read, one row per column."""
     numeric = numeric_columns(df)
-    out = profile_columns(df, order_by, opts).join(parseability(df), "column")
-    out = out.join(format_hints(df, order_by, opts), "column", "left")
+    firsts = first_values(df, df.columns, 10, order_by)
+    out = profile_columns(df, order_by, opts, firsts).join(parseability(df), "column")
+    out = out.join(format_hints(df, order_by, opts, firsts), "column", "left")
     if numeric:
-        corr = raw_correlations(df, numeric, opts)
+        corr = keep_small(raw_correlations(df, numeric, opts))
         both = corr.select(F.col("col1").alias("column"), F.abs("r").alias("_r")).unionAll(
             corr.select(F.col("col2").alias("column"), F.abs("r").alias("_r")))
         out = (out.join(outlier_iqr(df, numeric, opts).select("column", "has_outliers"), "column", "left")

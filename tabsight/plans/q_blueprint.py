@@ -45,11 +45,12 @@ def catalog_profile(spark, d):
 
 def _profile_sql(t, schema):
     numbers = [c for c, k in schema.items() if k in ("bigint", "int", "double")]
+    order = ", ".join(f'"{o}" NULLS FIRST' for o in schema)
     dated = "true" if "timestamp_ntz" in schema.values() else "false"
     parts = []
     for c, k in schema.items():
         if k == "string":
-            firsts = f"""(SELECT list(v ORDER BY v) FROM (SELECT "{c}" AS v FROM {t} WHERE "{c}" IS NOT NULL ORDER BY "{c}" LIMIT 10))"""
+            firsts = f"""(SELECT list(v ORDER BY rn) FROM (SELECT "{c}" AS v, row_number() OVER (ORDER BY {order}) AS rn FROM {t} WHERE "{c}" IS NOT NULL) WHERE rn <= 10)"""
             dates = f"""coalesce(round(count(*) FILTER (regexp_matches("{c}", '^[0-9]{{4}}[-/][0-9]{{2}}[-/][0-9]{{2}}$|^[0-9]{{2}}/[0-9]{{2}}/[0-9]{{4}}$|^[0-9]{{2}} [A-Z][a-z]{{2}} [0-9]{{4}}$')) * 100.0 / count("{c}"), 2), 0)"""
             nums = f"""coalesce(round(count(*) FILTER (regexp_matches("{c}", '^\\s*[0-9]+\\s*$')) * 100.0 / count("{c}"), 2), 0)"""
         else:

@@ -145,6 +145,7 @@ PROFILED = {
 NUMBERS = [c for c, t in PROFILED.items() if t in ("bigint", "int", "double")]
 TEXTS = [c for c, t in PROFILED.items() if t == "string"]
 ORDER = ["order_id", "line"]
+ROW_ORDER = ", ".join(f'"{c}" NULLS FIRST' for c in PROFILED)
 CELLS = ", ".join(f'"{c}"' for c in PROFILED)
 NULLS = " + ".join(f'CAST("{c}" IS NULL AS INT)' for c in PROFILED)
 
@@ -180,7 +181,7 @@ def _(spark, d):
 
 def _column_sql(c, t, i):
     samples = f"""(SELECT string_agg(v, '|' ORDER BY rn) FROM (SELECT "{c}" AS v,
-        row_number() OVER (ORDER BY order_id, line, "{c}") AS rn FROM messy_sales WHERE "{c}" IS NOT NULL) WHERE rn <= 3)"""
+        row_number() OVER (ORDER BY {ROW_ORDER}) AS rn FROM messy_sales WHERE "{c}" IS NOT NULL) WHERE rn <= 3)"""
     return f"""SELECT '{c}' AS "column", '{t}' AS dtype, {i} AS position, count(*) AS "rows",
         count(*) - count("{c}") AS missing_count, round((count(*) - count("{c}")) * 100.0 / count(*), 2) AS missing_pct,
         count(DISTINCT "{c}") + max(CAST("{c}" IS NULL AS INT)) AS unique_count,
@@ -282,7 +283,7 @@ def _(spark, d):
 
 
 @query("format_hints", f"""WITH {MESSY_SQL}, firsts AS ({_union(
-    f'''SELECT '{c}' AS "column", v FROM (SELECT "{c}" AS v, row_number() OVER (ORDER BY order_id, line, "{c}") AS rn
+    f'''SELECT '{c}' AS "column", v FROM (SELECT "{c}" AS v, row_number() OVER (ORDER BY {', '.join(f'"{o}" NULLS FIRST' for o in [*ORDER, *TEXTS])}) AS rn
         FROM messy_sales WHERE "{c}" IS NOT NULL) WHERE rn <= 10''' for c in TEXTS)})
 SELECT "column", bool_or(regexp_matches(v, '[$€£¥₹]')) AS currency_like,
   bool_or("column" LIKE '%date%' OR "column" LIKE '%time%' OR (trim(v) LIKE '%-%' AND length(trim(v)) >= 8)) AS date_like,
