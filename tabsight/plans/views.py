@@ -5,6 +5,8 @@ Only the joins that the asked columns need are made. No join is hinted: the tabl
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..functions.partitions import spread
+
 SALES = {
     "order_id": "l_orderkey", "line": "l_linenumber", "order_date": "o_orderdate", "ship_date": "l_shipdate",
     "region": "r_name", "customer_segment": "c_mktsegment", "product_category": "p_type",
@@ -25,7 +27,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def _star(spark, sf_dir, text: str) -> DataFrame:
     """lineitem with the dimensions whose columns occur in ``text``."""
-    df = table(spark, sf_dir, "lineitem")
+    df = spread(table(spark, sf_dir, "lineitem"))
     if any(c in text for c in ("o_", "c_", "r_name")):
         df = df.join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
     if any(c in text for c in ("c_mkt", "r_name")):
