@@ -1,5 +1,9 @@
-"""Partitioning of inputs."""
+"""Partitioning and reuse of inputs."""
 
+import re
+from contextlib import contextmanager
+
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 
 
@@ -10,3 +14,20 @@ def spread(scan: DataFrame) -> DataFrame:
     """
     slots = scan.sparkSession.sparkContext.defaultParallelism
     return scan.repartition(slots) if scan.rdd.getNumPartitions() < slots else scan
+
+
+@contextmanager
+def held(df: DataFrame):
+    """Keeps the input of a several-pass search while it runs, if making it takes more than a scan.
+
+    A plain scan with pruned columns is read again instead, which at size is cheaper than a copy of it.
+    """
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    worth = re.search(r"\b(Join|Aggregate|Window|Repartition|Generate|Sort)\b", plan) and "InMemoryRelation" not in plan
+    if worth:
+        df.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        yield df
+    finally:
+        if worth:
+            df.unpersist()

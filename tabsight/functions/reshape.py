@@ -19,6 +19,9 @@ def long_agg(df: DataFrame, metrics: dict[str, dict[str, Column]], name: str = "
 
 def text_cells(df: DataFrame, columns, keys=(), keep_null: bool = True) -> DataFrame:
     """``(keys…, column, value)`` with every value as text."""
+    if not columns:
+        nothing = F.lit(None).cast("string")
+        return df.limit(0).select(*[quoted(k) for k in keys], nothing.alias("column"), nothing.alias("value"))
     cells = F.array(*[F.struct(F.lit(c).alias("column"), quoted(c).cast("string").alias("value")) for c in columns])
     if not keep_null:
         cells = F.filter(cells, lambda x: x["value"].isNotNull())

@@ -81,9 +81,8 @@ def leakage_columns(df: DataFrame, pairs: DataFrame) -> DataFrame:
     keys = string_columns(df) + [f.name for f in df.schema if f.dataType.simpleString() == "bigint"]
     out = named.unionAll(twins)
     if keys:
-        total = df.agg(F.count("*").alias("_rows"))
         unique = (value_counts(df, keys).where(F.col("value").isNotNull()).groupBy("column").agg(F.count("*").alias("_n"))
-                  .join(F.broadcast(total)).where("_n = _rows and _rows > 0"))  # one row
+                  .where(F.col("_n") == df.agg(F.count("*")).scalar()))
         out = out.unionAll(unique.select("column", F.lit("unique").alias("reason")))
     return out
 

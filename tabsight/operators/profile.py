@@ -118,9 +118,8 @@ def implicit_missing(df: DataFrame, opts: Options = DEFAULTS) -> DataFrame:
     found = (df.select(F.explode(suspects).alias("_x")).select("_x.*")
              .groupBy("column", "kind", "value").agg(F.count("*").alias("n")))
     zero = (F.col("kind") == "sentinel") & (F.col("value") == "0")
-    rows = df.agg(F.count("*").alias("_rows"))
-    return (found.join(F.broadcast(rows))  # one row
-            .where(~zero | (F.col("n") >= opts.zero_share * F.col("_rows"))).drop("_rows"))
+    rows = df.agg(F.count("*")).scalar()
+    return found.where(~zero | (F.col("n") >= opts.zero_share * rows))
 
 
 def candidate_keys(profile: DataFrame) -> DataFrame:

@@ -24,9 +24,8 @@ def describe_numeric(df: DataFrame, columns: list[str], opts: Options = DEFAULTS
 def category_distribution(df: DataFrame, columns: list[str]) -> DataFrame:
     """``(column, value, count, pct)``, null kept as a value."""
     counts = value_counts(df, columns)
-    total = df.agg(F.count("*").alias("_total"))
-    return counts.join(F.broadcast(total)).select(  # one row
-        "column", "value", F.col("n").alias("count"), pct(F.col("n"), F.col("_total")).alias("pct"))
+    total = df.agg(F.count("*")).scalar()
+    return counts.select("column", "value", F.col("n").alias("count"), pct(F.col("n"), total).alias("pct"))
 
 
 def category_top_other(df: DataFrame, columns: list[str], opts: Options = DEFAULTS) -> DataFrame:

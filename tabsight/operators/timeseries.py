@@ -46,11 +46,11 @@ def growth_yearly(df: DataFrame, date: str, metric: str, opts: Options = DEFAULT
 
 def _season(df: DataFrame, part, metric: str, label) -> DataFrame:
     means = df.where(part.isNotNull()).groupBy(part.alias("period")).agg(F.avg(quoted(metric)).alias("average"))
-    ends = means.agg(F.max_by("period", F.struct("average", -F.col("period"))).alias("_best"),
-                     F.min_by("period", F.struct("average", "period")).alias("_worst"))
-    return means.join(F.broadcast(ends)).select(  # one row
-        "period", label.alias("label"), "average", (F.col("period") == F.col("_best")).alias("is_best"),
-        (F.col("period") == F.col("_worst")).alias("is_worst"))
+    # At most twelve periods, so one window over them all.
+    best = Window.orderBy(F.desc("average"), "period")
+    worst = Window.orderBy("average", "period")
+    return means.select("period", label.alias("label"), "average", (F.row_number().over(best) == 1).alias("is_best"),
+                        (F.row_number().over(worst) == 1).alias("is_worst"))
 
 
 def _names(words: str):

@@ -25,14 +25,26 @@ def read_csv_encoded(spark: SparkSession, path: str) -> DataFrame:
 
     The text source hands on raw bytes, so each file is judged by one small aggregate and decoded without a re-read.
     """
-    raw = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), "value")
+    raw, judged = _raw_lines(spark, path)
+    return _decoded(raw, judged).select("file", "value")
+
+
+def _raw_lines(spark, path):
+    """Undecoded lines, and per file what their bytes allow."""
+    raw = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), "value",
+                                       (F.col("_metadata.file_block_start") == 0).alias("_start"))
     latin = F.decode(F.col("value").cast("binary"), "ISO-8859-1")
     judged = raw.groupBy("file").agg(
         F.min(F.is_valid_utf8("value")).alias("_utf8"),
         F.max(F.when(~F.is_valid_utf8("value"), latin).rlike(f"[{CP1252_HOLES}]")).alias("_holes"))
+    return raw, judged
+
+
+def _decoded(raw, judged):
+    latin = F.decode(F.col("value").cast("binary"), "ISO-8859-1")
     cp1252 = F.translate(latin, "".join(map(chr, CP1252)), "".join(CP1252.values()))
     text = F.when(F.col("_utf8"), F.col("value")).when(F.col("_holes"), latin).otherwise(cp1252)
-    return raw.join(judged, "file").select("file", F.regexp_replace(text, "^﻿", "").alias("value"))
+    return raw.join(judged, "file").withColumn("value", F.regexp_replace(text, "^\ufeff", ""))
 
 
 def _parse_line(line: Column, width: int, sep: str) -> Column:
@@ -47,8 +59,9 @@ def read_csv_mixed(spark: SparkSession, path: str, infer: bool = True, on_bad: s
     ``on_bad``: ``fail`` raises on a line that fits neither, ``drop`` leaves it out, ``only`` returns just those lines.
     Every file of a folder starts with the same header line.
     """
-    lines = read_csv_encoded(spark, path)
-    head = lines.limit(1).collect()
+    raw, judged = _raw_lines(spark, path)
+    lines = _decoded(raw, judged)
+    head = _decoded(raw.where("_start").limit(1), judged).collect()  # the first line of some file
     if not head:
         return spark.createDataFrame([], "value string")
     header = head[0]["value"]

@@ -34,6 +34,20 @@ def test_quantiles_by_histograms_equal_numpy(spark):
         np.testing.assert_allclose(got[c], pdf[c].quantile(probs), rtol=1e-12)
 
 
+def test_bracket_search_survives_wrong_guesses(spark, monkeypatch):
+    import tabsight.functions.quantiles as Q
+    pdf = frame(n=5000)
+    df = spark.createDataFrame(pdf)
+    for sample, fetch in ((50, 10), (200, 300), (20_000, 50_000)):
+        monkeypatch.setattr(Q, "SAMPLE_ROWS", sample)
+        monkeypatch.setattr(Q, "COLLECT_VALUES", fetch)
+        monkeypatch.setattr(Q.math, "sqrt", (lambda x: 1e9) if sample == 50 else __import__("math").sqrt)
+        probs = [0.0, 0.25, 0.5, 0.975, 1.0]
+        got = {r["column"]: r["q"] for r in column_quantiles(df, ["a", "b"], probs, SMALL).collect()}
+        for c in ("a", "b"):
+            np.testing.assert_allclose(got[c], pdf[c].quantile(probs), rtol=1e-12)
+
+
 def test_quantiles_mix_big_and_small_keys(spark):
     pdf = frame()
     pdf.loc[:20, "k"] = "rare"
