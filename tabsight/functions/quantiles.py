@@ -127,12 +127,12 @@ def column_quantiles(df: DataFrame, columns: list[str], probs: list[float], opts
     On larger tables a sample guesses a narrow bracket for every quantile, one plain aggregate over all columns counts what
     lies below and inside, and only values inside the brackets are looked at again. A wrong guess costs another pass.
     """
-    if rows is None:
-        rows = df.count()
-    if rows * len(columns) <= opts.in_memory_rows or rows <= opts.in_memory_rows // 10:
-        return exact_quantiles(melt(df, columns), ["column"], "value", probs, opts, rows=rows)
-    with held(df.select(*[quoted(c) for c in columns])) as narrow:
-        return _by_brackets(narrow, columns, probs, rows)
+    narrow = df.select(*[quoted(c) for c in columns])
+    with held(narrow):
+        rows = narrow.count() if rows is None else rows
+        if rows * len(columns) > opts.in_memory_rows and rows > opts.in_memory_rows // 10:
+            return _by_brackets(narrow, columns, probs, rows)
+    return exact_quantiles(melt(df, columns), ["column"], "value", probs, opts, rows=rows)
 
 
 SAMPLE_ROWS = 20_000

@@ -48,8 +48,19 @@ def _matrix(column) -> np.ndarray:
     return np.array([[np.nan if v is None else v for v in row] for row in column], dtype=float)
 
 
+SLICE = 256
+
+
 def nearest(queries: np.ndarray, donors: np.ndarray, k: int):
-    """Per query the k nearest donors: distances (inf where unusable) and positions. Ties by position."""
+    """Per query the k nearest donors: squared distances (inf where unusable) and positions. Ties by position.
+
+    Queries go in slices, so the distance matrix of a task stays small.
+    """
+    parts = [_nearest(queries[i:i + SLICE], donors, k) for i in range(0, len(queries), SLICE)]
+    return np.concatenate([d for d, _ in parts]), np.concatenate([o for _, o in parts])
+
+
+def _nearest(queries, donors, k):
     known_q, known_d = ~np.isnan(queries), ~np.isnan(donors)
     q, d = np.where(known_q, queries, 0.0), np.where(known_d, donors, 0.0)
     dist = np.zeros((len(q), len(d)))
@@ -120,8 +131,13 @@ def knn_fills(df: DataFrame, targets: list[str], keys: list[str], features: list
 
     sizes = np.array([r["n"] for r in table])
 
-    def first_visit(batches):
+    def slices(batches):
         for b in batches:
+            for i in range(0, len(b), SLICE):
+                yield b.iloc[i:i + SLICE].copy()
+
+    def first_visit(batches):
+        for b in slices(batches):
             x, t = _matrix(b["_x"]), b["_t"].to_numpy()
             low = bounds(x, t)
             ranked = np.where(sizes[None, :] >= k, low, np.inf)
@@ -130,7 +146,7 @@ def knn_fills(df: DataFrame, targets: list[str], keys: list[str], features: list
             yield b[np.isfinite(low.min(1))]
 
     def all_visits(batches):
-        for b in batches:
+        for b in slices(batches):
             low = bounds(_matrix(b["_x"]), b["_t"].to_numpy())
             wanted = np.isfinite(low) & (low <= b["_reach"].to_numpy()[:, None] * (1 + 1e-9))
             who, where = np.nonzero(wanted)

@@ -21,29 +21,26 @@ def null_counts(df: DataFrame) -> DataFrame:
                          for c in df.columns})
 
 
-def distinct_rows(df: DataFrame) -> DataFrame:
-    """One row: the number of different rows, null equal to null."""
-    return df.distinct().agg(F.count("*").alias("distinct_rows"))
-
-
 def profile_shape(df: DataFrame) -> DataFrame:
     """Rows, columns, missing cells, duplicate rows.
 
-    Null counts are summed per group of equal rows, so the duplicate count and the missing count share one shuffle.
+    Duplicates are exact, but only rows whose 64-bit hash occurs twice are compared in full: the first pass shuffles a hash
+    per row, the second only the candidates.
     """
-    nulls = sum((quoted(c).isNull().cast("int") for c in df.columns), F.lit(0))
-    groups = df.groupBy(*[quoted(c) for c in df.columns]).agg(F.count("*").alias("_n"))
-    # The grouping keys carry the nulls, so each group's null cells are known without another pass.
-    totals = groups.select(F.col("_n"), nulls.alias("_nulls")).agg(
-        F.coalesce(F.sum("_n"), F.lit(0)).alias("row_count"),
-        F.coalesce(F.sum(F.col("_n") * F.col("_nulls")), F.lit(0)).alias("total_missing"),
-        F.count("*").alias("_distinct"))
-    cols = len(df.columns)
-    r = F.col("row_count")
-    return totals.select(
+    cells = [quoted(c) for c in df.columns]
+    hashed = df.withColumn("_h", F.xxhash64(*cells))
+    nulls = sum((c.isNull().cast("int") for c in cells), F.lit(0))
+    by_hash = hashed.groupBy("_h").agg(F.count("*").alias("_n"), F.sum(nulls).alias("_nulls"))
+    totals = by_hash.agg(
+        F.coalesce(F.sum("_n"), F.lit(0)).alias("row_count"), F.coalesce(F.sum("_nulls"), F.lit(0)).alias("total_missing"),
+        F.count_if(F.col("_n") == 1).alias("_single"))
+    candidates = hashed.join(by_hash.where("_n > 1").select("_h"), "_h", "left_semi")
+    repeated = candidates.groupBy(*cells).agg(F.count("*").alias("_k")).agg(F.count("*")).scalar()
+    cols, r = len(df.columns), F.col("row_count")
+    return totals.withColumn("duplicate_rows", r - F.col("_single") - repeated).select(
         r, F.lit(cols).alias("column_count"), (r * cols).alias("total_cells"), "total_missing",
-        pct(F.col("total_missing"), r * cols).alias("missing_pct"),
-        (r - F.col("_distinct")).alias("duplicate_rows"), pct(r - F.col("_distinct"), r).alias("duplicate_pct"))
+        pct(F.col("total_missing"), r * cols).alias("missing_pct"), "duplicate_rows",
+        pct(F.col("duplicate_rows"), r).alias("duplicate_pct"))
 
 
 def _values_table(df: DataFrame, values: dict[str, list[str]], name: str) -> DataFrame:
