@@ -16,8 +16,9 @@ GEOGRAPHIC_WORDS = ["country", "countries", "nation", "state", "province"]
 
 
 def label_counts(df: DataFrame, columns: list[str]) -> DataFrame:
-    return (text_cells(df, columns, keep_null=False).groupBy("column", F.col("value").alias("label"))
-            .agg(F.count("*").alias("n")))
+    """``(column, label, n)``, written once: the search for neighbours reads it several times."""
+    return cut(text_cells(df, columns, keep_null=False).groupBy("column", F.col("value").alias("label"))
+               .agg(F.count("*").alias("n")))
 
 
 def mergeable_columns(columns: list[str], geographic: set[str] = frozenset()) -> list[str]:

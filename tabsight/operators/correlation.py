@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions.numbers import string_columns
 from ..functions.ordered import running_count
 from ..functions.quantiles import melt
-from ..functions.reshape import long_agg, value_counts
+from ..functions.reshape import keep_small, long_agg, value_counts
 from ..functions.text import quoted
 from ..options import DEFAULTS, Options
 from .profile import pair_correlations
@@ -23,7 +23,8 @@ def corr_pearson(df: DataFrame, columns: list[str]) -> DataFrame:
     """``(col1, col2, r)`` over rows complete in all columns; empty below three such rows."""
     columns = measures(columns)
     complete = df.select(*[quoted(c) for c in columns]).dropna()
-    return pair_correlations(complete, columns) if complete.limit(3).count() == 3 else pair_correlations(complete.limit(0), columns)
+    pairs = keep_small(pair_correlations(complete, columns))
+    return pairs if complete.limit(3).count() == 3 else pairs.limit(0)
 
 
 def corr_spearman(df: DataFrame, columns: list[str], opts: Options = DEFAULTS) -> DataFrame:
@@ -41,7 +42,7 @@ def corr_spearman(df: DataFrame, columns: list[str], opts: Options = DEFAULTS) -
     for c in columns:
         mine = ranks.where(F.col("column") == c).select(F.col("value").alias(c), F.col("rank").alias(f"_rank_{c}"))
         out = out.join(mine, c).drop(c).withColumnRenamed(f"_rank_{c}", f"rank {c}")
-    return pair_correlations(out.toDF(*[c.removeprefix("rank ") for c in out.columns]), columns)
+    return keep_small(pair_correlations(out.toDF(*[c.removeprefix("rank ") for c in out.columns]), columns))
 
 
 def strong_pairs(pairs: DataFrame, formulaic: DataFrame, leakage: DataFrame, opts: Options = DEFAULTS) -> DataFrame:

@@ -4,6 +4,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..functions.lineage import cut
 from ..functions.reshape import long_agg
 from ..functions.text import quoted
 from ..options import DEFAULTS, Options
@@ -154,8 +155,8 @@ def ground_claims(texts: DataFrame, facts: DataFrame, keys: list[str], text: str
     """Per text: claims checked, claims grounded, their share (1 without claims)."""
     keys, scope = list(keys), list(scope)
     claims = numeric_claims(texts, keys + [s for s in scope if s not in keys], text)
-    counted = claims.groupBy(*claims.columns).agg(F.count("*").alias("_n"))
-    good = grounded_values(claims, facts, scope, opts).withColumn("_ok", F.lit(True))
+    counted = cut(claims.groupBy(*claims.columns).agg(F.count("*").alias("_n")))  # the texts are searched once
+    good = grounded_values(counted, facts, scope, opts).withColumn("_ok", F.lit(True))
     judged = counted.join(good, scope + ["claim"], "left").groupBy(*keys).agg(
         F.sum("_n").alias("claims_checked"), F.coalesce(F.sum(F.when(F.col("_ok"), F.col("_n"))), F.lit(0)).alias("claims_grounded"))
     out = texts.select(*[quoted(k) for k in keys]).distinct().join(judged, keys, "left").fillna(0, ["claims_checked", "claims_grounded"])

@@ -2,6 +2,7 @@
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from ..functions.lineage import cut
 from ..functions.reshape import text_cells
 from ..functions.text import has_token, name_tokens, quoted
 from ..options import DEFAULTS, Options
@@ -11,10 +12,13 @@ PRIORITY_WORDS = ["region", "category", "segment", "representative"]
 
 
 def dimension_totals(df: DataFrame, metric: str, dims: list[str]) -> DataFrame:
-    """``(dimension, value, total, mean, records)`` for all dimensions from one scan, combined before the shuffle."""
+    """``(dimension, value, total, mean, records)`` for all dimensions from one scan, combined before the shuffle.
+
+    The totals are written once: the two ends, the sizes and the choice of dimensions all read them.
+    """
     cells = text_cells(df.withColumn("_m", quoted(metric).cast("double")), dims, ["_m"], keep_null=False)
-    return cells.groupBy(F.col("column").alias("dimension"), "value").agg(
-        F.coalesce(F.sum("_m"), F.lit(0.0)).alias("total"), F.avg("_m").alias("mean"), F.count("_m").alias("records"))
+    return cut(cells.groupBy(F.col("column").alias("dimension"), "value").agg(
+        F.coalesce(F.sum("_m"), F.lit(0.0)).alias("total"), F.avg("_m").alias("mean"), F.count("_m").alias("records")))
 
 
 def ranked(totals: DataFrame, opts: Options = DEFAULTS) -> DataFrame:

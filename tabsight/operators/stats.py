@@ -2,6 +2,7 @@
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from ..functions.lineage import cut
 from ..functions.numbers import kurtosis_agg, numeric_columns, pct, skewness_agg
 from ..functions.quantiles import column_quantiles, exact_quantiles
 from ..functions.reshape import long_agg, text_cells, value_counts
@@ -30,7 +31,7 @@ def category_distribution(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def category_top_other(df: DataFrame, columns: list[str], opts: Options = DEFAULTS) -> DataFrame:
     """Columns of many values: the most frequent ones and one ``Other`` row for the rest."""
-    counts = value_counts(df, columns)
+    counts = cut(value_counts(df, columns))
     w = Window.partitionBy("column").orderBy(F.desc("n"), F.col("value").asc_nulls_last())
     top = counts.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= opts.max_bars)
     sizes = counts.groupBy("column").agg(F.sum("n").alias("_total"), F.count("*").alias("_values"))
@@ -152,7 +153,7 @@ def lead_time_by(df: DataFrame, column: str, dims: list[str], n: int = 5, opts:
     """Mean, median and count per label of every small dimension; the slowest and fastest n labels."""
     cells = text_cells(df, dims, [column], keep_null=False).where(quoted(column).isNotNull()).withColumnsRenamed(
         {"column": "dimension", column: "_days"})
-    groups = cells.groupBy("dimension", "value").agg(F.avg("_days").alias("mean_days"), F.count("*").alias("orders"))
+    groups = cut(cells.groupBy("dimension", "value").agg(F.avg("_days").alias("mean_days"), F.count("*").alias("orders")))
     sizes = groups.groupBy("dimension").agg(F.count("*").alias("labels")).where(
         F.col("labels").between(*opts.dimension_values))
     small = groups.join(sizes, "dimension")

@@ -4,6 +4,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions.lineage import cut
 from ..functions.numbers import ratio
 from ..options import DEFAULTS, Options
 
@@ -75,8 +76,8 @@ def merges_verdict(checked: DataFrame) -> DataFrame:
 def cohen_kappa(df: DataFrame, a: str, b: str, keys: list[str] | None = None) -> DataFrame:
     """Agreement of two label columns beyond chance, from the counts of label pairs."""
     keys = keys or []
-    cells = df.dropna(subset=[a, b]).groupBy(*keys, F.col(a).cast("string").alias("_a"), F.col(b).cast("string").alias("_b")).agg(
-        F.count("*").alias("_n"))
+    cells = cut(df.dropna(subset=[a, b]).groupBy(*keys, F.col(a).cast("string").alias("_a"), F.col(b).cast("string").alias("_b")).agg(
+        F.count("*").alias("_n")))
     base = cells.groupBy(*keys).agg(F.sum("_n").alias("n"), F.sum(F.when(F.col("_a") == F.col("_b"), F.col("_n")).otherwise(0)).alias("_same"))
     left = cells.groupBy(*keys, F.col("_a").alias("_l")).agg(F.sum("_n").alias("_na"))
     right = cells.groupBy(*keys, F.col("_b").alias("_l")).agg(F.sum("_n").alias("_nb"))
