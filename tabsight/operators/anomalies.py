@@ -55,9 +55,9 @@ def _impact(df: DataFrame, c: str) -> Column:
     return sum((F.coalesce(F.abs(quoted(i)), F.lit(0.0)) for i in impact_columns(df) or [c]), F.lit(0.0))
 
 
-def anomalies(df: DataFrame, columns: list[str], opts: Options = DEFAULTS) -> DataFrame:
-    """Per column with flagged values: method, count and the numbers behind it."""
-    rules = anomaly_rules(df, columns, opts)
+def anomalies(df: DataFrame, columns: list[str], opts: Options = DEFAULTS, rules: dict | None = None) -> DataFrame:
+    """Per column with flagged values: method, count and the numbers behind it. ``rules`` saves finding them again."""
+    rules = anomaly_rules(df, columns, opts) if rules is None else rules
     schema = "column string, method string, count long, skewness double, col_mean double, col_std double"
     if not rules:
         return df.sparkSession.createDataFrame([], schema)
@@ -66,17 +66,17 @@ def anomalies(df: DataFrame, columns: list[str], opts: Options = DEFAULTS) -> Da
         "col_mean": F.lit(round(r["mean"], 4)), "col_std": F.lit(round(r["sd"], 4))} for c, r in rules.items()}).where(F.col("count") > 0)
 
 
-def anomaly_rows(df: DataFrame, columns: list[str], keys: list[str], opts: Options = DEFAULTS) -> DataFrame:
+def anomaly_rows(df: DataFrame, columns: list[str], keys: list[str], opts: Options = DEFAULTS, rules: dict | None = None) -> DataFrame:
     """``(keys…, column, value)`` of every flagged value."""
-    rules = anomaly_rules(df, columns, opts)
+    rules = anomaly_rules(df, columns, opts) if rules is None else rules
     cells = F.array_compact(F.array(*[F.when(r["test"], F.struct(F.lit(c).alias("column"), quoted(c).cast("double").alias("value")))
                                       for c, r in rules.items()]))
     return df.select(*[quoted(k) for k in keys], F.explode(cells).alias("_c")).select(*[quoted(k) for k in keys], "_c.*")
 
 
-def anomaly_impact(df: DataFrame, columns: list[str], opts: Options = DEFAULTS) -> DataFrame:
+def anomaly_impact(df: DataFrame, columns: list[str], opts: Options = DEFAULTS, rules: dict | None = None) -> DataFrame:
     """Money on the flagged rows of each column, largest first."""
-    rules = anomaly_rules(df, columns, opts)
+    rules = anomaly_rules(df, columns, opts) if rules is None else rules
     if not rules:
         return df.sparkSession.createDataFrame([], "column string, method string, count long, business_impact double")
     return long_agg(df, {c: {
@@ -85,8 +85,8 @@ def anomaly_impact(df: DataFrame, columns: list[str], opts: Options = DEFAULTS)
         F.col("count") > 0).orderBy(F.desc("business_impact"))
 
 
-def anomaly_summary(df: DataFrame, columns: list[str], opts: Options = DEFAULTS) -> DataFrame:
-    rules = anomaly_rules(df, columns, opts)
+def anomaly_summary(df: DataFrame, columns: list[str], opts: Options = DEFAULTS, rules: dict | None = None) -> DataFrame:
+    rules = anomaly_rules(df, columns, opts) if rules is None else rules
     hits = [r["test"].cast("int") for r in rules.values()]
     row = F.greatest(*hits, F.lit(0)) if hits else F.lit(0)
     flagged = [F.max(h) for h in hits]

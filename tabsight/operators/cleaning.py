@@ -241,7 +241,9 @@ def derive_metrics(df: DataFrame, roles: dict[str, str] | None = None) -> tuple[
     if m["order_date"] and m["ship_date"]:
         def seconds(c):
             d = parse_datetime(quoted(c)) if df.schema[c].dataType.simpleString() == "string" else quoted(c)
-            return F.unix_micros(d.cast("timestamp")) / 1e6
+            # Wall-clock seconds: no time zone and no daylight saving in a number of days.
+            days = F.datediff(d.cast("date"), F.lit("1970-01-01").cast("date"))
+            return days * 86400.0 + F.hour(d) * 3600 + F.minute(d) * 60 + F.extract(F.lit("SECOND"), d).cast("double")
         add("days_to_ship", (seconds(m["ship_date"]) - seconds(m["order_date"])) / 86400, m["order_date"], m["ship_date"])
     if not m["revenue"] and m["price"] and m["units"]:
         add("total_revenue", col("price") * col("units"), m["price"], m["units"])

@@ -8,10 +8,9 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions.numbers import string_columns
 from ..functions.ordered import running_count
 from ..functions.quantiles import melt
-from ..functions.reshape import keep_small, long_agg, value_counts
+from ..functions.reshape import long_agg, value_counts
 from ..functions.text import quoted
 from ..options import DEFAULTS, Options
-from .profile import pair_correlations
 from .selection import DATE_PART_SUFFIXES
 
 
@@ -19,12 +18,27 @@ def measures(columns: list[str]) -> list[str]:
     return [c for c in columns if not c.endswith(DATE_PART_SUFFIXES)]
 
 
+def complete_correlations(df: DataFrame, columns: list[str]) -> DataFrame:
+    """``(col1, col2, r)`` over a table without nulls: one covariance per pair and one deviation per column in one aggregate.
+
+    One number per pair comes to the driver, and every later step reads it from there.
+    """
+    pairs = list(combinations(range(len(columns)), 2))
+    x = [quoted(c).cast("double") for c in columns]
+    row = df.agg(F.count("*").alias("n"), *[F.stddev_samp(v).alias(f"s{i}") for i, v in enumerate(x)],
+                 *[F.covar_samp(x[i], x[j]).alias(f"c{i}_{j}") for i, j in pairs]).first()
+    rows = []
+    for i, j in pairs if row["n"] >= 3 else []:
+        scale = row[f"s{i}"] * row[f"s{j}"]
+        rows.append((columns[i], columns[j], row[f"c{i}_{j}"] / scale if scale else None))
+    return df.sparkSession.createDataFrame(rows, "col1 string, col2 string, r double")
+
+
 def corr_pearson(df: DataFrame, columns: list[str]) -> DataFrame:
     """``(col1, col2, r)`` over rows complete in all columns; empty below three such rows."""
     columns = measures(columns)
     complete = df.select(*[quoted(c) for c in columns]).dropna()
-    pairs = keep_small(pair_correlations(complete, columns))
-    return pairs if complete.limit(3).count() == 3 else pairs.limit(0)
+    return complete_correlations(complete, columns)
 
 
 def corr_spearman(df: DataFrame, columns: list[str], opts: Options = DEFAULTS) -> DataFrame:
@@ -42,7 +56,7 @@ def corr_spearman(df: DataFrame, columns: list[str], opts: Options = DEFAULTS) -
     for c in columns:
         mine = ranks.where(F.col("column") == c).select(F.col("value").alias(c), F.col("rank").alias(f"_rank_{c}"))
         out = out.join(mine, c).drop(c).withColumnRenamed(f"_rank_{c}", f"rank {c}")
-    return keep_small(pair_correlations(out.toDF(*[c.removeprefix("rank ") for c in out.columns]), columns))
+    return complete_correlations(out.toDF(*[c.removeprefix("rank ") for c in out.columns]), columns)
 
 
 def strong_pairs(pairs: DataFrame, formulaic: DataFrame, leakage: DataFrame, opts: Options = DEFAULTS) -> DataFrame:

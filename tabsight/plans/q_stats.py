@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from ..functions.lineage import written
 from ..operators import (anomalies as A, blueprint as B, correlation as C, insights as N, profile as P, rankings as R,
                          rules as V, selection as S, stats as T, timeseries as M)
 from ..operators.cleaning import date_features, derive_metrics
@@ -261,7 +262,7 @@ PAIRED = ["units_sold", "unit_price", "net_sales", "cost", "tax_amount", "shippi
 def _paired(spark, d):
     s = sales(spark, d, "line", "units_sold", "unit_price", "net_sales", "cost", "tax_amount", "shipping_cost")
     out, sources = derive_metrics(s.withColumn("line_index", F.col("line") * F.col("unit_price")).drop("line"), {"net_sales": "revenue"})
-    return out.select(*PAIRED), {k: v for k, v in sources.items() if k in PAIRED}
+    return written(out.select(*PAIRED), "paired"), {k: v for k, v in sources.items() if k in PAIRED}
 
 
 PAIRED_SQL = f"""x AS (SELECT *, net_sales - cost AS derived_profit, line * unit_price AS line_index FROM sales),
@@ -592,7 +593,7 @@ all_scores AS (
 bounded AS (SELECT family, subject, round(least(100, s), 1) AS score FROM all_scores)
 SELECT *, row_number() OVER (ORDER BY score DESC, family, subject) AS rank FROM bounded QUALIFY rank <= 16""")
 def _(spark, d):
-    s = sales(spark, d, "order_date", *INSIGHT_DIMS, *MEASURES)
+    s = written(sales(spark, d, "order_date", *INSIGHT_DIMS, *MEASURES), "insights")  # joined once, read by eight analyses
     totals = R.dimension_totals(s, "net_sales", INSIGHT_DIMS)
     return N.insight_ranking([
         N.correlation_scores(C.corr_pearson(s, MEASURES)),

@@ -5,7 +5,7 @@ from dataclasses import dataclass, field, replace
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions.lineage import cut
+from ..functions.lineage import written
 from ..functions.numbers import datetime_columns, nan_to_null, numeric_columns, string_columns
 from ..operators import (anomalies, blueprint as tagging, categories, cleaning, correlation, dedup, facts, imputation, profile, rankings,
                          rules, selection, stats, timeseries, validate)
@@ -50,7 +50,7 @@ def clean_table(df: DataFrame, rows: list, keys=None, order_by=None, risk: str =
     table = cleaning.canonical_text(table, labels)
     merged, out["merges"] = categories.fuzzy_category_merge(table, labels, geographic, opts)
     # Everything below reads the table several times for its statistics; the long plan ends here.
-    canonical = cut(merged.dropDuplicates())
+    canonical = written(merged.dropDuplicates(), "canonical")
 
     roles = {r["column"]: r["financial_role"] for r in rows if r["financial_role"]}
     table, sources = cleaning.derive_metrics(canonical, roles)
@@ -109,9 +109,10 @@ def analyse_table(clean: DataFrame, plan: DataFrame, rows: list, derivations: Da
            "structural_summary": rules.structural_summary(clean, tags, scales, opts)}
     if numeric:
         out["describe"] = stats.describe_numeric(clean, numeric, opts)
-        out["anomalies"] = anomalies.anomalies(clean, numeric, opts)
-        out["anomaly_impact"] = anomalies.anomaly_impact(clean, numeric, opts)
-        out["anomaly_summary"] = anomalies.anomaly_summary(clean, numeric, opts)
+        found = anomalies.anomaly_rules(clean, numeric, opts)
+        out["anomalies"] = anomalies.anomalies(clean, numeric, opts, found)
+        out["anomaly_impact"] = anomalies.anomaly_impact(clean, numeric, opts, found)
+        out["anomaly_summary"] = anomalies.anomaly_summary(clean, numeric, opts, found)
     if len(numeric) >= 2:
         out["pearson"] = correlation.corr_pearson(clean, numeric)
         out["spearman"] = correlation.corr_spearman(clean, numeric, opts)
@@ -180,8 +181,9 @@ def run(df: DataFrame, table_name: str, keys: list[str] | None = None, order_by:
         ordinal: dict[str, list[str]] | None = None, opts: Options = DEFAULTS, rule_profile: str | None = None) -> Results:
     """Profile, tag, clean, analyse and check one table.
 
-    ``keys`` name a row, ``order_by`` gives the row order, ``overrides`` are per-column choices of the caller. The raw and
-    the cleaned table are kept at hand, because many aggregates read them; the driver sees only rows per column.
+    ``keys`` name a row, ``order_by`` gives the row order, ``overrides`` are per-column choices of the caller. The raw
+    table is kept at hand and the cleaned one is written, because many aggregates read them; the driver sees only rows per
+    column.
     """
     raw = nan_to_null(df).persist(StorageLevel.MEMORY_AND_DISK)
     plan = tag_table(raw, table_name, order_by, overrides, opts)
@@ -191,7 +193,7 @@ def run(df: DataFrame, table_name: str, keys: list[str] | None = None, order_by:
     signals = tagging.quality_signals(tagging.table_signals(raw, table_name, opts))
     risk = signals.first()["risk_assessment"]
     clean, tables = clean_table(raw, rows, keys, order_by, risk, ordinal, opts)
-    clean = cut(clean)
+    clean = written(clean, "cleaned")
     results = Results(raw, clean, plan, tables)
     tables["shape"], tables["signals"] = profile.profile_shape(raw), signals
     tables.update(analyse_table(clean, plan, rows, tables["derivations"], opts))
