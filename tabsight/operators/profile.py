@@ -8,7 +8,7 @@ from ..functions.dates import parse_datetime
 from ..functions.numbers import (NUMERIC_TYPES, datetime_columns, kurtosis_agg, numeric_columns, pct, pearson_agg, ratio,
                                  skewness_agg, string_columns)
 from ..functions.quantiles import column_quantiles
-from ..functions.reshape import first_values, keep_small, long_agg, value_counts
+from ..functions.reshape import first_values, long_agg, value_counts
 from ..functions.text import HIDDEN_NULL_WORDS, MONEY_SYMBOLS, quoted, strip, to_number
 from ..options import DEFAULTS, Options
 
@@ -47,22 +47,25 @@ def _values_table(df: DataFrame, values: dict[str, list[str]], name: str) -> Dat
     return df.sparkSession.createDataFrame([(c, v) for c, v in values.items()], f"column string, {name} array<string>")
 
 
-def profile_columns(df: DataFrame, order_by=None, opts: Options = DEFAULTS, firsts: dict[str, list[str]] | None = None) -> DataFrame:
-    """One row per column; the distinct count takes null as one value. ``firsts`` saves looking at the first rows again."""
+def _column_counts(df: DataFrame, opts: Options) -> DataFrame:
     types = F.create_map(*[x for f in df.schema for x in (F.lit(f.name), F.lit(f.dataType.simpleString()))])
     position = F.create_map(*[x for i, c in enumerate(df.columns) for x in (F.lit(c), F.lit(i))])
     per_column = value_counts(df).groupBy("column").agg(
         F.sum("n").alias("rows"), F.count("*").alias("unique_count"),
         F.coalesce(F.sum(F.when(F.col("value").isNull(), F.col("n"))), F.lit(0)).alias("missing_count"))
-    firsts = firsts or first_values(df, df.columns, 3, order_by)
-    samples = _values_table(df, {c: v[:3] for c, v in firsts.items()}, "sample_values")
     share = ratio(F.col("unique_count"), F.col("rows"))
-    return per_column.join(samples, "column", "left").select(
+    return per_column.select(
         "column", types[F.col("column")].alias("dtype"), position[F.col("column")].alias("position"), "rows",
         "missing_count", pct(F.col("missing_count"), F.col("rows")).alias("missing_pct"), "unique_count",
         share.alias("cardinality_ratio"),
-        ((share >= opts.key_ratio) & (F.col("missing_count") == 0) & (F.col("rows") > 1)).alias("candidate_key_hint"),
-        "sample_values")
+        ((share >= opts.key_ratio) & (F.col("missing_count") == 0) & (F.col("rows") > 1)).alias("candidate_key_hint"))
+
+
+def profile_columns(df: DataFrame, order_by=None, opts: Options = DEFAULTS, firsts: dict[str, list[str]] | None = None) -> DataFrame:
+    """One row per column; the distinct count takes null as one value. ``firsts`` saves looking at the first rows again."""
+    firsts = firsts or first_values(df, df.columns, 3, order_by)
+    samples = _values_table(df, {c: v[:3] for c, v in firsts.items()}, "sample_values")
+    return _column_counts(df, opts).join(samples, "column", "left")
 
 
 def outlier_iqr(df: DataFrame, columns=None, opts: Options = DEFAULTS) -> DataFrame:
@@ -183,32 +186,36 @@ def profile_confidence(shape: DataFrame) -> DataFrame:
                         F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), raw)), 3).alias("confidence"))
 
 
+# What a profile row holds, and its value for columns a measure does not apply to.
+PROFILE_SCHEMA = (
+    "table_name string, column string, position int, dtype string, rows long, missing_count long, missing_pct double, unique_count long, "
+    "cardinality_ratio double, candidate_key_hint boolean, sample_values array<string>, datetime_pct double, numeric_pct double, "
+    "currency_like boolean, date_like boolean, identifier_like boolean, has_outliers boolean, distribution_type string, is_normal boolean, "
+    "max_abs_r double, partners long, p95 double, has_datetime boolean")
+NOT_MEASURED = {"currency_like": False, "date_like": False, "identifier_like": False, "has_outliers": False, "distribution_type": "",
+                "is_normal": False, "max_abs_r": 0.0, "partners": 0, "p95": None}
+
+
 def full_profile(df: DataFrame, table_name: str, order_by=None, opts: Options = DEFAULTS) -> DataFrame:
-    """Everything the tagging rules read, one row per column."""
+    """Everything the tagging rules read, one row per column.
+
+    Each measure is an aggregate over the whole table; the rows per column they give are put together on the driver.
+    """
     numeric = numeric_columns(df)
     firsts = first_values(df, df.columns, 10, order_by)
-    out = profile_columns(df, order_by, opts, firsts).join(parseability(df), "column")
-    out = out.join(format_hints(df, order_by, opts, firsts), "column", "left")
+    parts = [_column_counts(df, opts), parseability(df), format_hints(df, order_by, opts, firsts)]
     if numeric:
-        corr = keep_small(raw_correlations(df, numeric, opts))
-        both = corr.select(F.col("col1").alias("column"), F.abs("r").alias("_r")).unionAll(
-            corr.select(F.col("col2").alias("column"), F.abs("r").alias("_r")))
-        out = (out.join(outlier_iqr(df, numeric, opts).select("column", "has_outliers"), "column", "left")
-               .join(distribution_shape(df, numeric, opts).select("column", "distribution_type", "is_normal"), "column", "left")
-               .join(both.groupBy("column").agg(F.max("_r").alias("max_abs_r"), F.count("*").alias("partners")), "column", "left")
-               .join(column_quantiles(df, numeric, [0.95], opts).select("column", F.col("q")[0].alias("p95")), "column", "left"))
-    else:
-        for c, t in (("has_outliers", "boolean"), ("distribution_type", "string"), ("is_normal", "boolean"),
-                     ("max_abs_r", "double"), ("partners", "long"), ("p95", "double")):
-            out = out.withColumn(c, F.lit(None).cast(t))
-    false = F.lit(False)
-    return out.select(
-        F.lit(table_name).alias("table_name"), "column", "position", "dtype", "rows", "missing_count", "missing_pct",
-        "unique_count", "cardinality_ratio", "candidate_key_hint", "sample_values", "datetime_pct", "numeric_pct",
-        F.coalesce("currency_like", false).alias("currency_like"), F.coalesce("date_like", false).alias("date_like"),
-        F.coalesce("identifier_like", false).alias("identifier_like"),
-        F.coalesce("has_outliers", false).alias("has_outliers"),
-        F.coalesce("distribution_type", F.lit("")).alias("distribution_type"),
-        F.coalesce("is_normal", false).alias("is_normal"), F.coalesce("max_abs_r", F.lit(0.0)).alias("max_abs_r"),
-        F.coalesce("partners", F.lit(0)).alias("partners"), "p95",
-        F.lit(bool(datetime_columns(df))).alias("has_datetime"))
+        parts += [outlier_iqr(df, numeric, opts).select("column", "has_outliers"),
+                  distribution_shape(df, numeric, opts).select("column", "distribution_type", "is_normal"),
+                  column_quantiles(df, numeric, [0.95], opts).select("column", F.col("q")[0].alias("p95"))]
+    found = {c: {"table_name": table_name, "sample_values": firsts[c][:3], "has_datetime": bool(datetime_columns(df)), **NOT_MEASURED}
+             for c in df.columns}
+    for part in parts:
+        for r in part.collect():
+            found[r["column"]].update(r.asDict())
+    for r in raw_correlations(df, numeric, opts).collect():
+        for c in (r["col1"], r["col2"]):
+            found[c]["max_abs_r"] = max(found[c]["max_abs_r"], abs(r["r"]))
+            found[c]["partners"] += 1
+    names = [f.split()[0] for f in PROFILE_SCHEMA.split(", ")]
+    return df.sparkSession.createDataFrame([tuple(f.get(n) for n in names) for f in found.values() if "rows" in f], PROFILE_SCHEMA)
