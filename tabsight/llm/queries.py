@@ -2,11 +2,13 @@
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import mixing
+from . import mixing, token_counts, token_files
 from .common import read
 
+VOCABULARY = "byte_bpe_50k.json"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -19,3 +21,13 @@ def query(fn):
 @query
 def op3_mix_sources(spark, sf_dir):
     return mixing.mix_report(read(spark, sf_dir, "documents"))
+
+
+@query
+def op8_token_files(spark, sf_dir):
+    return token_files.token_digest(read(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
+
+
+@query
+def op10_token_counts(spark, sf_dir):
+    return token_counts.count_tokens(read(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
