@@ -5,7 +5,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import mixing, token_counts, token_files
+from . import mixing, token_counts, token_files, topk
 from .common import read
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -28,6 +28,20 @@ def op8_token_files(spark, sf_dir):
     return token_files.token_digest(read(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
 
 
+@query
+def op9_topk_search(spark, sf_dir):
+    return topk.top_k(read(spark, sf_dir, "embeddings"), F.col("_id") % 100 == 0)
+
+
+ORACLES["op9_topk_search"] = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_dot_product(q.e, c.e) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0),
+r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank, vec_id, score FROM s)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 10"""
+
+
 @query
 def op10_token_counts(spark, sf_dir):
     return token_counts.count_tokens(read(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
