@@ -5,7 +5,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import mixing, token_counts, token_files, topk
+from . import mixing, q_url, token_counts, token_files, topk
 from .common import read
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -18,6 +18,10 @@ def query(fn):
     return fn
 
 
+QUERIES["op2_url_lists"] = q_url.op2_url_lists
+ORACLES["op2_url_lists"] = q_url.SQL
+
+
 @query
 def op3_mix_sources(spark, sf_dir):
     return mixing.mix_report(read(spark, sf_dir, "documents"))
