@@ -5,7 +5,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import mixing, q_url, token_counts, token_files, topk
+from . import licences, mixing, q_url, token_counts, token_files, topk
 from .common import read
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -27,6 +27,14 @@ def op3_mix_sources(spark, sf_dir):
     return mixing.mix_report(read(spark, sf_dir, "documents"))
 
 
+@query
+def op4_licence_scan(spark, sf_dir):
+    return licences.scan(read(spark, sf_dir, "documents")).drop("places")
+
+
+ORACLES["op4_licence_scan"] = licences.oracle_sql()
+
+
 @query
 def op8_token_files(spark, sf_dir):
     return token_files.token_digest(read(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
