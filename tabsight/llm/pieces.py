@@ -16,26 +16,29 @@ LONGEST_KEPT = 256
 
 
 class PieceCache(dict):
-    """Results by piece. Starts anew when full; long pieces are forgotten after each use, so its memory is bounded."""
+    """Results by piece, in two generations: when the younger is full, the older is dropped, and what is used again comes back from it.
+
+    Long pieces are forgotten after each group of texts, so its memory is bounded.
+    """
 
     def __init__(self, make):
         super().__init__()
-        self.make = make
+        self.make, self.older, self.long = make, {}, []
 
     def fill(self, texts: list[list[str]]) -> None:
-        new = {p for pieces in texts for p in pieces if p not in self}
-        if len(self) + len(new) > CACHE_PIECES:
+        for p in self.long:
+            self.pop(p, None)
+        used = set().union(*texts)
+        if len(self) > CACHE_PIECES // 2:
+            self.older = dict(self)
             self.clear()
-            new = {p for pieces in texts for p in pieces}
+        new = used.difference(self)
+        known = new.intersection(self.older)
+        self.update((p, self.older[p]) for p in known)
+        new = list(new - known)
         if new:
-            new = list(new)
             self.update(zip(new, self.make(new), strict=True))
-
-    def forget_long(self, texts: list[list[str]]) -> None:
-        for pieces in texts:
-            for p in pieces:
-                if len(p) > LONGEST_KEPT:
-                    self.pop(p, None)
+        self.long = [p for p in used if len(p) > LONGEST_KEPT]
 
 
 def in_groups(texts: list[str | None], chars: int = 2_000_000):

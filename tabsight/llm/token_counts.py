@@ -131,7 +131,6 @@ def text_counts(texts: list[str | None], path: str) -> list[int]:
     for group in in_groups(texts):
         cache.fill(group)
         out += [sum(map(cache.__getitem__, pieces)) for pieces in group]
-        cache.forget_long(group)
     return out
 
 

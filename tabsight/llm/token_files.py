@@ -11,6 +11,7 @@ import struct
 import uuid
 
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -39,18 +40,21 @@ class PieceEncoder:
         self.sizes = np.zeros(max(sizes) + 1, dtype=np.int64)
         self.sizes[list(sizes)] = list(sizes.values())
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, dtype="<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def encode(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def __call__(self, pieces: list[str]) -> list[bytes]:
-        joins = [p[0] in WHITE_SET and p[-1] not in WHITE_SET for p in pieces]
-        out = dict(zip((alone := [p for p, j in zip(pieces, joins) if not j]), (x.tobytes() for x in self.encode(alone))))
-        joined = [p for p, j in zip(pieces, joins) if j]
-        for at in range(0, len(joined), 200):
-            some = joined[at:at + 200]
-            ids = self.encode(["".join(some)])[0]
-            ends = np.searchsorted(np.cumsum(self.sizes[ids]), np.cumsum([len(p.encode()) for p in some]), side="left") + 1
-            out.update(zip(some, (x.tobytes() for x in np.split(ids, ends[:-1]))))
+        joined, alone = [], []
+        for p in pieces:
+            (joined if p[0] in WHITE_SET and p[-1] not in WHITE_SET else alone).append(p)
+        out = {p: np.array(ids, dtype="<u4").tobytes() for p, ids in zip(alone, self.encode(alone))}
+        for at in range(0, len(joined), 20_000):
+            some = joined[at:at + 20_000]
+            ids = np.array(list(chain.from_iterable(self.encode(["".join(some[i:i + 200]) for i in range(0, len(some), 200)]))), dtype="<u4")
+            ends = np.cumsum(np.fromiter((len(p.encode()) for p in some), np.int64, len(some)))
+            ends = (4 * (np.searchsorted(np.cumsum(self.sizes[ids]), ends) + 1)).tolist()
+            raw = ids.tobytes()
+            out.update((p, raw[start:end]) for p, start, end in zip(some, [0, *ends], ends))
         return [out[p] for p in pieces]
 
 
@@ -69,7 +73,6 @@ def encode_texts(texts: list[str | None], path: str):
         cache.fill(group)
         for pieces in group:
             yield b"".join(map(cache.__getitem__, pieces))
-        cache.forget_long(group)
 
 
 def _filesystem(path: str):
