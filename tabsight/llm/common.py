@@ -23,3 +23,18 @@ def held_out(doc_id: Column) -> Column:
 def uniform(*key: Column) -> Column:
     """A number in [0, 1) that depends on the key alone, so that a recomputed task draws the same."""
     return F.shiftrightunsigned(F.xxhash64(*key), 11).cast("double") * F.lit(2.0 ** -53)
+
+
+def training_rows(docs: DataFrame, labels: DataFrame, label: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(_id, _text, _label): labelled documents that aren't held out. Label rows of one id are averaged, 0.5 and more is 1; null labels don't count."""
+    marks = labels.where(F.col(label).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(
+        (F.avg(label) >= 0.5).cast("int").alias("_label")).where(~held_out(F.col("_id")))
+    source = docs.select(F.col(id_col).alias("_key"), F.col(text_col).alias("_text")).where(~held_out(F.col("_key")))
+    return source.join(marks, F.col("_key") == F.col("_id")).select("_id", "_text", "_label")
+
+
+def bounded_sample(rows: DataFrame, n: int, most: int) -> DataFrame:
+    """About ``most`` of ``n`` rows, chosen by a hash of id and text, so that every run takes the same."""
+    if n <= most:
+        return rows
+    return rows.where(uniform(F.col("_id"), F.col("_text"), F.lit("sample")) < most / n)

@@ -5,7 +5,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import licences, mixing, q_url, token_counts, token_files, topk
+from . import decontamination, licences, mixing, q_url, quality, token_counts, token_files, topk, toxicity
 from .common import read
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -18,6 +18,12 @@ def query(fn):
     return fn
 
 
+@query
+def op1_spaced_seeds(spark, sf_dir):
+    return decontamination.contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+ORACLES["op1_spaced_seeds"] = decontamination.oracle_sql()
 QUERIES["op2_url_lists"] = q_url.op2_url_lists
 ORACLES["op2_url_lists"] = q_url.SQL
 
@@ -35,6 +41,16 @@ def op4_licence_scan(spark, sf_dir):
 ORACLES["op4_licence_scan"] = licences.oracle_sql()
 
 
+@query
+def op5_quality_nbsvm(spark, sf_dir):
+    return quality.digest(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+@query
+def op7_toxic_spans(spark, sf_dir):
+    return toxicity.digest(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 @query
 def op8_token_files(spark, sf_dir):
     return token_files.token_digest(read(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
