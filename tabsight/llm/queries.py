@@ -5,7 +5,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontamination, licences, mixing, q_url, quality, token_counts, token_files, topk, toxicity
+from . import decontamination, jaccard_join, licences, mixing, q_url, quality, token_counts, token_files, topk, toxicity
 from .common import read
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -46,6 +46,11 @@ def op5_quality_nbsvm(spark, sf_dir):
     return quality.digest(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+@query
+def op6_jaccard_join(spark, sf_dir):
+    return jaccard_join.components(read(spark, sf_dir, "documents"))
+
+
 @query
 def op7_toxic_spans(spark, sf_dir):
     return toxicity.digest(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
