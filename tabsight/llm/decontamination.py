@@ -2,7 +2,7 @@
 
 Each mask keeps some word places of a short window and ignores the others, so a window with replaced words still agrees on one of the masks. Hashes of
 test and training windows are joined; around each hit the texts are laid over one another and compared word by word.
-The four masks below find every stretch of 13 words with up to two replaced ones.
+The four masks below find every stretch of 13 words with up to two replaced ones; the two halves of a shorter test text find it with up to one.
 """
 
 import math
@@ -15,25 +15,30 @@ from ..functions.lineage import written
 from .text_arrays import TOKENS, mix, small_batches, windows, word_hashes
 
 MASKS = ((0, 1, 2, 3, 5, 6, 7), (0, 1, 4, 6, 7, 8, 9), (0, 1, 2, 3, 4, 5, 8), (0, 1, 3, 4, 5, 6, 7))
-SPAN = 10
-STRETCH, SHARE, LEAST_WORDS = 13, 0.8, 5
+STRETCH, REPLACED, LEAST_WORDS = 13, 2, 8
 BITS_PER_SEED, LEAST_BITS, MOST_BITS, PROBES = 64, 16, 27, 3
 
 
 def masks_for(n: int) -> list[tuple[int, ...]]:
-    """The masks of a test text of n words; one shorter than a window has to agree as a whole."""
-    return list(MASKS) if n >= SPAN else [tuple(range(n))]
+    """The masks of a test text of n words; for one shorter than a stretch its halves."""
+    return list(MASKS) if n >= STRETCH else [tuple(range(n // 2)), tuple(range(n // 2, n))]
+
+
+def allowed(n: int) -> int:
+    """Replaced words in a stretch of a test text of n words."""
+    return REPLACED if n >= STRETCH else 1
 
 
 def _seeds(words: np.ndarray, n: int):
-    """(place, hash) of all windows; the hash also holds the mask."""
+    """(place, words the window needs, hash) of all windows of each mask; the hash also holds the mask."""
     for mask in masks_for(n):
-        h = windows(words, mask)[:max(0, len(words) - (SPAN if n >= SPAN else n) + 1)]
-        yield np.arange(len(h)), mix(h ^ np.uint64(hash_of(mask)))
+        span = mask[-1] + 1 if n >= STRETCH else n
+        h = windows(words, mask)[:max(0, len(words) - span + 1)]
+        yield np.arange(len(h)), span, mix(h ^ np.uint64(hash_of(mask, min(n, STRETCH))))
 
 
-def hash_of(mask: tuple[int, ...]) -> int:
-    return int(mix(np.array([sum(1 << p for p in mask)], dtype=np.uint64))[0])
+def hash_of(mask: tuple[int, ...], n: int) -> int:
+    return int(mix(np.array([n << 32 | sum(1 << p for p in mask)], dtype=np.uint64))[0])
 
 
 def _bit_places(h: np.ndarray, bits: int):
@@ -60,7 +65,7 @@ def seed_table(items: DataFrame) -> DataFrame:
     def seeds(batches):
         for batch in batches:
             for item, n, words in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                for place, h in _seeds(np.frombuffer(words, np.uint64), n):
+                for place, _, h in _seeds(np.frombuffer(words, np.uint64), n):
                     yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array([item] * len(h), pa.int64()), pa.array(place, pa.int32())],
                                                      ["hash", "item_id", "place"])
 
@@ -113,7 +118,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     of the best overlay), share (of the test text's words) and n_places (overlays accepted).
 
     Words are runs of ASCII letters and digits and of what lies beyond ASCII, A-Z as a-z. An overlay of a document and a test text of n words counts if
-    somewhere min(n, 13) words of the test text in a row stand over the document's with at least 80 % equal. Test texts under 5 words are ignored. Null and empty texts
+    somewhere 13 words of the test text in a row stand over the document's with at most two different ones, or all words of a shorter test text with at most one. Test texts
+    under 8 words are ignored. Null and empty texts
     overlap with nothing. Rows with equal ids count as one document. Ids are integers; null ids are kept as null. Empty tables give no rows. Other columns are
     not read; texts are whole.
     """
@@ -121,8 +127,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     items = written(test_items(benchmark, item_col, item_text_col), "decon-items")
     seeds = written(seed_table(items), "decon-seeds")
     table = bit_table(seeds, seeds.count())
-    sizes = items.agg(F.max("n"), F.collect_set(F.when(F.col("n") < SPAN, F.col("n")))).first()
-    reach, lengths = sizes[0] or 1, sorted(sizes[1]) + [SPAN]  # at most ten lengths
+    sizes = items.agg(F.max("n"), F.collect_set(F.when(F.col("n") < STRETCH, F.col("n")))).first()
+    reach, lengths = sizes[0] or 1, sorted(sizes[1]) + [STRETCH]  # at most six lengths
     shared = spark.sparkContext.broadcast(table)  # 16 MB at most
 
     def look_up(batches):
@@ -133,9 +139,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
             left = np.repeat(ends, counts) - np.arange(len(words))  # words from here to the end of the text
             found, keys = [], []
             for n in lengths:
-                for place, h in _seeds(words, n):
+                for place, span, h in _seeds(words, n):
                     at = _passes(bits, h)
-                    at = at[left[at] >= n]
+                    at = at[left[at] >= span]
                     found.append(place[at])
                     keys.append(h[at])
             found, keys = np.concatenate(found), np.concatenate(keys)
@@ -189,7 +195,7 @@ def accepted(doc: np.ndarray, start: int, total: int, item: np.ndarray, shift: i
         return None
     equal = doc[low + shift - start:high + shift - start] == item[low:high]
     sums = np.convolve(equal, np.ones(length, dtype=np.int64), mode="valid")
-    good = np.flatnonzero(sums >= math.ceil(SHARE * length - 1e-9))
+    good = np.flatnonzero(sums >= length - allowed(n))
     return (shift + low + int(good[0]), int(equal.sum())) if len(good) else None
 
 
@@ -223,18 +229,21 @@ def oracle_sql() -> str:
     gap = "[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
     words = f"list_filter(string_split(regexp_replace(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{gap}', ' ', 'g'), ' '), lambda x: x <> '')"
     key = lambda t: " UNION ALL ".join(
-        f"SELECT id, p, {k} AS m, [" + ", ".join(f"w[p + {x + 1}]" for x in mask) + f"] AS k FROM {t}, range(len(w) - {SPAN - 1}) r(p)" for k, mask in enumerate(MASKS))
+        f"SELECT id, p, {k} AS m, [" + ", ".join(f"w[p + {x + 1}]" for x in mask) + f"] AS k FROM {t}, range(len(w) - {mask[-1]}) r(p)" for k, mask in enumerate(MASKS))
     return f"""
 WITH d AS MATERIALIZED (SELECT doc_id AS id, {words} AS w FROM documents),
 i AS MATERIALIZED (SELECT item_id AS id, {words} AS w FROM benchmark WHERE item_id IS NOT NULL),
-il AS (SELECT * FROM i WHERE len(w) >= {SPAN}), dl AS (SELECT * FROM d WHERE len(w) >= {SPAN}),
+il AS (SELECT * FROM i WHERE len(w) >= {STRETCH}), dl AS (SELECT * FROM d),
 ik AS ({key('il')}), dk AS ({key('dl')}),
-sh AS (SELECT * FROM i WHERE len(w) >= {LEAST_WORDS} AND len(w) < {SPAN}),
+sh AS (SELECT *, len(w) AS n FROM i WHERE len(w) >= {LEAST_WORDS} AND len(w) < {STRETCH}), ns AS (SELECT DISTINCT n FROM sh),
+sk AS (SELECT id, n, 0 AS m, w[1 : n // 2] AS k FROM sh UNION ALL SELECT id, n, 1, w[n // 2 + 1 : n] FROM sh),
+dp AS (SELECT d.id, ns.n, p, d.w FROM d, ns, range(len(d.w) - ns.n + 1) r(p)),
+ds AS (SELECT id, n, p, 0 AS m, w[p + 1 : p + n // 2] AS k FROM dp UNION ALL SELECT id, n, p, 1, w[p + n // 2 + 1 : p + n] FROM dp),
 hits AS (SELECT DISTINCT dk.id AS d, ik.id AS i, dk.p - ik.p AS s FROM dk JOIN ik USING (m, k)
-  UNION SELECT d.id, sh.id, r.p FROM d, sh, range(len(d.w)) r(p) WHERE d.w[p + 1 : p + len(sh.w)] = sh.w),
+  UNION SELECT ds.id, sk.id, ds.p FROM ds JOIN sk USING (n, m, k)),
 lay AS (SELECT h.d, h.i, h.s, len(i.w) AS n, greatest(0, -h.s) AS lo, least(len(i.w), len(d.w) - h.s) AS hi, d.w AS dw, i.w AS iw
   FROM hits h JOIN d ON h.d IS NOT DISTINCT FROM d.id JOIN i ON h.i = i.id),
 eq AS (SELECT *, least(n, {STRETCH}) AS len, list_transform(range(lo, hi), lambda j: CASE WHEN dw[j + s + 1] = iw[j + 1] THEN 1 ELSE 0 END) AS e FROM lay WHERE hi - lo >= least(n, {STRETCH})),
-good AS (SELECT *, list_filter(range(0, hi - lo - len + 1), lambda a: list_sum(e[a + 1 : a + len]) >= ceil({SHARE} * len - 1e-9)) AS g FROM eq)
+good AS (SELECT *, list_filter(range(0, hi - lo - len + 1), lambda a: list_sum(e[a + 1 : a + len]) >= len - CASE WHEN n >= {STRETCH} THEN {REPLACED} ELSE 1 END) AS g FROM eq)
 SELECT d AS doc_id, i AS item_id, min(s + lo + g[1]) AS first_word, max(CAST(list_sum(e) AS BIGINT)) AS matched, max(list_sum(e) / n) AS share, count(DISTINCT s) AS n_places
 FROM good WHERE len(g) > 0 GROUP BY d, i"""
