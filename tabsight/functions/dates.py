@@ -1,34 +1,63 @@
-"""Mixed-format date parsing without failed attempts: a pattern picks the one format to try."""
+"""Mixed-format date parsing without failed attempts: the shape of a text decides how it is read."""
 
 from pyspark.sql import Column, functions as F
 
-from .text import strip
-
-_CLOCK = r"[ T]\d{2}:\d{2}:\d{2}(\.\d+)?"
-
-# Fixed values, in priority order: (shape of the text, format). Slash dates are month first; the day-first
-# reading is used only when the first number cannot be a month.
-DATE_FORMATS = [
-    (r"^\d{4}-\d{1,2}-\d{1,2}$", "y-M-d"),
-    (r"^\d{4}/\d{1,2}/\d{1,2}$", "y/M/d"),
-    (r"^(0?[1-9]|1[0-2])/\d{1,2}/\d{4}$", "M/d/y"),
-    (r"^(1[3-9]|2\d|3[01])/\d{1,2}/\d{4}$", "d/M/y"),
-    (r"^(0?[1-9]|1[0-2])-\d{1,2}-\d{4}$", "M-d-y"),
-    (r"^(1[3-9]|2\d|3[01])-\d{1,2}-\d{4}$", "d-M-y"),
-    (r"^\d{1,2} [A-Z][a-z]{2} \d{4}$", "d MMM y"),
-    (r"^[A-Z][a-z]{2} \d{1,2}, \d{4}$", "MMM d, y"),
-    (r"^\d{8}$", "yyyyMMdd"),
+from .text import let, strip
+
+# A clock behind a date: hours, minutes, seconds, fraction, am/pm, zone.
+_CLOCK = r"[T ]+(\d{1,2}):(\d{2})(?::(\d{2})(\.\d+)?)?(?: ?([AaPp])\.?[Mm]\.?)?(?: ?(Z|z|UTC|GMT|[+-]\d{2}:?\d{2}))?$"
+_MONTH = r"(?i:(jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|june?|july?|aug(?:ust)?|sept?(?:ember)?|oct(?:ober)?|nov(?:ember)?|dec(?:ember)?))\.?"
+
+# Fixed values, in priority order: (shape of the text, the date in year-month-day order). Slash dates are month first; the day-first
+# reading is used only when the first number cannot be a month. Years of two digits are 1969 to 2068.
+DATE_SHAPES = [
+    (r"^(\d{4})[-/.](\d{1,2})[-/.](\d{1,2})$", "$1-$2-$3"),
+    (r"^(0?[1-9]|1[0-2])[-/](\d{1,2})[-/](\d{4})$", "$3-$1-$2"),
+    (r"^(1[3-9]|2\d|3[01])[-/](\d{1,2})[-/](\d{4})$", "$3-$2-$1"),
+    (r"^(0?[1-9]|1[0-2])[-/](\d{1,2})[-/]([0-5]\d|6[0-8])$", "20$3-$1-$2"),
+    (r"^(0?[1-9]|1[0-2])[-/](\d{1,2})[-/](69|[7-9]\d)$", "19$3-$1-$2"),
+    (r"^(1[3-9]|2\d|3[01])[-/](\d{1,2})[-/]([0-5]\d|6[0-8])$", "20$3-$2-$1"),
+    (r"^(1[3-9]|2\d|3[01])[-/](\d{1,2})[-/](69|[7-9]\d)$", "19$3-$2-$1"),
+    (r"^(\d{4})(\d{2})(\d{2})$", "$1-$2-$3"),
+]
+# (shape, group of the year, of the month's name, of the day)
+NAMED_SHAPES = [
+    (rf"^(\d{{1,2}})[ -]+{_MONTH},?[ -]+(\d{{4}})$", 3, 2, 1),
+    (rf"^{_MONTH}[ -]+(\d{{1,2}}),?[ -]+(\d{{4}})$", 3, 1, 2),
 ]
-
 
 # What every supported date text begins with; one cheap test turns other texts away.
-_BEGINNING = r"^(\d{4}[-/]|\d{1,2}[-/ ]|[A-Z][a-z]{2} \d|\d{8}$)"
+_BEGINNING = r"^(\d{4}[-/.]|\d{1,2}[-/ ]|[A-Za-z]{3,9}\.?[ -]+\d|\d{8}([T ]|$))"
+
+
+def _date(t: Column) -> Column:
+    out = None
+    for shape, order in DATE_SHAPES:
+        value = F.regexp_replace(t, shape, order).try_cast("date")
+        out = F.when(t.rlike(shape), value) if out is None else out.when(t.rlike(shape), value)
+    for shape, y, m, d in NAMED_SHAPES:
+        part = lambda i, s=shape: F.regexp_extract(t, s, i)
+        month = (F.position(F.lower(F.substring(part(m), 1, 3)), F.lit("janfebmaraprmayjunjulaugsepoctnovdec")) + 2) / 3
+        out = out.when(t.rlike(shape), F.concat_ws("-", part(y), month.cast("int").cast("string"), part(d)).try_cast("date"))
+    return out
+
+
+def _clock(t: Column) -> Column:
+    """Time of day as an interval, zone taken off; null when out of range."""
+    number = lambda i: F.coalesce(F.regexp_extract(t, _CLOCK, i).try_cast("int"), F.lit(0))
+    half, zone = F.lower(F.regexp_extract(t, _CLOCK, 5)), F.regexp_extract(t, _CLOCK, 6)
+    hour = F.when(half == "", number(1)).when(number(1).between(1, 12), number(1) % 12 + F.when(half == "p", 12).otherwise(0)).otherwise(99)
+    second = number(3) + F.coalesce(F.regexp_extract(t, _CLOCK, 4).try_cast("decimal(18,6)"), F.lit(0))
+    away = F.when(zone.rlike("^[+-]"), F.concat(F.substring(zone, 1, 1), F.lit("1")).try_cast("int") * (
+        F.substring(zone, 2, 2).try_cast("int") * 60 + F.substring(zone, -2, 2).try_cast("int"))).otherwise(0)
+    return F.when((hour < 24) & (number(2) < 60) & (number(3) < 60), F.make_dt_interval(F.lit(0), hour, number(2) - away, second))
 
 
 def parse_datetime(c: Column) -> Column:
-    """Text to timestamp_ntz by the first matching shape; null when no format fits."""
-    t = strip(c.cast("string"))
-    out = F.when(t.rlike(r"^\d{4}-\d{2}-\d{2}" + _CLOCK + "$"), t.try_cast("timestamp_ntz"))
-    for shape, fmt in DATE_FORMATS:
-        out = out.when(t.rlike(shape), F.try_to_timestamp(t, F.lit(fmt)).cast("timestamp_ntz"))
-    return F.when(t.rlike(_BEGINNING), out)
+    """Text to timestamp_ntz by the first matching shape, with or without a clock; null when no shape fits. A time with a zone becomes UTC."""
+    def read(t):
+        clocked = t.rlike(_CLOCK)
+        day = let(F.when(clocked, F.regexp_replace(t, _CLOCK, "")).otherwise(t), _date).cast("timestamp_ntz")
+        return F.when(clocked, day + _clock(t)).otherwise(day)
+
+    return let(strip(c.cast("string")), lambda t: F.when(t.rlike(_BEGINNING), read(t)))

@@ -72,7 +72,7 @@ def infer_coarse_type(profile: DataFrame, opts: Options = DEFAULTS) -> DataFrame
 def semantic_tag(profile: DataFrame, opts: Options = DEFAULTS) -> DataFrame:
     """Adds ``semantic_tag`` to rows that have ``inferred_type``."""
     tokens, kind = name_tokens(F.col("column")), F.col("inferred_type")
-    money, samples = F.col("currency_like"), F.coalesce("sample_values", F.array().cast("array<string>"))
+    money = F.col("currency_like")
     numeric = (kind == "numeric") | (F.col("numeric_pct") >= opts.parse_share) | money
     named = {tag: has_token(tokens, words) for tag, words in TAG_WORDS.items()}
     few = (F.col("unique_count") < 20) | (F.col("cardinality_ratio") <= 0.2)
@@ -86,8 +86,8 @@ def semantic_tag(profile: DataFrame, opts: Options = DEFAULTS) -> DataFrame:
     rules += [(hit & (kind == "string") if tag == "text" else hit, tag) for tag, hit in named.items()]
     rules += [
         (money & kind.isin("numeric", "string"), "currency"),
-        (money | F.exists(samples, lambda s: s.contains("@")), "text"),
-        (F.col("date_like") | F.exists(samples, lambda s: s.rlike(r"^\s*\d{4}") & s.contains("-")), "datetime"),
+        (money | F.col("at_like"), "text"),
+        (F.col("date_like") | F.col("iso_like"), "datetime"),
         ((kind == "string") & few, "categorical_label"),
         (kind == "string", "text"),
     ]
@@ -193,8 +193,7 @@ def _numeric_policy(limit: float) -> list:
 def null_policy(profile: DataFrame) -> DataFrame:
     """Adds the action for missing values and the missing share it is meant for."""
     m, n, tag, kind = F.col("missing_pct"), F.col("unique_count"), F.col("semantic_tag"), F.col("intended_type")
-    seen = F.transform(F.coalesce("sample_values", F.array().cast("array<string>")), lambda s: F.lower(F.trim(s)))
-    diversity = F.size(F.array_distinct(F.filter(seen, lambda s: s != "")))
+    diversity = n - (F.col("missing_count") > 0).cast("int")  # the distinct count takes null as a value
     time, label = (tag == "datetime") | (kind == "datetime"), tag == "categorical_label"
     measured = tag.isin("percentage", "count", "physical_measurement")
     rules = [

@@ -39,7 +39,7 @@ def currency_checks(df: DataFrame, columns: list[str], opts: Options = DEFAULTS)
 
 
 def coerce_types(df: DataFrame, types: dict[str, str]) -> DataFrame:
-    """Columns to their intended type; what does not fit becomes null."""
+    """Columns to their intended type; what does not fit becomes null, for dates with a ``<column>_parse_failed`` flag as for money."""
     numeric = set(numeric_columns(df))
     physical = {f.name: f.dataType.simpleString() for f in df.schema}
 
@@ -54,7 +54,10 @@ def coerce_types(df: DataFrame, types: dict[str, str]) -> DataFrame:
             return X.to_boolean(quoted(c))
         return X.null_text(quoted(c).cast("string"))
 
-    return _rewrite(df, {c: to(c, k) for c, k in types.items() if c in df.columns})
+    new = {c: to(c, k) for c, k in types.items() if c in df.columns}
+    flags = {f"{c}_parse_failed": (X.null_text(quoted(c)).isNotNull() & new[c].isNull()).cast("int") for c in new
+             if types[c] == "datetime" and physical[c] == "string"}
+    return _rewrite(df, new, flags)
 
 
 def null_text(df: DataFrame, columns: list[str]) -> DataFrame:

@@ -24,20 +24,18 @@ def null_counts(df: DataFrame) -> DataFrame:
 def profile_shape(df: DataFrame) -> DataFrame:
     """Rows, columns, missing cells, duplicate rows.
 
-    Duplicates are exact, but only rows whose 64-bit hash occurs twice are compared in full: the first pass shuffles a hash
-    per row, the second only the candidates.
+    Rows are grouped by two 64-bit hashes, combined before the shuffle, so what is shuffled is 16 bytes a row. Duplicates are those of the hash groups; two different
+    rows agree in both hashes with a chance of 2**-128 a pair.
     """
     cells = [quoted(c) for c in df.columns]
-    hashed = df.withColumn("_h", F.xxhash64(*cells))
     nulls = sum((c.isNull().cast("int") for c in cells), F.lit(0))
-    by_hash = hashed.groupBy("_h").agg(F.count("*").alias("_n"), F.sum(nulls).alias("_nulls"))
+    by_hash = df.groupBy(F.xxhash64(*cells).alias("_h"), F.xxhash64(F.lit(1), *reversed(cells), F.lit(2)).alias("_g")).agg(
+        F.count("*").alias("_n"), F.sum(nulls).alias("_nulls"))
     totals = by_hash.agg(
         F.coalesce(F.sum("_n"), F.lit(0)).alias("row_count"), F.coalesce(F.sum("_nulls"), F.lit(0)).alias("total_missing"),
-        F.count_if(F.col("_n") == 1).alias("_single"))
-    candidates = hashed.join(by_hash.where("_n > 1").select("_h"), "_h", "left_semi")
-    repeated = candidates.groupBy(*cells).agg(F.count("*").alias("_k")).agg(F.count("*")).scalar()
+        F.count("*").alias("_distinct"))
     cols, r = len(df.columns), F.col("row_count")
-    return totals.withColumn("duplicate_rows", r - F.col("_single") - repeated).select(
+    return totals.withColumn("duplicate_rows", r - F.col("_distinct")).select(
         r, F.lit(cols).alias("column_count"), (r * cols).alias("total_cells"), "total_missing",
         pct(F.col("total_missing"), r * cols).alias("missing_pct"), "duplicate_rows",
         pct(F.col("duplicate_rows"), r).alias("duplicate_pct"))
@@ -167,17 +165,21 @@ def parseability(df: DataFrame) -> DataFrame:
     return long_agg(df, metrics)
 
 
-def format_hints(df: DataFrame, order_by=None, opts: Options = DEFAULTS, firsts: dict[str, list[str]] | None = None) -> DataFrame:
-    """Money, date and identifier hints from the name and the first 10 values of non-numeric columns."""
+def format_hints(df: DataFrame, opts: Options = DEFAULTS) -> DataFrame:
+    """Money, date and identifier hints of non-numeric columns, from the name and the share of all their values that look so."""
     columns = [f.name for f in df.schema if not isinstance(f.dataType, (*NUMERIC_TYPES, T.BooleanType))]
-    firsts = firsts or first_values(df, columns, 10, order_by)
-    low, vals = F.lower("column"), F.col("values")
-    return _values_table(df, {c: firsts[c] for c in columns}, "values").select(
-        "column",
-        F.exists(vals, lambda v: v.rlike(f"[{MONEY_SYMBOLS[:5]}]")).alias("currency_like"),
-        (low.contains("date") | low.contains("time")
-         | F.exists(vals, lambda v: strip(v).contains("-") & (F.length(strip(v)) >= 8))).alias("date_like"),
-        (low.endswith("_id") | (low == "id") | low.startswith("id_")).alias("identifier_like"))
+    if not columns:
+        return df.sparkSession.createDataFrame([], "column string, currency_like boolean, date_like boolean, identifier_like boolean, at_like boolean, iso_like boolean")
+    metrics = {}
+    for c in columns:
+        n, v = F.count(quoted(c)), quoted(c).cast("string")
+        often = lambda test, n=n: (n > 0) & (F.count_if(test) >= opts.hint_share * n)
+        metrics[c] = {"_money": often(v.rlike(f"[{MONEY_SYMBOLS[:5]}]")), "_dashed": often(strip(v).contains("-") & (F.length(strip(v)) >= 8)),
+                      "at_like": often(v.contains("@")), "iso_like": often(v.rlike(r"^\s*\d{4}") & v.contains("-"))}
+    low = F.lower("column")
+    return long_agg(df, metrics).select(
+        "column", F.col("_money").alias("currency_like"), (low.contains("date") | low.contains("time") | F.col("_dashed")).alias("date_like"),
+        (low.endswith("_id") | (low == "id") | low.startswith("id_")).alias("identifier_like"), "at_like", "iso_like")
 
 
 def profile_confidence(shape: DataFrame) -> DataFrame:
@@ -190,9 +192,9 @@ def profile_confidence(shape: DataFrame) -> DataFrame:
 PROFILE_SCHEMA = (
     "table_name string, column string, position int, dtype string, rows long, missing_count long, missing_pct double, unique_count long, "
     "cardinality_ratio double, candidate_key_hint boolean, sample_values array<string>, datetime_pct double, numeric_pct double, "
-    "currency_like boolean, date_like boolean, identifier_like boolean, has_outliers boolean, distribution_type string, is_normal boolean, "
+    "currency_like boolean, date_like boolean, identifier_like boolean, at_like boolean, iso_like boolean, has_outliers boolean, distribution_type string, is_normal boolean, "
     "max_abs_r double, partners long, p95 double, has_datetime boolean")
-NOT_MEASURED = {"currency_like": False, "date_like": False, "identifier_like": False, "has_outliers": False, "distribution_type": "",
+NOT_MEASURED = {"currency_like": False, "date_like": False, "identifier_like": False, "at_like": False, "iso_like": False, "has_outliers": False, "distribution_type": "",
                 "is_normal": False, "max_abs_r": 0.0, "partners": 0, "p95": None}
 
 
@@ -202,8 +204,8 @@ def full_profile(df: DataFrame, table_name: str, order_by=None, opts: Options =
     Each measure is an aggregate over the whole table; the rows per column they give are put together on the driver.
     """
     numeric = numeric_columns(df)
-    firsts = first_values(df, df.columns, 10, order_by)
-    parts = [_column_counts(df, opts), parseability(df), format_hints(df, order_by, opts, firsts)]
+    firsts = first_values(df, df.columns, 3, order_by)
+    parts = [_column_counts(df, opts), parseability(df), format_hints(df, opts)]
     if numeric:
         parts += [outlier_iqr(df, numeric, opts).select("column", "has_outliers"),
                   distribution_shape(df, numeric, opts).select("column", "distribution_type", "is_normal"),

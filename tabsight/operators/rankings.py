@@ -46,19 +46,23 @@ def rank_dimension(df: DataFrame, metric: str, dims: list[str], opts: Options =
 
 
 def select_dimensions(totals: DataFrame, order: list[str], opts: Options = DEFAULTS) -> DataFrame:
-    """Dimensions of 2-20 labels: priority names first, the rest by spread of shares, at most six in all."""
-    lo, hi = opts.dimension_values
+    """Dimensions of two labels and more: priority names first, the rest by spread of shares.
+
+    ``Options.most_labels`` and ``Options.max_dimensions`` leave out long dimensions and all but the first ones; neither is set by default.
+    """
     stats = totals.groupBy("dimension").agg(
         F.count("*").alias("labels"), F.sum("total").alias("_all"), F.max("total").alias("_max"), F.min("total").alias("_min"))
-    fit = stats.where(F.col("labels").between(lo, hi) & (F.col("_all") != 0))
+    fit = stats.where((F.col("labels") > 1) & (F.col("_all") != 0))
+    if opts.most_labels is not None:
+        fit = fit.where(F.col("labels") <= opts.most_labels)
     spread = (F.col("_max") - F.col("_min")) / F.col("_all") * 100
     place = F.array_position(F.array(*[F.lit(c) for c in order]), F.col("dimension"))
     fit = fit.select("dimension", "labels", spread.alias("spread"), place.alias("_place"),
                      has_token(name_tokens(F.col("dimension")), PRIORITY_WORDS).alias("priority"))
     # One row per dimension of the table.
     w = Window.orderBy(F.desc("priority"), F.when(~F.col("priority"), -F.col("spread")), "_place")
-    return (fit.withColumn("rank", F.row_number().over(w)).where(F.col("priority") | (F.col("rank") <= opts.max_dimensions))
-            .select("dimension", "labels", "spread", "priority", "rank"))
+    ranked_all = fit.withColumn("rank", F.row_number().over(w)).select("dimension", "labels", "spread", "priority", "rank")
+    return ranked_all if opts.max_dimensions is None else ranked_all.where(F.col("priority") | (F.col("rank") <= opts.max_dimensions))
 
 
 def profit_breakdown(df: DataFrame, profit: str, dims: list[str], opts: Options = DEFAULTS) -> DataFrame:

@@ -28,15 +28,15 @@ def sample_rows(df: DataFrame, keys: list[str], n: int | None = None, seed: int
     A hash limit that lets through little more than n rows is found first, so the final sort is small at any size.
     """
     n = n or opts.row_documents
+    order = F.sha2(F.concat_ws("|", *[quoted(k).cast("string") for k in keys], F.lit(str(seed))), 256)
     total = df.count()
     if total <= n:
         return df
-    h = F.xxhash64(*[quoted(k) for k in keys], F.lit(seed))
-    hashed = df.withColumn("_h", h)
+    hashed = df.withColumn("_h", order)
     share = 1.2 * n / total
     while share < 1.0:
-        limit = int(-2 ** 63 + share * 2 ** 64)
-        candidates = hashed.where(F.col("_h") <= limit)
+        limit = f"{int(share * 16 ** 12):012x}"  # the first twelve hexadecimal digits say how far down the order a row is
+        candidates = hashed.where(F.substring("_h", 1, 12) < limit)
         if candidates.limit(n).count() >= n:
             return candidates.orderBy("_h", *[quoted(k) for k in keys]).limit(n).drop("_h")
         share *= 2

@@ -43,17 +43,14 @@ def category_top_other(df: DataFrame, columns: list[str], opts: Options = DEFAUL
 
 
 def standardize(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """``<column>_z`` of the first six numeric columns."""
-    columns = (columns or numeric_columns(df))[:6]
+    """``<column>_z`` of the numeric columns."""
+    columns = columns or numeric_columns(df)
     stats = {r["column"]: r for r in long_agg(df, {c: {"m": F.avg(quoted(c)), "s": F.stddev_samp(quoted(c))} for c in columns}).collect()}
     return df.select("*", *[((quoted(c) - stats[c]["m"]) / F.lit(stats[c]["s"] or 1.0)).alias(f"{c}_z") for c in columns])
 
 
 def box_stats(df: DataFrame, column: str, group: str | None = None, opts: Options = DEFAULTS) -> DataFrame:
-    """Quartiles and whiskers, for the column or per label when there are few labels."""
-    if group is not None:
-        labels = df.where(quoted(group).isNotNull()).select(quoted(group)).distinct().limit(opts.box_groups + 1).count()
-        group = group if labels <= opts.box_groups else None
+    """Quartiles and whiskers, for the column or per label, however many there are."""
     label = quoted(group).cast("string") if group else F.lit("all")
     long = df.select(label.alias("label"), quoted(column).cast("double").alias("value")).dropna()
     q = exact_quantiles(long, ["label"], "value", [0.25, 0.5, 0.75], opts)
@@ -61,8 +58,7 @@ def box_stats(df: DataFrame, column: str, group: str | None = None, opts: Option
     fences = q.select("label", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"),
                       (F.col("q")[0] - opts.fence * spread).alias("_lo"), (F.col("q")[2] + opts.fence * spread).alias("_hi"))
     inside = F.when(F.col("value").between(F.col("_lo"), F.col("_hi")), F.col("value"))
-    # At most box_groups rows of fences.
-    return (long.join(F.broadcast(fences), "label").groupBy("label", "q1", "median", "q3")
+    return (long.join(fences, "label").groupBy("label", "q1", "median", "q3")
             .agg(F.count("*").alias("n"), F.min(inside).alias("whisker_low"), F.max(inside).alias("whisker_high"),
                  F.count_if(inside.isNull()).alias("outliers")))
 
@@ -85,34 +81,27 @@ def histogram(df: DataFrame, column: str, bins: int | None = None, opts: Options
 
 
 def derived_summary(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """Means of up to six derived metrics."""
-    columns = (columns or [c for c in numeric_columns(df) if c.startswith("derived_")])[:6]
+    """Means of the derived metrics."""
+    columns = columns or [c for c in numeric_columns(df) if c.startswith("derived_")]
     return long_agg(df, {c: {"mean": F.avg(quoted(c))} for c in columns})
 
 
-def _label_count_ok(df: DataFrame, dim: str, limits: tuple[int, int]) -> bool:
-    """Whether a dimension has a number of values within the limits; looks at one value more than allowed."""
-    n = df.where(quoted(dim).isNotNull()).select(quoted(dim)).distinct().limit(limits[1] + 1).count()
-    return limits[0] <= n <= limits[1]
-
-
-def mean_by(df: DataFrame, dim: str, metrics: dict[str, str], limits: tuple[int, int]) -> DataFrame:
-    """Means per label; empty when the dimension has too few or too many labels."""
-    base = df if _label_count_ok(df, dim, limits) else df.limit(0)
-    return (base.where(quoted(dim).isNotNull()).groupBy(quoted(dim).alias("label"))
+def mean_by(df: DataFrame, dim: str, metrics: dict[str, str]) -> DataFrame:
+    """Means per label of a dimension."""
+    return (df.where(quoted(dim).isNotNull()).groupBy(quoted(dim).alias("label"))
             .agg(*[F.round(F.avg(quoted(c)), 2).alias(name) for name, c in metrics.items()]))
 
 
-def discount_margin_by_rep(df, rep, discount, margin, opts: Options = DEFAULTS) -> DataFrame:
-    return mean_by(df, rep, {"avg_discount": discount, "avg_margin": margin}, opts.rep_values)
+def discount_margin_by_rep(df, rep, discount, margin) -> DataFrame:
+    return mean_by(df, rep, {"avg_discount": discount, "avg_margin": margin})
 
 
-def order_value_by_segment(df, segment, revenue, opts: Options = DEFAULTS) -> DataFrame:
-    return mean_by(df, segment, {"avg_order_value": revenue}, opts.dimension_values)
+def order_value_by_segment(df, segment, revenue) -> DataFrame:
+    return mean_by(df, segment, {"avg_order_value": revenue})
 
 
-def shipping_cost_by_region(df, region, shipping, opts: Options = DEFAULTS) -> DataFrame:
-    return mean_by(df, region, {"avg_shipping_cost": shipping}, opts.dimension_values)
+def shipping_cost_by_region(df, region, shipping) -> DataFrame:
+    return mean_by(df, region, {"avg_shipping_cost": shipping})
 
 
 def margin_by_category_month(df: DataFrame, category: str, month: str, margin: str) -> DataFrame:
@@ -150,17 +139,13 @@ def lead_time(df: DataFrame, column: str, opts: Options = DEFAULTS) -> DataFrame
 
 
 def lead_time_by(df: DataFrame, column: str, dims: list[str], n: int = 5, opts: Options = DEFAULTS) -> DataFrame:
-    """Mean, median and count per label of every small dimension; the slowest and fastest n labels."""
+    """Mean, median and count per label of every dimension of two labels and more; the slowest and fastest n labels."""
     cells = text_cells(df, dims, [column], keep_null=False).where(quoted(column).isNotNull()).withColumnsRenamed(
         {"column": "dimension", column: "_days"})
-    groups = cut(cells.groupBy("dimension", "value").agg(F.avg("_days").alias("mean_days"), F.count("*").alias("orders")))
-    sizes = groups.groupBy("dimension").agg(F.count("*").alias("labels")).where(
-        F.col("labels").between(*opts.dimension_values))
+    groups = cells.groupBy("dimension", "value").agg(F.avg("_days").alias("mean_days"), F.count("*").alias("orders"))
+    sizes = groups.groupBy("dimension").agg(F.count("*").alias("labels")).where("labels > 1")
     small = groups.join(sizes, "dimension")
-    # Exact medians only for dimensions of few labels, so the keys are bounded.
-    names = [r["dimension"] for r in sizes.select("dimension").collect()]
-    med = exact_quantiles(cells.where(F.col("dimension").isin(names) if names else F.lit(False)),
-                          ["dimension", "value"], "_days", [0.5], opts)
+    med = exact_quantiles(cells, ["dimension", "value"], "_days", [0.5], opts)
     slow = Window.partitionBy("dimension").orderBy(F.desc("mean_days"), "value")
     fast = Window.partitionBy("dimension").orderBy("mean_days", F.desc("value"))
     return (small.join(med, ["dimension", "value"]).withColumn("rank_slow", F.row_number().over(slow))

@@ -32,16 +32,14 @@ def growth_quarterly(df: DataFrame, date: str, metric: str) -> DataFrame:
     return _growth(totals, ["year", "quarter"], F.format_string("%d-Q%d", "year", "quarter"))
 
 
-def growth_yearly(df: DataFrame, date: str, metric: str, opts: Options = DEFAULTS) -> DataFrame:
-    """Yearly roll-up of the monthly sums, given only when there are more months than a chart can show."""
+def growth_yearly(df: DataFrame, date: str, metric: str) -> DataFrame:
+    """Yearly roll-up of the monthly sums."""
     months = df.where(quoted(date).isNotNull()).groupBy(F.year(quoted(date)).alias("year"), F.month(quoted(date)).alias("month")).agg(
         F.sum(quoted(metric)).alias("total"))
     years = months.groupBy("year").agg(F.sum("total").alias("total"), F.count("*").alias("months"))
-    long_enough = F.sum("months").over(Window.partitionBy()) > opts.growth_max_points  # one row per year
-    kept = years.withColumn("_keep", long_enough).where("_keep").drop("_keep")
-    w = Window.orderBy("year")
+    w = Window.orderBy("year")  # one row per year
     before = F.lag("total").over(w)
-    return kept.withColumn("growth_pct", F.try_divide(F.col("total") - before, before) * 100)
+    return years.withColumn("growth_pct", F.try_divide(F.col("total") - before, before) * 100)
 
 
 def _season(df: DataFrame, part, metric: str, label) -> DataFrame:

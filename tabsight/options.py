@@ -56,18 +56,16 @@ class Options:
     strong_r: float = 0.7
     min_variation: float = 0.03
     rank_n: int = 5
-    max_dimensions: int = 6
-    dimension_values: tuple = (2, 20)
-    rep_values: tuple = (2, 30)
+    hint_share: float = 0.1
+    max_dimensions: int | None = None
+    most_labels: int | None = None
     z_limit: float = 3.5
     anomaly_skew: float = 1.0
     anomaly_fence: float = 3.0
     max_bars: int = 15
     top_bars: int = 14
-    growth_max_points: int = 40
     bins: int = 20
     keep_insights: int = 16
-    box_groups: int = 10
     # output checks and facts
     trend_min_n: int = 10
     max_rule_fail_pct: float = 15.0

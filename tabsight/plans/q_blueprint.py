@@ -4,7 +4,7 @@ from functools import reduce
 
 from pyspark.sql import functions as F
 
-from ..functions.lineage import scratch_path
+from ..functions.lineage import written
 from ..operators import blueprint as B, profile as P
 from .registry import query
 from .views import MESSY_SQL, SALES_SQL, messy_sales, sales, table
@@ -23,6 +23,8 @@ CATALOG = {
               "sales_representative": "string", "units_sold": "double", "net_sales": "double", "profit": "double",
               "profit_margin": "double", "discount_percentage": "double", "shipping_cost": "double", "returned": "boolean"},
 }
+
+FILES = ("lineitem", "orders", "customer", "nation", "region", "part", *(t for t in CATALOG if t not in ("sales", "messy_sales")))
 _profiles = {}
 
 
@@ -33,14 +35,16 @@ def _load(spark, d, name):
 
 
 def catalog_profile(spark, d):
-    """The profile of all tables, written once per session and folder and then read by every rule."""
-    key = (spark.sparkContext.applicationId, d)
+    """The profile of all tables, written once for a state of their files and then read by every rule.
+
+    The state is the path, size and time of every file, so changed data is profiled anew.
+    """
+    files = [table(spark, d, t).select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct() for t in FILES]
+    state = tuple(sorted(tuple(map(str, r)) for f in files for r in f.collect()))
+    key = (spark.sparkContext.applicationId, state)
     if key not in _profiles:
-        parts = [P.full_profile(_load(spark, d, t), t) for t in CATALOG]
-        path = scratch_path(spark, "profile")
-        reduce(lambda a, b: a.unionByName(b), parts).write.parquet(path)
-        _profiles[key] = path
-    return spark.read.parquet(_profiles[key])
+        _profiles[key] = written(reduce(lambda a, b: a.unionByName(b), [P.full_profile(_load(spark, d, t), t) for t in CATALOG]), "profile")
+    return _profiles[key]
 
 
 def _profile_sql(t, schema):
@@ -50,11 +54,14 @@ def _profile_sql(t, schema):
     parts = []
     for c, k in schema.items():
         if k == "string":
-            firsts = f"""(SELECT list(v ORDER BY rn) FROM (SELECT "{c}" AS v, row_number() OVER (ORDER BY {order}) AS rn FROM {t} WHERE "{c}" IS NOT NULL) WHERE rn <= 10)"""
+            often = lambda test: f"""count("{c}") > 0 AND count(*) FILTER ({test.format(v=f'"{c}"')}) >= 0.1 * count("{c}")"""
+            shares = f"""{often("regexp_matches({v}, '[$€£¥₹]')")} AS money, {often("contains(trim({v}), '-') AND length(trim({v})) >= 8")} AS dashed,
+              {often("contains({v}, '@')")} AS at_like, {often("regexp_matches({v}, '^\\s*[0-9][0-9][0-9][0-9]') AND contains({v}, '-')")} AS iso_like"""
             dates = f"""coalesce(round(count(*) FILTER (regexp_matches("{c}", '^[0-9]{{4}}[-/][0-9]{{2}}[-/][0-9]{{2}}$|^[0-9]{{2}}/[0-9]{{2}}/[0-9]{{4}}$|^[0-9]{{2}} [A-Z][a-z]{{2}} [0-9]{{4}}$')) * 100.0 / count("{c}"), 2), 0)"""
             nums = f"""coalesce(round(count(*) FILTER (regexp_matches("{c}", '^\\s*[0-9]+\\s*$')) * 100.0 / count("{c}"), 2), 0)"""
         else:
-            firsts, nums = "NULL::VARCHAR[]", "0.0"
+            nums = "0.0"
+            shares = f"false AS money, {str(k == 'timestamp_ntz').lower()} AS dashed, false AS at_like, {str(k == 'timestamp_ntz').lower()} AS iso_like"
             dates = "100.0" if k == "timestamp_ntz" else "0.0"
         if c in numbers:
             rs = ", ".join(f'abs(corr("{c}", "{o}"))' for o in numbers if o != c) or "NULL"
@@ -70,7 +77,7 @@ def _profile_sql(t, schema):
         hint = "false" if c in numbers or k == "boolean" else "true"
         parts.append(f"""SELECT '{t}' AS table_name, '{c}' AS "column", '{k}' AS dtype, count(*) AS "rows",
             count(*) - count("{c}") AS missing_count, round((count(*) - count("{c}")) * 100.0 / count(*), 2) AS missing_pct,
-            count(DISTINCT "{c}") + max(CAST("{c}" IS NULL AS INT)) AS unique_count, {firsts} AS firsts,
+            count(DISTINCT "{c}") + max(CAST("{c}" IS NULL AS INT)) AS unique_count, {shares},
             {dates} AS datetime_pct, {nums} AS numeric_pct, {hint} AS hinted, {extra}, {dated} AS has_datetime FROM {t}""")
     return " UNION ALL ".join(parts)
 
@@ -100,11 +107,9 @@ def _has(words):
 PROFILE_SQL = f"""WITH {MESSY_SQL}, {SALES_SQL}, raw AS ({' UNION ALL '.join(_profile_sql(t, s) for t, s in CATALOG.items())}),
 prof AS (SELECT *, unique_count / "rows" AS cardinality_ratio,
     unique_count / "rows" >= 0.95 AND missing_count = 0 AND "rows" > 1 AS candidate_key_hint,
-    regexp_extract_all(lower("column"), '[a-z0-9]+') AS tokens, list_slice(coalesce(firsts, []), 1, 3) AS samples,
-    hinted AND len(list_filter(coalesce(firsts, []), lambda v: regexp_matches(v, '[$€£¥₹]'))) > 0 AS currency_like,
+    regexp_extract_all(lower("column"), '[a-z0-9]+') AS tokens, hinted AND money AS currency_like,
     hinted AND ("column" LIKE '%date%' OR "column" LIKE '%time%'
-      OR (dtype = 'timestamp_ntz')
-      OR len(list_filter(coalesce(firsts, []), lambda v: contains(trim(v), '-') AND length(trim(v)) >= 8)) > 0) AS date_like,
+      OR (dtype = 'timestamp_ntz') OR dashed) AS date_like,
     hinted AND ("column" = 'id' OR ends_with("column", '_id') OR starts_with("column", 'id_')) AS identifier_like,
     coalesce(abs(s) <= 0.5 AND abs(ku) <= 1, false) AS is_normal FROM raw),
 typed AS (SELECT *, CASE WHEN dtype IN ('bigint', 'int', 'double') THEN 'numeric' WHEN dtype = 'timestamp_ntz' THEN 'datetime'
@@ -116,8 +121,8 @@ tagged AS (SELECT *, CASE WHEN inferred_type = 'numeric' THEN 'float' ELSE infer
     WHEN (inferred_type = 'numeric' OR currency_like) AND {_has(TAGS['count'])} THEN 'count'
     WHEN candidate_key_hint OR identifier_like THEN 'identifier'
     {' '.join(f"WHEN {_has(w)}{' AND inferred_type = ' + chr(39) + 'string' + chr(39) if t == 'text' else ''} THEN '{t}'" for t, w in TAGS.items())}
-    WHEN len(list_filter(samples, lambda v: contains(v, '@'))) > 0 THEN 'text'
-    WHEN date_like THEN 'datetime'
+    WHEN at_like THEN 'text'
+    WHEN date_like OR iso_like THEN 'datetime'
     WHEN inferred_type = 'string' AND (unique_count < 20 OR cardinality_ratio <= 0.2) THEN 'categorical_label'
     WHEN inferred_type = 'string' THEN 'text' ELSE 'unknown' END AS semantic_tag FROM typed),
 suited AS (SELECT *, round((1 - unique_count / "rows") * 100, 2) AS duplicate_pressure_pct, CASE
@@ -131,7 +136,7 @@ policy AS (SELECT *, CASE WHEN missing_pct <= 0 THEN 'none' WHEN semantic_tag =
     WHEN semantic_tag = 'datetime' THEN CASE WHEN missing_pct >= 25 THEN 'flag_only' ELSE 'none' END
     WHEN semantic_tag IN ('geographic', 'text') THEN 'flag_only' WHEN semantic_tag = 'unknown' AND intended_type NOT IN ('float', 'boolean') THEN 'flag_only' WHEN missing_pct >= 60 THEN 'drop_column'
     WHEN semantic_tag = 'categorical_label' THEN CASE WHEN missing_pct >= 40 THEN 'flag_only'
-      WHEN unique_count <= 5 AND missing_pct <= 15 AND len(list_distinct(list_transform(samples, lambda v: lower(trim(v))))) <= 2 THEN 'impute_mode'
+      WHEN unique_count <= 5 AND missing_pct <= 15 AND unique_count - CAST(missing_count > 0 AS INT) <= 2 THEN 'impute_mode'
       WHEN unique_count <= 20 AND missing_pct <= 25 THEN 'impute_unknown_label' ELSE 'flag_only' END
     WHEN semantic_tag IN ('percentage', 'count') AND missing_pct <= 10 AND has_datetime
       AND NOT (max_abs_r >= 0.85 AND missing_pct >= 10) THEN 'impute_forward_fill'

@@ -47,6 +47,23 @@ def _(spark, d):
         F.count("segment").alias("segments"), F.sum("order_id").alias("keys"))
 
 
+DATE_TEXTS = ["yyyy-MM-dd'T'HH:mm:ss'Z'", "yyyy-MM-dd HH:mm:ss'+00:00'", "MM/dd/yyyy HH:mm", "yyyy-MM-dd HH:mm", "yyyy/MM/dd HH:mm:ss", "d MMMM yyyy", "MMMM d, yyyy",
+              "MMM d yyyy", "dd-MMM-yyyy", "yyyy.MM.dd", "M/d/yy"]
+
+
+@query("coerce_dates", """SELECT o_orderkey % 12 AS shape, count(*) AS n, count(*) FILTER (o_orderkey % 12 = 11) AS failed,
+  min(CASE WHEN o_orderkey % 12 < 11 THEN o_orderdate END) AS first_day, max(CASE WHEN o_orderkey % 12 < 11 THEN o_orderdate END) AS last_day,
+  CAST(sum(CASE WHEN o_orderkey % 12 < 11 THEN epoch(o_orderdate) // 86400 END) AS BIGINT) AS days FROM orders GROUP BY 1""")
+def _(spark, d):
+    shape = F.col("o_orderkey") % 12
+    text = F.lit("no date")
+    for i, pattern in enumerate(DATE_TEXTS):
+        text = F.when(shape == i, F.date_format("o_orderdate", pattern)).otherwise(text)
+    typed = K.coerce_types(table(spark, d, "orders").select(shape.alias("shape"), text.alias("day")), {"day": "datetime"})
+    return typed.groupBy("shape").agg(F.count("*").alias("n"), F.sum("day_parse_failed").alias("failed"), F.min("day").alias("first_day"), F.max("day").alias("last_day"),
+                                      F.sum(F.datediff("day", F.lit("1970-01-01"))).alias("days"))
+
+
 CANON_SQL = """nullif(list_aggregate(list_transform(string_split(trim(regexp_replace(regexp_replace(
   CASE WHEN lower(trim({0})) IN ('n/a', '', 'nan', 'none', 'null', 'na', '-', 'unknown', 'nil', '#n/a') THEN NULL ELSE {0} END,
   '[_-]+', ' ', 'g'), '\\s+', ' ', 'g')), ' '), lambda w: upper(w[1]) || lower(w[2:])), 'string_agg', ' '), '')"""

@@ -232,7 +232,7 @@ def _(spark, d):
     return E.row_documents(c, ["c_custkey"])
 
 
-@query("sample_rows")
+@query("sample_rows", """SELECT * FROM orders ORDER BY sha256(CAST(o_orderkey AS VARCHAR) || '|42'), o_orderkey LIMIT 5000""")
 def _(spark, d):
     return E.sample_rows(table(spark, d, "orders"), ["o_orderkey"], 5_000)
 
@@ -300,6 +300,18 @@ def _(spark, d):
 
 
 @query("chart_median", f"""WITH {SALES_SQL}
-SELECT region AS label, round(median(net_sales), 4) AS value FROM sales GROUP BY 1 ORDER BY 2 DESC LIMIT 15""")
+SELECT region AS label, round(median(net_sales), 4) AS value FROM sales GROUP BY 1""")
 def _(spark, d):
     return H.chart_query(sales(spark, d, "region", "net_sales"), "line", "region", "net_sales", agg="median").withColumn("value", F.round("value", 4))
+
+
+@query("chart_line", f"""WITH {SALES_SQL}
+SELECT strftime(order_date, '%Y-%m') AS label, round(sum(net_sales), 4) AS value FROM sales GROUP BY 1""")
+def _(spark, d):
+    months = sales(spark, d, "order_date", "net_sales").withColumn("month", F.date_format("order_date", "yyyy-MM"))
+    return H.chart_query(months, "line", "month", "net_sales").withColumn("value", F.round("value", 4))
+
+
+@query("chart_scatter", """SELECT l_quantity AS x, l_extendedprice AS y FROM lineitem WHERE l_quantity IS NOT NULL AND l_extendedprice IS NOT NULL""")
+def _(spark, d):
+    return H.chart_query(table(spark, d, "lineitem"), "scatter", "l_quantity", "l_extendedprice")

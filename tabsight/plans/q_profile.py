@@ -282,12 +282,13 @@ def _(spark, d):
     return P.parseability(messy_sales(spark, d, "order_date", "status", "amount", "active", "quantity"))
 
 
-@query("format_hints", f"""WITH {MESSY_SQL}, firsts AS ({_union(
-    f'''SELECT '{c}' AS "column", v FROM (SELECT "{c}" AS v, row_number() OVER (ORDER BY {', '.join(f'"{o}" NULLS FIRST' for o in [*ORDER, *TEXTS])}) AS rn
-        FROM messy_sales WHERE "{c}" IS NOT NULL) WHERE rn <= 10''' for c in TEXTS)})
-SELECT "column", bool_or(regexp_matches(v, '[$€£¥₹]')) AS currency_like,
-  bool_or("column" LIKE '%date%' OR "column" LIKE '%time%' OR (trim(v) LIKE '%-%' AND length(trim(v)) >= 8)) AS date_like,
-  bool_or("column" LIKE '%\\_id' ESCAPE '\\' OR "column" = 'id' OR "column" LIKE 'id\\_%' ESCAPE '\\') AS identifier_like
-FROM firsts GROUP BY 1""")
+def _often(c, test):
+    return f"""count("{c}") > 0 AND count(*) FILTER ({test}) >= 0.1 * count("{c}")"""
+
+
+@query("format_hints", f"""WITH {MESSY_SQL} {_union(f'''SELECT '{c}' AS "column", {_often(c, f"regexp_matches({c}, '[$€£¥₹]')")} AS currency_like,
+  {str("date" in c or "time" in c).lower()} OR ({_often(c, f"trim({c}) LIKE '%-%' AND length(trim({c})) >= 8")}) AS date_like,
+  {str(c == "id" or c.endswith("_id") or c.startswith("id_")).lower()} AS identifier_like, {_often(c, f"contains({c}, '@')")} AS at_like,
+  {_often(c, f"regexp_matches({c}, '^[ ]*[0-9][0-9][0-9][0-9]') AND contains({c}, '-')")} AS iso_like FROM messy_sales''' for c in TEXTS)}""")
 def _(spark, d):
-    return P.format_hints(messy_sales(spark, d, *ORDER, *TEXTS), ORDER)
+    return P.format_hints(messy_sales(spark, d, *TEXTS))

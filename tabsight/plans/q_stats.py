@@ -335,7 +335,7 @@ def _(spark, d):
 
 @query("growth_yearly", f"""WITH {SALES_SQL}, t AS (SELECT year(order_date) AS "year", sum(net_sales) AS total, count(DISTINCT month(order_date)) AS months FROM sales GROUP BY 1)
 SELECT "year", round(total, 4) AS total, months, round((total - lag(total) OVER (ORDER BY "year")) / lag(total) OVER (ORDER BY "year") * 100, 4) AS growth_pct
-FROM t WHERE (SELECT sum(months) FROM t) > 40""")
+FROM t""")
 def _(spark, d):
     return _rounded(_rounded(M.growth_yearly(_dated(spark, d), "order_date", "net_sales"), 4, "total"), 4, "growth_pct")
 
@@ -407,14 +407,14 @@ def _(spark, d):
 
 @query("select_dimensions", f"""WITH {SALES_SQL}, t AS ({_union(f"SELECT '{c}' AS dimension, {i} AS place, sum(net_sales) AS total FROM sales GROUP BY {c}" for i, c in enumerate(DIMS))}),
 s AS (SELECT dimension, place, count(*) AS labels, (max(total) - min(total)) / sum(total) * 100 AS spread,
-  regexp_matches(dimension, 'region|category|segment|representative') AS priority FROM t GROUP BY ALL HAVING count(*) BETWEEN 2 AND 20)
+  regexp_matches(dimension, 'region|category|segment|representative') AS priority FROM t GROUP BY ALL HAVING count(*) > 1)
 SELECT dimension, labels, round(spread, 6) AS spread, priority, row_number() OVER (ORDER BY priority DESC, CASE WHEN priority THEN 0 ELSE -spread END, place) AS rank FROM s""")
 def _(spark, d):
     totals = R.dimension_totals(sales(spark, d, *DIMS, "net_sales"), "net_sales", DIMS)
     return _rounded(R.select_dimensions(totals, DIMS), 6, "spread")
 
 
-@query("profit_breakdown", _ranked_sql("profit", where="AND n BETWEEN 2 AND 20"))
+@query("profit_breakdown", _ranked_sql("profit", where="AND n > 1"))
 def _(spark, d):
     return _ranking(R.profit_breakdown(sales(spark, d, *DIMS, "profit"), "profit", DIMS))
 
@@ -570,7 +570,7 @@ LEAD_DIMS = ["region", "product_category", "order_status", "sales_representative
 
 @query("lead_time_by", f"""WITH {SALES_SQL}, g AS ({_union(f"SELECT '{c}' AS dimension, {c} AS value, avg({DAYS}) AS m, median({DAYS}) AS md, count(*) AS orders FROM sales GROUP BY {c}" for c in LEAD_DIMS)}),
 r AS (SELECT *, row_number() OVER (PARTITION BY dimension ORDER BY m DESC, value) AS a, row_number() OVER (PARTITION BY dimension ORDER BY m, value DESC) AS b, count(*) OVER (PARTITION BY dimension) AS k FROM g)
-SELECT dimension, value, round(m, 4) AS mean_days, round(md, 4) AS median_days, orders, a AS rank_slow, b AS rank_fast FROM r WHERE k BETWEEN 2 AND 20 AND (a <= 5 OR b <= 5)""")
+SELECT dimension, value, round(m, 4) AS mean_days, round(md, 4) AS median_days, orders, a AS rank_slow, b AS rank_fast FROM r WHERE k > 1 AND (a <= 5 OR b <= 5)""")
 def _(spark, d):
     return _rounded(T.lead_time_by(_days(spark, d, *LEAD_DIMS), "derived_days_to_ship", LEAD_DIMS), 4, "mean_days", "median_days")
 

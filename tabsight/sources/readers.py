@@ -57,7 +57,7 @@ def read_csv_mixed(spark: SparkSession, path: str, infer: bool = True, on_bad: s
     """CSV whose lines use ``,`` or ``;``. The more frequent one in a line is tried first, then the other.
 
     ``on_bad``: ``fail`` raises on a line that fits neither, ``drop`` leaves it out, ``only`` returns just those lines.
-    Every file of a folder starts with the same header line.
+    Every file of a folder starts with the same header line; one such line of each file is the header, further equal lines are rows.
     """
     raw, judged = _raw_lines(spark, path)
     lines = _decoded(raw, judged)
@@ -68,7 +68,10 @@ def read_csv_mixed(spark: SparkSession, path: str, infer: bool = True, on_bad: s
     sep = ";" if header.count(";") > header.count(",") else ","
     names = next(csv.reader([header], delimiter=sep, quotechar='"'))
     value = F.col("value")
-    body = lines.where((F.trim(value) != "") & (value != F.lit(header)))
+    # Lines equal to the header are alike, so any one of a file's can be taken for it.
+    again = lines.where(value == F.lit(header)).groupBy("file").agg(F.count("*").alias("_k")).where("_k > 1").select(
+        F.explode(F.sequence(F.lit(2), F.col("_k").cast("int")))).select(F.lit(header).alias("value"))
+    body = lines.where((F.trim(value) != "") & (value != F.lit(header))).select("value").union(again)
     comma, semi = _parse_line(value, len(names), ","), _parse_line(value, len(names), ";")
     # Two steps, so that each line is parsed once unless the first delimiter fails.
     split = body.select("value", (F.regexp_count(value, F.lit(";")) > F.regexp_count(value, F.lit(","))).alias("_semi"))
