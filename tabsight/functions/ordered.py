@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from ..options import DEFAULTS, Options
 from .text import quoted
 
-CHUNK = "_chunk"
+CHUNK, TIE = "_chunk", "_tie"
 JSON = {"timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS", "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
 
 
@@ -44,9 +44,15 @@ def with_chunks(df: DataFrame, order_by: list[str], opts: Options = DEFAULTS) ->
     return df.withColumn(CHUNK, chunk.cast("int")), len(borders) + 1
 
 
+def _total_order(df: DataFrame, order_by: list[str]) -> tuple[DataFrame, list[str]]:
+    """Adds a hash of the whole row as the last key: ties come in the same order in every run and can be cut, all but equal rows."""
+    return df.withColumn(TIE, F.xxhash64(*[quoted(c) for c in df.columns])), [*order_by, TIE]
+
+
 def forward_fill(df: DataFrame, columns: list[str], order_by: list[str], opts: Options = DEFAULTS) -> DataFrame:
-    """Last non-null value in the given order."""
-    chunked, k = with_chunks(df, order_by, opts)
+    """Last non-null value in the given order; rows that tie in it are ordered by a hash of the row."""
+    keyed, order_by = _total_order(df, order_by)
+    chunked, k = with_chunks(keyed, order_by, opts)
     order = [quoted(c) for c in order_by]
     inside = Window.partitionBy(CHUNK).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     local = {c: F.last(quoted(c), ignorenulls=True).over(inside) for c in columns}
@@ -67,17 +73,18 @@ def forward_fill(df: DataFrame, columns: list[str], order_by: list[str], opts: O
 
 
 def row_index(df: DataFrame, order_by: list[str], name: str = "row_index", opts: Options = DEFAULTS) -> DataFrame:
-    """0-based position of each row in the given order."""
-    chunked, k = with_chunks(df, order_by, opts)
+    """0-based position of each row in the given order; rows that tie in it are ordered by a hash of the row."""
+    keyed, order_by = _total_order(df, order_by)
+    chunked, k = with_chunks(keyed, order_by, opts)
     inside = Window.partitionBy(CHUNK).orderBy(*[quoted(c) for c in order_by])
     numbered = chunked.withColumn("_pos", F.row_number().over(inside) - 1)
     if k == 1:
-        return numbered.withColumn(name, F.col("_pos").cast("long")).drop("_pos", CHUNK)
+        return numbered.withColumn(name, F.col("_pos").cast("long")).drop("_pos", CHUNK, TIE)
     sizes = chunked.groupBy(CHUNK).agg(F.count("*").alias("_n"))
     before = Window.orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(CHUNK, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
     return (numbered.join(F.broadcast(offsets), CHUNK)
-            .withColumn(name, (F.col("_pos") + F.col("_offset")).cast("long")).drop("_pos", "_offset", CHUNK))
+            .withColumn(name, (F.col("_pos") + F.col("_offset")).cast("long")).drop("_pos", "_offset", CHUNK, TIE))
 
 
 def running_count(counts: DataFrame, key: str, value: str, n: str, opts: Options = DEFAULTS) -> DataFrame:

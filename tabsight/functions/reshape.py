@@ -55,8 +55,3 @@ def first_values(df: DataFrame, columns, n: int, order_by=None) -> dict[str, lis
             values = [r[0] for r in df.where(quoted(c).isNotNull()).orderBy(*order).limit(n).select(cells[i]).collect()]
         out[c] = values
     return out
-
-
-def keep_small(df: DataFrame) -> DataFrame:
-    """A result of one row per column, pair or period, computed once and held by the driver for the steps that read it."""
-    return df.sparkSession.createDataFrame(df.collect(), df.schema)

@@ -86,6 +86,7 @@ def has_token(tokens: Column, words) -> Column:
     return F.arrays_overlap(tokens, F.array(*[F.lit(w) for w in sorted(words)]))
 
 
+# The patterns below are fixed values: how money is written.
 def money_text(c: Column) -> Column:
     """Money text to plain number text: brackets are minus, the last separator decides the decimals."""
     t = F.regexp_replace(strip(c), r"^\((.+)\)$", r"-$1")

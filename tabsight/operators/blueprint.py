@@ -45,6 +45,7 @@ ACTION_STRATEGY = {
     "impute_median": "median", "impute_mode": "mode", "impute_unknown_label": "unknown_label",
     "impute_forward_fill": "forward_fill", "impute_knn": "knn", "impute_iterative": "iterative",
 }
+# Tags whose policy a caller cannot override.
 GUARDED_TAGS = ["identifier", "currency", "financial", "datetime"]
 
 
@@ -169,6 +170,7 @@ def column_suitability(profile: DataFrame) -> DataFrame:
     fit = (F.when(tag == "identifier", (m <= 5) & (pressure <= 5))
            .when(label, (m <= 30) & (F.col("unique_count") > 0)).when(tag == "datetime", m <= 25)
            .when(number, m <= 35).otherwise((m <= 20) & (pressure <= 95)))
+    # The names of the reasons.
     reason = (F.when(tag == "identifier", F.when(pressure > 5, "identifier_duplicates").otherwise("identifier_clean"))
               .when(label, F.when(F.col("unique_count") < 20, "low_cardinality_category").otherwise("text_or_label"))
               .when(tag == "datetime", "datetime_missingness").when(number, "numeric_missingness")

@@ -149,6 +149,7 @@ def clip_outliers(df: DataFrame, columns: list[str], risk: str = "low", skewed:
     return _rewrite(df, new, extra)
 
 
+# The words below are fixed values: names of columns that hold counts.
 def is_count_name(name: str) -> bool:
     return whole_word(name, ["count", "counts", "qty", "quantity", "quantities", "units", "num", "number"])
 

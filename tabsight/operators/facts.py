@@ -118,6 +118,7 @@ def required_cells(results: dict[str, tuple[DataFrame, list[str]]]) -> DataFrame
 
 # ---- grounding ----
 
+# Fixed value: what counts as a number in a text.
 CLAIM = r"-?\d[\d,]*\.?\d*%?"
 BIN_STEP = 0.1
 

@@ -10,6 +10,7 @@ from ..functions.text import quoted
 from ..options import DEFAULTS, Options
 from .cleaning import find_column, is_count_name
 
+# Endings of flag and helper columns.
 FLAG_SUFFIXES = ("_parse_failed", "_range_failed", "_rate_failed", "_reconciliation_failed")
 COPY_SUFFIXES = ("_raw", "_scaled", "_was_clipped")
 # Whole-word column names the money rules look for.
@@ -171,6 +172,7 @@ def structural_rules(df: DataFrame, tags: dict[str, str] | None = None, scales:
                 rules[f"{c} < 0"] = _number(df, c) < 0
             else:
                 rules.__setitem__(*outside(c))
+    # Words of return and quantity columns.
     back = {"return", "returns", "returned"}
     amounts = {"quantity", "qty", "count", "units"}
     returned = next((c for c in df.columns if back & _tokens(c) and (amounts & _tokens(c) or _tokens(c) <= back)), None)
