@@ -30,7 +30,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, id_col: str =
     marks = labels.where(F.col(label).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(
         (F.avg(label) >= 0.5).cast("int").alias("_label")).where(~held_out(F.col("_id")))
     source = docs.select(F.col(id_col).alias("_key"), F.col(text_col).alias("_text")).where(~held_out(F.col("_key")))
-    return source.join(marks, F.col("_key") == F.col("_id")).select("_id", "_text", "_label")
+    # The labels grow with the documents, so they are never broadcast: small inputs are joined as large ones are.
+    return source.hint("merge").join(marks, F.col("_key") == F.col("_id")).select("_id", "_text", "_label")
 
 
 def bounded_sample(rows: DataFrame, n: int, most: int) -> DataFrame:
