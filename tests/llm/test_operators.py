@@ -287,8 +287,12 @@ def near_copies(seed=4):
     return list(enumerate(out))
 
 
-@pytest.mark.parametrize("keys_each", [jaccard_join.KEYS_EACH, 40])
-def test_components_match_brute_force(spark, keys_each):
+@pytest.mark.parametrize("keys_each,block", [(jaccard_join.KEYS_EACH, None), (40, 8)])
+def test_components_match_brute_force(spark, monkeypatch, keys_each, block):
+    """With few keys a task and blocks of a few members the ways meant for very large lists are taken."""
+    if block:
+        monkeypatch.setattr(jaccard_join, "CHUNK", block)
+        monkeypatch.setattr(jaccard_join, "SHORT_LIST", block // 2)
     rows = near_copies()
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
     assert key(jaccard_join.components(df, keys_each=keys_each).collect()) == key(brute_components(rows))
