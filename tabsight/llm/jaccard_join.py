@@ -15,7 +15,7 @@ first of all members with one hub, then between what is left, filtered by parity
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions.lineage import written
 from .common import uniform
@@ -27,6 +27,8 @@ SMALL_BAND = 5  # below 2**5 shingles every shingle is a segment of its own
 NEIGHBOUR_SHARE = 0.05  # of a band's segments
 SAMPLE_DOCS, FREQUENT = 20_000, 6  # bound of the cost sample; sets of it that share a frequent content
 KEYS_EACH = 1_500_000  # keys that one task sorts
+SHORT_LIST = 256  # longer lists begin with a hub
+FIRST_TRIES = 2  # pairs a node has verified in the first round; four times as many in each that follows
 CHUNK = 4096  # members of a list that one task compares with others
 
 
@@ -132,7 +134,7 @@ def parity_bits(s: np.ndarray) -> np.ndarray:
     """Bits of which each holds the parity of the shingles hashed to it: two sets differ in at least as many shingles as bits. Their number follows the size of the
     set; that of a partner is the same or twice as large."""
     n = max(len(s), 1)
-    words = max(1, 1 << (n - 1).bit_length() >> 5)  # twice to four times the set's size over 64
+    words = max(1, 1 << (n - 1).bit_length() >> 6)  # one to two bits a shingle
     at = mix(s ^ np.uint64(0x2545F4914F6CDD1D)) >> np.uint64(64 - (words.bit_length() - 1 + 6))
     odd = np.bincount(at.astype(np.int64), minlength=words * 64) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").view("<u8")
@@ -146,7 +148,7 @@ def fold_bits(bits: np.ndarray, words: int) -> np.ndarray:
     return bits
 
 
-MEMBERS = "_id long, n_shingles long, a long, b long"
+MEMBERS = "_id long, n_shingles long, a long, b long, bits binary"
 
 
 def _members(batches):
@@ -154,7 +156,8 @@ def _members(batches):
         sets = shingle_sets(batch.column(1))
         ids = [set_id(s) for s in sets]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([i[0] for i in ids], pa.int64()),
-                                          pa.array([i[1] for i in ids], pa.int64())], ["_id", "n_shingles", "a", "b"])
+                                          pa.array([i[1] for i in ids], pa.int64()), pa.array([parity_bits(s).tobytes() for s in sets], pa.binary())],
+                                         ["_id", "n_shingles", "a", "b", "bits"])
 
 
 def _frequent_keys(source: DataFrame, n: int, keys_each: int) -> tuple[np.ndarray, np.ndarray]:
@@ -242,7 +245,7 @@ def _lists(source: DataFrame, frequent: tuple[np.ndarray, np.ndarray], parts: in
 
 
 def _sets_of(source: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, n, bits, members): the sets of the given nodes. A table of bits (16 MB at most) keeps the other documents' sets from being passed on."""
+    """(node, members): the sets of the given nodes. A table of bits (16 MB at most) keeps the other documents' sets from being passed on."""
     bits = min(27, max(12, (max(1, nodes.count()) * 16).bit_length()))
     spot = F.shiftrightunsigned(F.col("node"), 64 - bits)
     rows = nodes.select(F.shiftrightunsigned(spot, 6).alias("w"), (spot % 64).cast("int").alias("i")).groupBy("w").agg(
@@ -254,30 +257,46 @@ def _sets_of(source: DataFrame, nodes: DataFrame) -> DataFrame:
     def sets(batches):
         t = shared.value
         for batch in small_batches(batches, 1):
-            done = set()
+            found = {}
             for s in shingle_sets(batch.column(1)):
                 node = set_id(s)[0]
                 at = (node & (1 << 64) - 1) >> (64 - bits)
-                if len(s) and node not in done and int(t[at >> 6]) >> (at & 63) & 1:
-                    done.add(node)
-                    yield pa.RecordBatch.from_arrays([pa.array([node], pa.int64()), pa.array([len(s)], pa.int64()), pa.array([parity_bits(s).tobytes()], pa.binary()),
-                                                      pa.array([s.tobytes()], pa.binary())], ["node", "n", "bits", "members"])
+                if len(s) and int(t[at >> 6]) >> (at & 63) & 1:
+                    found[node] = s.tobytes()
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.binary())], ["node", "members"])
 
-    made = source.mapInArrow(sets, "node long, n long, bits binary, members binary")
+    made = source.mapInArrow(sets, "node long, members binary")
     return written(made.join(nodes, "node", "left_semi").dropDuplicates(["node"]), "jaccard-sets")
 
 
+def _plausible(pairs: DataFrame, traits: DataFrame) -> DataFrame:
+    """The pairs whose sizes and parity bits don't rule out a link."""
+    left, right = (traits.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"x{x}")) for x in "ab")
+
+    def check(batches):
+        for batch in batches:
+            keep = []
+            for n, m, x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4), batch.column(5)):
+                x, y = np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8")
+                words = min(len(x), len(y))
+                apart = int(np.bitwise_count(fold_bits(x, words) ^ fold_bits(y, words)).sum())
+                keep.append(min(n, m) * 100 >= max(n, m) * PERCENT and apart <= most_differences(n, m))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return pairs.join(right, "b").join(left, "a").select("a", "b", "na", "nb", "xa", "xb").mapInArrow(check, "a long, b long")
+
+
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """(a, b, linked) for distinct pairs. The sets of the more frequent side, a, come last, so that a hub's is split by adaptive execution."""
-    left = sets.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("bits").alias("ba"), F.col("members").alias("sa"))
-    right = sets.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("bb"), F.col("members").alias("sb"))
+    left, right = (sets.select(F.col("node").alias(x), F.col("members").alias(f"s{x}")) for x in "ab")
 
     def check(batches):
         for batch in batches:
             out = []
             for sa, sb in zip(batch.column(2), batch.column(3)):
                 r, s = np.frombuffer(sa.as_buffer(), np.uint64), np.frombuffer(sb.as_buffer(), np.uint64)
-                common = len(np.intersect1d(r, s, assume_unique=True))
+                common = int((r[np.minimum(np.searchsorted(r, s), len(r) - 1)] == s).sum())
                 out.append(100 * common >= PERCENT * (len(r) + len(s) - common))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.bool_())], ["a", "b", "linked"])
 
@@ -309,38 +328,50 @@ def classes(edges: DataFrame) -> DataFrame:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(edges.select("b", "b").distinct())
 
 
-def _proposals(lists: DataFrame, labels: DataFrame, sets: DataFrame, failed: DataFrame) -> DataFrame:
-    """Distinct pairs of different classes in a common list that may be similar and weren't verified. Of each block of a list a forest of the most promising ones."""
-    open_lists = lists.join(labels, "node").groupBy("list_id", "root").agg(F.count("*").alias("k"))
-    state = open_lists.groupBy("list_id").agg(F.count("*").alias("roots"), F.sum("k").alias("size"), F.max_by("root", F.struct("k", "root")).alias("main")).where("roots > 1")
-    refused = failed.union(failed.select("b", "a")).toDF("node", "other").groupBy("node").agg(F.collect_set("other").alias("refused"))
-    rows = lists.join(state, "list_id").join(labels, "node").join(sets.select("node", "n", "bits"), "node").join(refused, "node", "left")
-    chunk = F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / CHUNK))
+def _proposals(lists: DataFrame, nodes: DataFrame, tries: int) -> DataFrame:
+    """Distinct pairs of different classes in a common list that may be similar and weren't verified: the ``tries`` closest of each
+    node. ``nodes``: node, root, n, bits, refused. What is left out comes again in a later round, with more tries, if it still joins two classes.
+
+    A list of up to CHUNK members is compared as one row. Of longer ones, blocks of the members outside the largest class meet blocks of all members.
+    """
+    held = lists.join(nodes.select("node", "root"), "node").groupBy("list_id", "root").agg(F.count("*").alias("k"))
+    state = held.groupBy("list_id").agg(F.count("*").alias("roots"), F.sum("k").alias("size"), F.max_by("root", F.struct("k", "root")).alias("main")).where("roots > 1")
+    rows = lists.select("list_id", "node").join(state.select("list_id", "size", "main"), "list_id").join(nodes, "node")
     packed = F.collect_list(F.struct("node", "root", "n", "bits", "refused"))
-    every = rows.groupBy("list_id", chunk.alias("c")).agg(packed.alias("all"))
-    outside = rows.where("root <> main").groupBy("list_id", chunk.alias("d")).agg(packed.alias("out"))
+    short = rows.where(F.col("size") <= CHUNK).groupBy("list_id").agg(packed.alias("out")).select("out", F.lit(None).cast(
+        "array<struct<node:bigint,root:bigint,n:bigint,bits:binary,refused:array<bigint>>>").alias("all"))
+    long = rows.where(F.col("size") > CHUNK)
+    chunk = F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / CHUNK))
+    every = long.groupBy("list_id", chunk.alias("c")).agg(packed.alias("all"))
+    outside = long.where("root <> main").groupBy("list_id", chunk.alias("d")).agg(packed.alias("out"))
 
     def propose(batches):
         for batch in batches:
             for left, right in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                pairs = _forest(left, right)
+                pairs = _closest(left, right, tries)
                 if pairs:
-                    a, b = zip(*pairs)
-                    yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+                    a, b, d = zip(*pairs)
+                    yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(d, pa.int64())], ["a", "b", "d"])
 
-    return outside.join(every, "list_id").select("out", "all").mapInArrow(propose, "a long, b long").distinct()
+    found = short.union(outside.join(every, "list_id").select("out", "all")).mapInArrow(propose, "a long, b long, d long").distinct()
+    ends = found.select("a", "b", "d", F.explode(F.array("a", "b")).alias("u"))
+    rank = F.row_number().over(Window.partitionBy("u").orderBy("d", "a", "b"))
+    return ends.withColumn("r", rank).where(F.col("r") <= tries).select("a", "b").distinct()
 
 
 def _matrix(members: list[dict], words: int) -> np.ndarray:
     return np.stack([fold_bits(np.frombuffer(m["bits"], "<u8"), words) for m in members])
 
 
-def _forest(left: list[dict], right: list[dict]) -> list[tuple[int, int]]:
+def _closest(left: list[dict], right: list[dict] | None, tries: int) -> list[tuple[int, int, int]]:
+    """(a, b, differing bits): for each member of ``left`` its ``tries`` closest plausible partners of other classes in ``right``, or in ``left`` itself."""
+    right = right or left
     words = min(len(m["bits"]) for m in left + right) // 8
-    x, y = _matrix(left, words), _matrix(right, words)
+    y = _matrix(right, words)
+    x = y if right is left else _matrix(left, words)
     sizes = np.array([m["n"] for m in right])
     nodes, roots = np.array([m["node"] for m in right]), np.array([m["root"] for m in right])
-    found = []
+    found = set()
     for i, m in enumerate(left):
         fits = (np.minimum(sizes, m["n"]) * 100 >= np.maximum(sizes, m["n"]) * PERCENT) & (roots != m["root"])
         if m["refused"]:
@@ -348,30 +379,11 @@ def _forest(left: list[dict], right: list[dict]) -> list[tuple[int, int]]:
         at = np.flatnonzero(fits)
         if len(at):
             apart = np.bitwise_count(y[at] ^ x[i]).sum(axis=1).astype(np.int64)
-            good = apart * (100 + PERCENT) <= (100 - PERCENT) * (sizes[at] + m["n"])
-            found += [(int(d), m["root"], int(roots[j]), m["node"], int(nodes[j])) for d, j in zip(apart[good], at[good])]
-            if len(found) > 200_000:
-                found = _tree(found)
-    return [(min(f[3:]), max(f[3:])) for f in _tree(found)]
-
-
-def _tree(found: list[tuple]) -> list[tuple]:
-    """A spanning forest of the classes by the smallest differences."""
-    parent: dict[int, int] = {}
-
-    def top(r):
-        while parent.setdefault(r, r) != r:
-            parent[r] = parent[parent[r]]
-            r = parent[r]
-        return r
-
-    kept = []
-    for f in sorted(found):
-        a, b = top(f[1]), top(f[2])
-        if a != b:
-            parent[a] = b
-            kept.append(f)
-    return kept
+            good = np.flatnonzero(apart * (100 + PERCENT) <= (100 - PERCENT) * (sizes[at] + m["n"]))
+            for j in good[np.argsort(apart[good], kind="stable")[:tries]]:
+                other = int(nodes[at[j]])
+                found.add((min(m["node"], other), max(m["node"], other), int(apart[j])))
+    return list(found)
 
 
 def _labels(spark: SparkSession, lists: DataFrame, links: DataFrame) -> DataFrame:
@@ -390,17 +402,32 @@ def members_and_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         raise ValueError("two different sets have the same 64-bit number; choose another seed in text_arrays")
     parts = max(1, -(-int(total["s"]) * 2 // (5 * keys_each)))  # about 0.4 keys a shingle
     lists = _lists(source, _frequent_keys(source, int(total["n"]), keys_each), parts)
-    sets = _sets_of(source, lists.select("node").distinct())
-    hub = lists.groupBy("list_id").agg(F.max_by("node", F.struct("weight", "node")).alias("a"))
-    pairs = lists.join(hub, "list_id").where("a <> node").select("a", F.col("node").alias("b")).distinct()
-    done = written(_verified(pairs, sets), "jaccard-verified")
+    nodes = written(lists.select("node").distinct(), "jaccard-nodes")
+    traits = written(members.select(F.col("a").alias("node"), F.col("n_shingles").alias("n"), "bits").join(nodes, "node", "left_semi").dropDuplicates(["node"]), "jaccard-traits")
+    # Long lists first compare all members with one hub; in short ones the closest pairs are looked for at once.
+    sized = lists.groupBy("list_id").agg(F.count("*").alias("size"), F.max_by("node", F.struct("weight", "node")).alias("a"))
+    stars = lists.join(sized.where(F.col("size") > SHORT_LIST).select("list_id", "a"), "list_id").where("a <> node").select("a", F.col("node").alias("b")).distinct()
+    short = lists.join(sized.where(F.col("size") <= SHORT_LIST).select("list_id"), "list_id", "left_semi")
+    alone = traits.withColumn("root", F.col("node")).withColumn("refused", F.array().cast("array<bigint>"))
+    pairs = written(_plausible(stars, traits).union(_proposals(short, alone, FIRST_TRIES)).distinct(), "jaccard-pairs")
+    sets = done = None
+    tries = FIRST_TRIES
     while True:
+        wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        wanted = written(wanted if sets is None else wanted.join(sets, "node", "left_anti"), "jaccard-wanted")
+        if sets is None or wanted.limit(1).count():
+            more = _sets_of(source, wanted)
+            sets = more if sets is None else sets.union(more)
+        found = written(_verified(pairs, sets), "jaccard-verified")
+        done = found if done is None else done.union(found)
         labels = _labels(spark, lists, done.where("linked"))
-        failed = done.where("not linked").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        more = written(_proposals(lists, labels, sets, failed), "jaccard-pairs")
-        if not more.limit(1).count():
+        failed = done.where("not linked").select("a", "b")
+        refused = failed.union(failed.select("b", "a")).toDF("node", "other").groupBy("node").agg(F.collect_set("other").alias("refused"))
+        state = written(traits.join(labels, "node").join(refused, "node", "left"), "jaccard-state")
+        tries *= 4
+        pairs = written(_proposals(lists, state, tries), "jaccard-pairs")
+        if not pairs.limit(1).count():
             return members, labels
-        done = written(done.union(_verified(more, sets)), "jaccard-verified")
 
 
 def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keys_each: int = KEYS_EACH) -> DataFrame:
