@@ -1,9 +1,10 @@
 """Licence scan by a positional rare-token index. DataFrame functions only.
 
-Words of the templates are ranked by how many documents hold them (inverse document frequency). Of each file only its rarest licence words are looked
-up; each of their places proposes, with each place of the word in a template, a position of the template. A position that two or more words
-propose is a candidate; it counts when the template's mandatory phrases stand at their places, and its score is the share of
-template words that stand at theirs. Plain phrases are found in the same way from their rarest word, wherever they occur.
+Words of the templates are ranked by how many documents hold them (inverse document frequency). Each template is looked up by words of its own: by the rarest
+word of its mandatory phrases, whose every place in a file proposes a position of the template, so that nothing else in the file can hide it. A position
+counts when all mandatory phrases stand at their places, and its score is the share of template words that stand at theirs. A template without such
+phrases is looked up by so many of its rarest words that two or more of them stand wherever enough of the template does. Plain phrases are found from
+their rarest word, wherever they occur.
 """
 
 from dataclasses import dataclass
@@ -67,6 +68,23 @@ def _array(words) -> Column:
     return F.array(*[F.lit(w) for w in words])
 
 
+def _seeds(t: Template, rank: dict[str, int], votes: int, least: float) -> tuple[list[str], int]:
+    """The words a template is looked up by. With mandatory phrases the rarest word of them, with its place in the template; every accepted position has it there.
+    Else the rarest words and how many of them must agree: at most ``len - need`` places of an accepted position differ, so that many stand."""
+    if t.mandatory:
+        at, phrase = min(t.mandatory, key=lambda m: min(rank[x] for x in m[1]))
+        word = min(phrase, key=rank.__getitem__)
+        return [word], at + phrase.index(word)
+    need = max(1, next(k for k in range(len(t.words) + 1) if k / len(t.words) >= least))
+    votes, words, covered = min(votes, need), [], 0
+    for x in sorted(set(t.words), key=rank.__getitem__):
+        if covered >= len(t.words) - need + votes:
+            break
+        words.append(x)
+        covered += t.words.count(x)
+    return words, votes
+
+
 def document_frequencies(docs: DataFrame, text_col: str, vocabulary: list[str]) -> dict[str, int]:
     """In how many documents each word of the templates occurs, over all of them. At most one row per template word comes back."""
     present = F.explode(F.array_intersect(words_of(F.col(text_col)), _array(vocabulary)))
@@ -75,13 +93,14 @@ def document_frequencies(docs: DataFrame, text_col: str, vocabulary: list[str])
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", phrases: dict[str, str] | None = None,
-         templates: tuple[Template, ...] = TEMPLATES, rare: int = RARE, votes: int = VOTES, least: float = LEAST_SHARE) -> DataFrame:
+         templates: tuple[Template, ...] = TEMPLATES, votes: int = VOTES, least: float = LEAST_SHARE) -> DataFrame:
     """One row per row of ``docs``: id, n_words, n_base (places of the phrases), first_word and last_word (smallest and largest of these places, else null),
     base_labels, labels (those and the templates'), places (template label, first word, share of its words found) and score (1 with a phrase,
     else the best template's share, else 0).
 
     Null and empty texts have no words, empty labels and score 0. Ids may be null or repeat. Equal rows have equal results. Phrases may overlap. An empty table
-    gives no rows. Other columns are not read. Whole texts are scanned; the tables of phrases and templates go into the plan as literals.
+    gives no rows. Other columns are not read. Whole texts are scanned and every position of a template counts, however many licences a file has; the tables of
+    phrases and templates go into the plan as literals.
     """
     phrases = [(tuple(p.split()), label) for p, label in (PHRASES if phrases is None else phrases).items()]
     vocabulary = sorted({w for p, _ in phrases for w in p} | {w for t in templates for w in t.words})
@@ -89,21 +108,21 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", phrase
     by_idf = sorted(vocabulary, key=lambda w: (frequency[w], w))
     rank = {w: i for i, w in enumerate(by_idf)}
     rarest = lambda words: min(words, key=rank.__getitem__)
-    anchors = sorted({rarest(p) for p, _ in phrases} | {rarest(m) for t in templates for _, m in t.mandatory})
+    seeds = {t: _seeds(t, rank, votes, least) for t in templates}
+    anchors = sorted({rarest(p) for p, _ in phrases} | {x for words, _ in seeds.values() for x in words})
 
     def examine(w):
-        looked_up = F.slice(F.array_intersect(_array(by_idf), w), 1, rare)
-        places = _let(F.array_distinct(F.concat(looked_up, F.array_intersect(_array(anchors), w))), lambda chosen: F.filter(
+        places = _let(F.array_intersect(_array(anchors), w), lambda chosen: F.filter(
             F.transform(w, lambda x, i: F.when(F.array_contains(chosen, x), F.struct(i.alias("i"), x.alias("w")))), lambda s: s.isNotNull()))
-        return _let(F.struct(places.alias("p"), looked_up.alias("r")), lambda v: found(w, v["p"], v["r"]))
+        return _let(places, lambda p: found(w, p))
 
-    def found(w, places, looked_up):
+    def found(w, places):
         base = []
         for words, _ in phrases:
             anchor = rarest(words)
             at = words.index(anchor)
             base.append(F.filter(_starts(places, anchor, at), _stands(w, words)))
-        hits = [_matches(w, places, looked_up, t) for t in templates]
+        hits = [_matches(w, places, t) for t in templates]
         return F.struct(*[b.alias(f"b{i}") for i, b in enumerate(base)], *[h.alias(f"t{i}") for i, h in enumerate(hits)])
 
     def _starts(places, anchor, at):
@@ -112,13 +131,17 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", phrase
     def _stands(w, words):
         return lambda o: (o >= 0) & (F.slice(w, F.greatest(o, F.lit(0)) + 1, len(words)) == _array(words))
 
-    def _matches(w, places, looked_up, t):
+    def _matches(w, places, t):
         """(place, share) of the template's accepted positions."""
-        postings = F.array(*[F.struct(F.lit(x).alias("w"), F.lit(j).alias("j")) for j, x in enumerate(t.words)])
-        proposed = F.flatten(F.transform(F.filter(places, lambda s: F.array_contains(looked_up, s["w"])), lambda s: F.transform(
-            F.filter(postings, lambda y: y["w"] == s["w"]), lambda y: s["i"] - y["j"])))
-        # sorted, so that positions with enough votes are those with an equal one ``votes - 1`` before
-        agreed = _let(F.array_sort(proposed), lambda s: F.filter(s, lambda o, i: (F.get(s, i - (votes - 1)) == o) & F.coalesce(F.get(s, i - votes) != o, F.lit(True))))
+        words, needed = seeds[t]
+        if t.mandatory:
+            agreed = _starts(places, *words, needed)
+        else:
+            postings = F.array(*[F.struct(F.lit(x).alias("w"), F.lit(j).alias("j")) for j, x in enumerate(t.words) if x in words])
+            proposed = F.flatten(F.transform(F.filter(places, lambda s: s["w"].isin(words)), lambda s: F.transform(
+                F.filter(postings, lambda y: y["w"] == s["w"]), lambda y: s["i"] - y["j"])))
+            # sorted, so that positions with enough votes are those with an equal one ``needed - 1`` before
+            agreed = _let(F.array_sort(proposed), lambda s: F.filter(s, lambda o, i: (F.get(s, i - (needed - 1)) == o) & F.coalesce(F.get(s, i - needed) != o, F.lit(True))))
         verified = agreed
         for at, m in t.mandatory:
             verified = F.filter(verified, _phrase_at(w, at, m))

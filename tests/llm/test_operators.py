@@ -186,6 +186,22 @@ def test_licences_by_hand(spark, odd, none):
     assert licences.scan(none).count() == 0 and licences.scan(odd).count() == odd.count()
 
 
+def test_files_with_several_licences(spark):
+    """Each licence is found whatever else the file holds, as a plain search for the mandatory phrases finds it."""
+    mit, bsd, gpl3, gpl2 = (next(" ".join(t.words) for t in licences.TEMPLATES if t.label == x and len(t.words) > 10) for x in ("mit", "bsd", "gpl-3", "gpl-2"))
+    rare = " ".join(w for t in licences.TEMPLATES for w in dict.fromkeys(t.words) if w not in ("the", "mit", "bsd", "gnu"))
+    texts = [mit + " x " + gpl3, bsd + " x " + gpl3, f"{mit} x {bsd} x {gpl3}", rare + " x " + gpl3, f"{gpl2} x {gpl3}", mit, bsd, gpl3]
+    texts += [t for t in (mit, bsd, gpl3) for _ in range(20)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["labels"] for r in licences.scan(df).collect()}
+    assert [got[i] for i in range(3)] == ["gpl-3,mit", "bsd,gpl-3", "bsd,gpl-3,mit"]
+    assert "gpl-3" in got[3].split(",") and got[4] == "gpl-2,gpl-3" and [got[i] for i in range(5, 8)] == ["mit", "bsd", "gpl-3"]
+    free = (licences.Template("x", ("a", "b", "c", "d", "e", "f"), ()),)  # without mandatory phrases: any half of the words
+    some = [" ".join(x if i in c else "z" for i, x in enumerate("abcdef")) for c in itertools.combinations(range(6), 3)] + ["a b z z z z"]
+    rows = licences.scan(spark.createDataFrame(list(enumerate(some)), "doc_id long, text string"), phrases={"y y": "y"}, templates=free).collect()
+    assert {r["doc_id"] for r in rows if r["labels"] == "x"} == set(range(20))
+
+
 # 5 and 7
 
 @pytest.mark.parametrize("name,label,least", [("op5_quality_nbsvm", "quality", 0.95), ("op7_toxic_spans", "toxic", 0.9)])
