@@ -50,6 +50,23 @@ TEMPLATES = (
     template("cc-by-sa", "licensed under a creative commons attribution sharealike 4 0 international license", "creative commons attribution sharealike"),
     template("cc-by", "licensed under a creative commons attribution 4 0 international license", "creative commons attribution 4 0"),
 )
+# Short notices that name a licence. The registered SQL knows TEMPLATES only.
+NOTICES = (
+    template("gpl-3", "licensed under the gnu general public license version 3", "gnu general public license version 3"),
+    template("gpl-3", "licensed under the gnu gpl version 3", "gnu gpl version 3"),
+    template("gpl-3", "licensed under the gnu gpl v3", "gnu gpl v3"),
+    template("gpl-2", "licensed under the gnu general public license version 2", "gnu general public license version 2"),
+    template("gpl-2", "licensed under the gnu gpl version 2", "gnu gpl version 2"),
+    template("gpl-2", "licensed under the gnu gpl v2", "gnu gpl v2"),
+    template("mit", "licensed under the mit license", "under the mit license"),
+    template("apache-2", "licensed under the apache license 2 0", "apache license 2 0"),
+    template("bsd", "licensed under the bsd license", "under the bsd license"),
+    template("bsd", "licensed under the bsd 3 clause license", "bsd 3 clause license"),
+    template("bsd", "licensed under the bsd 2 clause license", "bsd 2 clause license"),
+    template("mpl-2", "licensed under the mozilla public license version 2 0", "mozilla public license version 2 0"),
+    template("cc-by-sa", "licensed under cc by sa 4 0", "cc by sa"),
+    template("cc-by", "licensed under cc by 4 0", "cc by 4 0"),
+)
 
 
 def words_of(text: Column) -> Column:
@@ -93,7 +110,7 @@ def document_frequencies(docs: DataFrame, text_col: str, vocabulary: list[str])
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", phrases: dict[str, str] | None = None,
-         templates: tuple[Template, ...] = TEMPLATES, votes: int = VOTES, least: float = LEAST_SHARE) -> DataFrame:
+         templates: tuple[Template, ...] = TEMPLATES + NOTICES, votes: int = VOTES, least: float = LEAST_SHARE) -> DataFrame:
     """One row per row of ``docs``: id, n_words, n_base (places of the phrases), first_word and last_word (smallest and largest of these places, else null),
     base_labels, labels (those and the templates'), places (template label, first word, share of its words found) and score (1 with a phrase,
     else the best template's share, else 0).

@@ -35,12 +35,19 @@ def op3_mix_sources(spark, sf_dir):
 
 @query
 def op4_licence_scan(spark, sf_dir):
-    return licences.scan(read(spark, sf_dir, "documents")).drop("places")
+    # the templates its SQL has
+    return licences.scan(read(spark, sf_dir, "documents"), templates=licences.TEMPLATES).drop("places")
 
 
 ORACLES["op4_licence_scan"] = licences.oracle_sql()
 
 
+@query
+def op4_licence_notices(spark, sf_dir):
+    """With the short notices too."""
+    return licences.scan(read(spark, sf_dir, "documents")).drop("places")
+
+
 @query
 def op5_quality_nbsvm(spark, sf_dir):
     return quality.digest(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))

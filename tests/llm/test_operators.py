@@ -202,6 +202,16 @@ def test_files_with_several_licences(spark):
     assert {r["doc_id"] for r in rows if r["labels"] == "x"} == set(range(20))
 
 
+def test_short_notices(spark):
+    texts = {"This work is licensed under the GNU General Public License, version 3.": "gpl-3", "licensed under the GNU General Public License version 2 only": "gpl-2",
+             "Licensed under the GNU GPL v3": "gpl-3", "licensed under the BSD 3-Clause License": "bsd", "Licensed under the Mozilla Public License, version 2.0": "mpl-2",
+             "licensed under CC BY-SA 4.0": "cc-by-sa", "licensed under CC BY 4.0": "cc-by", "licensed under CC BY-NC 4.0": "cc-by-nc",
+             "the GNU General Public License, version 1": "", "a licence version 3 of it": ""}
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in licences.scan(df).collect()}
+    assert [got[i]["labels"] for i in range(len(texts))] == list(texts.values()) and got[0]["score"] == 1
+
+
 # 5 and 7
 
 @pytest.mark.parametrize("name,label,least", [("op5_quality_nbsvm", "quality", 0.95), ("op7_toxic_spans", "toxic", 0.9)])
