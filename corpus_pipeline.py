@@ -25,8 +25,8 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no passage of a test text."""
-    return decontamination.clean(docs, read(spark, sf_dir, "benchmark"))
+    """Rows whose own text holds no passage of a test text, whatever other rows share their id."""
+    return decontamination.clean_rows(docs, read(spark, sf_dir, "benchmark"))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -109,7 +109,8 @@ def _segments(hits: np.ndarray, reach: int, n: int):
         yield max(0, int(hits[a]) - reach), min(n, int(hits[b - 1]) + reach), int(a), int(b)
 
 
-SEGMENT = "_id long, start int, total int, words binary, places binary, hashes binary"
+SEGMENT = "_id long, _h long, start int, total int, words binary, places binary, hashes binary"
+CHECKED = "_id long, _h long, item_id long, shift int, first_word int, matched int, n int"
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
@@ -123,6 +124,15 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     overlap with nothing. Rows with equal ids count as one document. Ids are integers; null ids are kept as null. Empty tables give no rows. Other columns are
     not read; texts are whole.
     """
+    each = _overlays(docs, benchmark, id_col, text_col, item_col, item_text_col).dropDuplicates(["_id", "item_id", "shift", "first_word"])
+    return each.groupBy("_id", "item_id").agg(F.min("first_word").cast("long").alias("first_word"), F.max("matched").cast("long").alias("matched"),
+                                              F.max(F.col("matched") / F.col("n")).alias("share"), F.count_distinct("shift").alias("n_places")).select(
+        F.col("_id").alias(id_col), F.col("item_id").alias(item_col), "first_word", "matched", "share", "n_places")
+
+
+def _overlays(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
+              item_text_col: str = "text") -> DataFrame:
+    """The accepted overlays, with the id and the hash of the text (_h) of the row they are in."""
     spark = docs.sparkSession
     items = written(test_items(benchmark, item_col, item_text_col), "decon-items")
     seeds = written(seed_table(items), "decon-seeds")
@@ -135,6 +145,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         bits = shared.value
         for batch in small_batches(batches, 1):
             words, counts = word_hashes(batch.column(1), TOKENS)
+            text_hashes = batch.column(2).to_pylist()
             ends = np.cumsum(counts)
             left = np.repeat(ends, counts) - np.arange(len(words))  # words from here to the end of the text
             found, keys = [], []
@@ -154,13 +165,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                 begin = int(ends[d] - counts[d])
                 hits = found[a:b] - begin
                 for start, end, i, j in _segments(hits, reach, int(counts[d])):
-                    rows.append((ids[d], start, int(counts[d]), words[begin + start:begin + end].tobytes(),
+                    rows.append((ids[d], text_hashes[d], start, int(counts[d]), words[begin + start:begin + end].tobytes(),
                                  hits[i:j].astype(np.int32).tobytes(), keys[a + i:a + j].tobytes()))
             if rows:
                 yield _rows(rows, SEGMENT)
 
-    source = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_t"))
-    near = source.mapInArrow(look_up, SEGMENT).withColumn("_key", F.struct("_id", "start", F.xxhash64("words", "places")))
+    source = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_t"), F.xxhash64(text_col).alias("_h"))
+    near = source.mapInArrow(look_up, SEGMENT).withColumn("_key", F.struct("_id", "_h", "start", F.xxhash64("words", "places")))
     near = written(near, "decon-segments")
 
     def unpack(batches):
@@ -176,13 +187,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     hits = near.select(F.col("_key").alias("_k"), "places", "hashes").mapInArrow(unpack, f"_k {key_type}, at int, hash long")
     overlays = hits.join(seeds, "hash").select("_k", "item_id", (F.col("at") - F.col("place")).alias("shift")).distinct()
     grouped = overlays.groupBy("_k", "item_id").agg(F.collect_set("shift").alias("shifts"))  # at most one for each word of the segment and the item
-    pairs = grouped.join(near.dropDuplicates(["_key"]).select("_key", "_id", "start", "total", "words"), F.col("_k") == F.col("_key")).join(
-        items.withColumnRenamed("words", "item_words"), "item_id").select("_id", "item_id", "start", "total", "words", "item_words", "shifts")
-    checked = pairs.mapInArrow(_verify, "_id long, item_id long, shift int, first_word int, matched int, n int")
-    each = checked.dropDuplicates(["_id", "item_id", "shift", "first_word"])
-    return each.groupBy("_id", "item_id").agg(F.min("first_word").cast("long").alias("first_word"), F.max("matched").cast("long").alias("matched"),
-                                              F.max(F.col("matched") / F.col("n")).alias("share"), F.count_distinct("shift").alias("n_places")).select(
-        F.col("_id").alias(id_col), F.col("item_id").alias(item_col), "first_word", "matched", "share", "n_places")
+    pairs = grouped.join(near.dropDuplicates(["_key"]).select("_key", "_id", "_h", "start", "total", "words"), F.col("_k") == F.col("_key")).join(
+        items.withColumnRenamed("words", "item_words"), "item_id").select("_id", "_h", "item_id", "start", "total", "words", "item_words", "shifts")
+    return pairs.mapInArrow(_verify, CHECKED)
 
 
 def accepted(doc: np.ndarray, start: int, total: int, item: np.ndarray, shift: int) -> tuple[int, int] | None:
@@ -207,9 +214,9 @@ def _verify(batches):
             for shift in r["shifts"]:
                 found = accepted(doc, r["start"], r["total"], item, shift)
                 if found:
-                    rows.append((r["_id"], r["item_id"], shift, *found, len(item)))
+                    rows.append((r["_id"], r["_h"], r["item_id"], shift, *found, len(item)))
         if rows:
-            yield _rows(rows, "_id long, item_id long, shift int, first_word int, matched int, n int")
+            yield _rows(rows, CHECKED)
 
 
 def _rows(rows: list[tuple], schema: str) -> pa.RecordBatch:
@@ -224,6 +231,13 @@ def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     return docs.join(bad, F.col(f"`{id_col}`").eqNullSafe(F.col("_bad")), "left_anti")
 
 
+def clean_rows(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **columns) -> DataFrame:
+    """The rows whose own text overlaps with no test text, with all their columns. Rows are judged by id and hash of the text, so other texts of
+    the same id, or of a null one, stay."""
+    bad = _overlays(docs, benchmark, id_col, text_col, **columns).select(F.col("_id").alias("_bad"), F.col("_h").alias("_bad_text")).distinct()
+    return docs.join(bad, F.col(f"`{id_col}`").eqNullSafe(F.col("_bad")) & (F.xxhash64(f"`{text_col}`") == F.col("_bad_text")), "left_anti")
+
+
 def oracle_sql() -> str:
     """The same result as DuckDB SQL over ``documents`` and ``benchmark``."""
     gap = "[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"

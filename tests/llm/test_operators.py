@@ -116,6 +116,14 @@ def test_decontamination_edges(spark, odd, none):
     assert decontamination.contaminated(odd, bench.limit(0)).count() == 0
 
 
+def test_clean_rows_keeps_other_texts_of_an_id(spark):
+    passage = " ".join(f"p{i}" for i in range(20))
+    rows = [(None, "clean one"), (None, "x " + passage), (None, None), (5, passage + " y"), (5, "clean two"), (6, "clean three"), (7, passage), (7, passage)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("extra", F.lit(1))
+    kept = decontamination.clean_rows(docs, spark.createDataFrame([(1, passage)], "item_id long, text string"))
+    assert kept.columns == docs.columns and key(r[:2] for r in kept.collect()) == key([(None, "clean one"), (None, None), (5, "clean two"), (6, "clean three")])
+
+
 def test_masks_find_two_replaced_words():
     for lost in itertools.combinations(range(13), 2):
         assert any(all(o + p not in lost for p in m) for m in decontamination.MASKS for o in range(13 - m[-1]))

@@ -62,3 +62,9 @@ def test_empty_documents(spark, sf):
         docs = written(stage(spark, docs, sf))
     assert docs.count() == 0
     assert quality.CUT == 0.3
+
+
+def test_decontamination_stage_keeps_clean_rows_of_a_null_id(spark, sf):
+    passage = spark.read.parquet(f"{sf}/benchmark.parquet").where("length(text) > 200").first()["text"]
+    docs = spark.createDataFrame([(None, passage), (None, "other text"), (2, passage), (2, "text of the same id")], "doc_id long, text string")
+    assert sorted(r["text"] for r in corpus_pipeline.decontamination_stage(spark, docs, sf).collect()) == ["other text", "text of the same id"]
