@@ -11,6 +11,8 @@ in an index of their own that ignores costs. The sample only steers the work; no
 
 Sets with a common content form a list. Links that don't change the classes needn't be verified: in each round every list proposes pairs between different classes only,
 first of all members with one hub, then between what is left, filtered by parity bits that bound the difference of two sets from below. Pairs are verified on the whole sets.
+
+The join itself comes last: two linked sets are in one class, so within each class all sets are compared with all, block by block on the whole sets.
 """
 
 import numpy as np
@@ -30,6 +32,7 @@ KEYS_EACH = 1_500_000  # keys that one task sorts
 SHORT_LIST = 256  # longer lists begin with a hub
 FIRST_TRIES = 2  # pairs a node has verified in the first round; four times as many in each that follows
 CHUNK = 4096  # members of a list that one task compares with others
+BLOCK_SETS, BLOCK_SHINGLES = 512, 1 << 18  # of a class, that meet other such blocks of it in the join
 
 
 def shingle_sets(texts: pa.Array) -> list[np.ndarray]:
@@ -430,6 +433,74 @@ def members_and_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             return members, labels
 
 
+def _linked(batches, pairs: bool):
+    """Links between two blocks of a class, or within one: (a, b) each once, or (node, rows) with the rows of all sets a set is linked with."""
+    for batch in batches:
+        for left, right in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            same = right is None
+            every = left if same else left + right
+            sets = [np.frombuffer(x["members"], np.uint64) for x in every]
+            nodes, weight = np.array([x["node"] for x in every]), np.array([x["copies"] for x in every])
+            _, at = np.unique(np.concatenate(sets), return_inverse=True)
+            sizes = np.array([len(x) for x in sets])
+            starts = np.cumsum(sizes) - sizes
+            has, rows, found = np.zeros(int(at.max()) + 1, dtype=bool), np.zeros(len(every), dtype=np.int64), []
+            for i in range(len(left)):
+                first = i + 1 if same else len(left)
+                if first == len(every):
+                    continue
+                own = at[starts[i]:starts[i] + sizes[i]]
+                has[own] = True
+                common = np.add.reduceat(has[at[starts[first]:]].astype(np.int64), starts[first:] - starts[first])
+                has[own] = False
+                j = first + np.flatnonzero(100 * common >= PERCENT * (sizes[i] + sizes[first:] - common))
+                rows[i] += weight[j].sum()
+                rows[j] += weight[i]
+                if pairs:
+                    found.append((np.minimum(nodes[i], nodes[j]), np.maximum(nodes[i], nodes[j])))
+            if pairs and found:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found)], ["a", "b"])
+            elif not pairs and rows.any():
+                yield pa.RecordBatch.from_arrays([pa.array(nodes[rows > 0]), pa.array(rows[rows > 0])], ["node", "rows"])
+
+
+def _class_blocks(source: DataFrame, members: DataFrame, labels: DataFrame) -> DataFrame:
+    """(left, right): all blocks of each class with all, each two once; ``right`` is null for a block with itself. A block's size is bounded, a class's is not."""
+    own = members.where("n_shingles > 0").groupBy(F.col("a").alias("node")).agg(F.first("n_shingles").alias("n"), F.count("*").alias("copies")).join(labels, "node")
+    blocks = F.ceil(F.greatest(F.count("*") / BLOCK_SETS, F.sum("n") / BLOCK_SHINGLES)).cast("int")
+    many = own.groupBy("root").agg(F.count("*").alias("k"), blocks.alias("m")).where("k > 1")
+    nodes = written(own.join(many, "root").select("node", "root", "copies", "m", F.pmod(F.xxhash64("node"), "m").cast("int").alias("c")), "jaccard-class-nodes")
+    packed = _sets_of(source, nodes.select("node")).join(nodes, "node").groupBy("root", "c", "m").agg(F.collect_list(F.struct("node", "copies", "members")).alias("left"))
+    packed = written(packed, "jaccard-blocks")
+    ahead = packed.where("c + 1 < m").select("root", "left", F.explode(F.sequence(F.col("c") + 1, F.col("m") - 1)).alias("d"))
+    met = ahead.join(packed.select("root", F.col("c").alias("d"), F.col("left").alias("right")), ["root", "d"]).select("left", "right")
+    return packed.select("left", F.lit(None).cast(packed.schema["left"].dataType).alias("right")).union(met)
+
+
+def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keys_each: int = KEYS_EACH) -> tuple[DataFrame, DataFrame]:
+    """The join: (membership: doc_id, set_id, one row per row of ``docs``, null without words; links: a, b, every two different sets that link, once, a < b).
+
+    Rows of one set link too; with them, membership and links are all pairs of rows.
+    """
+    members, labels = members_and_classes(docs, id_col, text_col, keys_each)
+    source = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
+    made = _class_blocks(source, members, labels).mapInArrow(lambda batches: _linked(batches, True), "a long, b long")
+    return members.select(F.col("_id").alias(id_col), F.when(F.col("n_shingles") > 0, F.col("a")).alias("set_id")), made
+
+
+def _component_rows(members: DataFrame, labels: DataFrame, degrees: DataFrame | None = None) -> DataFrame:
+    """(_id, n_shingles, component_id, n_links); without ``degrees`` (node, rows) the last counts the copies only."""
+    smallest = members.where("n_shingles > 0").groupBy("a").agg(F.min("_id").alias("least"), F.count("*").alias("copies")).join(
+        labels.withColumnRenamed("node", "a"), "a", "left").withColumn("root", F.coalesce("root", "a"))
+    smallest = written(smallest, "jaccard-nodes")
+    named = smallest.join(smallest.groupBy("root").agg(F.min("least").alias("component_id")), "root").select(F.col("a").alias("node"), "component_id", "copies")
+    if degrees is not None:
+        named = named.join(degrees, "node", "left").select("node", "component_id", (F.col("copies") + F.coalesce("rows", F.lit(0))).alias("copies"))
+    some = F.col("n_shingles") > 0
+    return members.join(named, F.col("a") == F.col("node"), "left").select(
+        "_id", "n_shingles", F.when(some, F.col("component_id")).otherwise(F.col("_id")).alias("component_id"), F.when(some, F.col("copies") - 1).otherwise(F.lit(0)).alias("n_links"))
+
+
 def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keys_each: int = KEYS_EACH) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles (distinct shingles of five words) and component_id, the smallest id reachable by links.
 
@@ -438,12 +509,15 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     are nodes of their own. An empty table gives no rows; other columns are not read. Shingles are compared as 64-bit hashes.
     """
     members, labels = members_and_classes(docs, id_col, text_col, keys_each)
-    smallest = members.where("n_shingles > 0").groupBy("a").agg(F.min("_id").alias("least")).join(
-        labels.withColumnRenamed("node", "a"), "a", "left").withColumn("root", F.coalesce("root", "a"))
-    smallest = written(smallest, "jaccard-nodes")
-    named = smallest.join(smallest.groupBy("root").agg(F.min("least").alias("component_id")), "root").select(F.col("a").alias("node"), "component_id")
-    out = members.join(named, F.col("a") == F.col("node"), "left")
-    return out.select(F.col("_id").alias(id_col), "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("_id")).alias("component_id"))
+    return _component_rows(members, labels).select(F.col("_id").alias(id_col), "n_shingles", "component_id")
+
+
+def components_and_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keys_each: int = KEYS_EACH) -> DataFrame:
+    """As ``components``, with n_links: the number of other rows a row links with, copies among them. All pairs of a class are verified."""
+    members, labels = members_and_classes(docs, id_col, text_col, keys_each)
+    source = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
+    degrees = _class_blocks(source, members, labels).mapInArrow(lambda batches: _linked(batches, False), "node long, rows long").groupBy("node").agg(F.sum("rows").alias("rows"))
+    return _component_rows(members, labels, degrees).select(F.col("_id").alias(id_col), "n_shingles", "component_id", "n_links")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -55,7 +55,7 @@ def op5_quality_nbsvm(spark, sf_dir):
 
 @query
 def op6_jaccard_join(spark, sf_dir):
-    return jaccard_join.components(read(spark, sf_dir, "documents"))
+    return jaccard_join.components_and_links(read(spark, sf_dir, "documents"))
 
 
 @query

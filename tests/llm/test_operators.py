@@ -332,6 +332,26 @@ def test_components_match_brute_force(spark, monkeypatch, keys_each, block):
     assert key(jaccard_join.components(df, keys_each=keys_each).collect()) == key(brute_components(rows))
 
 
+@pytest.mark.parametrize("block", [None, 5])
+def test_every_link_is_made(spark, monkeypatch, block):
+    if block:
+        monkeypatch.setattr(jaccard_join, "BLOCK_SETS", block)
+    rows = near_copies()[:150]
+    rows += [(None, rows[0][1]), (900, None), (901, ""), rows[3], (rows[4][0], rows[5][1])]
+    sets = [frozenset(tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))) if (w := words(lower(t))) else frozenset() for _, t in rows]
+    near = lambda i, j: bool(sets[i]) and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])
+    pairs = [(i, j) for i, j in itertools.combinations(range(len(rows)), 2) if near(i, j)]
+    degree = collections.Counter(x for p in pairs for x in p)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = [(*c, degree[i]) for i, c in enumerate(brute_components(rows))]
+    assert max(degree.values()) > 5 and key(jaccard_join.components_and_links(df).collect()) == key(want)
+    if block:
+        member, made = jaccard_join.links(df)
+        copies, made = collections.Counter(r["set_id"] for r in member.collect() if r["set_id"] is not None), made.collect()
+        assert len(set(made)) == len(made) and all(r["a"] < r["b"] for r in made)
+        assert sum(copies[r["a"]] * copies[r["b"]] for r in made) + sum(n * (n - 1) // 2 for n in copies.values()) == len(pairs)
+
+
 def test_components_edges(odd, none):
     rows = [(r["doc_id"], r["text"]) for r in odd.collect()]
     assert key(jaccard_join.components(odd).collect()) == key(brute_components(rows))
