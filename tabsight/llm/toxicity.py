@@ -15,10 +15,10 @@ from .quality import fit_logistic
 from .text_arrays import TOKENS, mix, small_batches, word_beginnings
 
 BEGINNINGS = (3, 4, 5, 6, 7, 8)  # bytes
-MIN_DOCUMENTS, MIN_SHARE = 3, 0.002  # a feature must occur in so many, and in such a share, of the toxic documents
+MIN_DOCUMENTS = 3  # a feature must occur in so many toxic documents, however many there are
 KEPT_RATIO, TOKEN_RATIO = 1.0, 2.5
 SAMPLE_ROWS = 4000  # bound of the documents the field is fitted on; counts cover all labelled ones
-FILTER_BITS = 22
+FILTER_BITS, MOST_BITS = 22, 27
 BATCH_BYTES = 3 << 20
 CUT = 0.5
 
@@ -152,40 +152,34 @@ def _distinct(hashes: np.ndarray, counts: np.ndarray):
 
 
 def build_lexicon(rows: DataFrame, totals: np.ndarray) -> Lexicon:
-    """Counts of features over all labelled documents: first those frequent in toxic ones, then how often each of them occurs in the others.
-    What comes back is bounded by MIN_SHARE: a toxic document has few features that 1 in 500 of them share, and only those with a ratio stay."""
-    least = max(MIN_DOCUMENTS, int(np.ceil(MIN_SHARE * totals[1])))
-
-    def toxic(batches):
+    """Counts of features over all labelled documents: those in MIN_DOCUMENTS toxic ones, joined with how often each of them occurs in the others.
+    Only features whose ratio reaches KEPT_RATIO come back; their number follows what tells the classes apart, not a share of the documents."""
+    def count(batches, bits=None):
+        table = bits.value if bits else None
         for batch in small_batches(batches, 0, BATCH_BYTES):
             hashes, counts, _ = word_beginnings(batch.column(0), TOKENS, BEGINNINGS)
             parts = list(_distinct(hashes, counts))
-            h, n = np.unique(np.concatenate(parts), return_counts=True) if parts else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+            every = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
+            if table is not None:
+                spot = every >> np.uint64(64 - MOST_BITS)
+                every = every[(table[(spot >> np.uint64(6)).astype(np.int64)] >> (spot & np.uint64(63))) & np.uint64(1) == 1]
+            h, n = np.unique(every, return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], ["h", "n"])
 
-    frequent = rows.where("_label = 1").select("_text").mapInArrow(toxic, "h long, n long").groupBy("h").agg(F.sum("n").alias("t")).where(F.col("t") >= least)
-    table = frequent.toArrow()
-    hashes = table.column("h").to_numpy().view(np.uint64)
-    lexicon = Lexicon(hashes, table.column("t").to_numpy(), np.zeros(len(hashes)), totals[1], totals[0])
-    shared = rows.sparkSession.sparkContext.broadcast(lexicon)
-
-    def others(batches):
-        known, seen = shared.value, np.zeros(len(shared.value.hashes), dtype=np.int64)
-        for batch in small_batches(batches, 0, BATCH_BYTES):
-            words, counts, _ = word_beginnings(batch.column(0), TOKENS, BEGINNINGS)
-            doc = np.repeat(np.arange(len(counts)), counts)
-            found = [known.find(words[:, k]) for k in range(words.shape[1])]
-            pairs = np.unique(np.concatenate([doc[at] * len(seen) + row for at, row in found])) if len(seen) else np.zeros(0, np.int64)
-            seen += np.bincount(pairs % max(len(seen), 1), minlength=len(seen))
-        at = np.flatnonzero(seen)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(seen[at])], ["row", "n"])
-
-    n = np.zeros(len(hashes))
-    counted = rows.where("_label = 0").select("_text").mapInArrow(others, "row long, n long").groupBy("row").agg(F.sum("n").alias("n")).toArrow()
-    n[counted.column("row").to_numpy()] = counted.column("n").to_numpy()
-    full = Lexicon(lexicon.hashes, lexicon.t, n, totals[1], totals[0])
-    keep = full.ratio(np.arange(len(n))) >= KEPT_RATIO
-    return Lexicon(full.hashes[keep], full.t[keep], full.n[keep], totals[1], totals[0])
+    toxic = rows.where("_label = 1").select("_text").mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("t"))
+    toxic = written(toxic.where(F.col("t") >= MIN_DOCUMENTS), "toxicity-candidates")
+    # a table of bits, of 16 MB however many candidates there are, keeps most other features of the rest from being passed on
+    spot = F.shiftrightunsigned(F.col("h"), 64 - MOST_BITS)
+    found = toxic.select(F.shiftrightunsigned(spot, 6).alias("w"), (spot % 64).cast("int").alias("i")).groupBy("w").agg(F.expr("bit_or(shiftleft(1L, i))").alias("v")).toArrow()
+    table = np.zeros(1 << (MOST_BITS - 6), dtype=np.uint64)
+    table[found.column("w").to_numpy()] = found.column("v").to_numpy().view(np.uint64)
+    shared = rows.sparkSession.sparkContext.broadcast(table)
+    others = rows.where("_label = 0").select("_text").mapInArrow(lambda batches: count(batches, shared), "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+    both = toxic.join(others, "h", "left").select("h", "t", F.coalesce("n", F.lit(0)).alias("n"))
+    share = float(totals[1] / totals.sum())
+    ratio = F.log((F.col("t") + share) / (F.col("n") + 1 - share) * float(totals[0] / totals[1]))
+    kept = both.where(ratio >= KEPT_RATIO).toArrow()
+    return Lexicon(kept.column("h").to_numpy().view(np.uint64), kept.column("t").to_numpy(), kept.column("n").to_numpy(), totals[1], totals[0])
 
 
 def fit(rows: DataFrame, most: int = SAMPLE_ROWS) -> dict:

@@ -257,6 +257,17 @@ def test_toxic_spans_are_offsets(spark):
         assert (r["score"] > 0.5) == bool(r["toxic"])
 
 
+def test_lexicon_keeps_rare_evidence_among_many_documents(spark):
+    """A word of four toxic documents and of no other counts, however many toxic documents there are."""
+    import pyarrow as pa
+    rows = [(f"plain{i % 50} words" + (" slurword" if i in (1, 3, 5, 7) else "") + (" evenword" if i % 100 < 2 else ""), i % 2) for i in range(6000)]
+    df = spark.createDataFrame(rows, "_text string, _label int")
+    lexicon = toxicity.build_lexicon(df, np.array([3000.0, 3000.0]))
+    h = text_arrays.word_beginnings(pa.array(["slurword evenword"]), text_arrays.TOKENS, toxicity.BEGINNINGS)[0][:, 0]
+    at, row = lexicon.find(h)
+    assert at.tolist() == [0] and (lexicon.t[row[0]], lexicon.n[row[0]]) == (4, 0)
+
+
 def test_forward_backward_is_exact():
     rng = np.random.default_rng(2)
     counts = np.array([4, 0, 1, 3])
