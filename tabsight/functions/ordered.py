@@ -10,6 +10,7 @@ import math
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..options import DEFAULTS, Options
+from .fingerprint import row_hash
 from .text import quoted
 
 CHUNK, TIE = "_chunk", "_tie"
@@ -46,7 +47,7 @@ def with_chunks(df: DataFrame, order_by: list[str], opts: Options = DEFAULTS) ->
 
 def _total_order(df: DataFrame, order_by: list[str]) -> tuple[DataFrame, list[str]]:
     """Adds a hash of the whole row as the last key: ties come in the same order in every run and can be cut, all but equal rows."""
-    return df.withColumn(TIE, F.xxhash64(*[quoted(c) for c in df.columns])), [*order_by, TIE]
+    return df.withColumn(TIE, row_hash(df.columns)), [*order_by, TIE]
 
 
 def forward_fill(df: DataFrame, columns: list[str], order_by: list[str], opts: Options = DEFAULTS) -> DataFrame:

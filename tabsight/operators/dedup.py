@@ -43,10 +43,11 @@ def dedup_by_key(df: DataFrame, keys: list[str], order_by: list[str]) -> DataFra
 
 
 def duplicate_samples(df: DataFrame, limit: int = 5) -> DataFrame:
-    """The most frequent duplicated rows as text."""
-    signature = F.concat_ws("|", *[F.coalesce(quoted(c).cast("string"), F.lit("null")) for c in df.columns])
-    return (df.groupBy(signature.alias("signature")).agg(F.count("*").alias("n")).where("n > 1")
-            .orderBy(F.desc("n"), "signature").limit(limit))
+    """The most frequent duplicated rows as text. Rows are compared by their cells, so a null and the text ``null`` stay apart; only the text shows them alike."""
+    cells = [quoted(c).alias(f"c{i}") for i, c in enumerate(df.columns)]
+    groups = df.select(*cells).groupBy(*[f"c{i}" for i in range(len(cells))]).agg(F.count("*").alias("n")).where("n > 1")
+    signature = F.concat_ws("|", *[F.coalesce(F.col(f"c{i}").cast("string"), F.lit("null")) for i in range(len(cells))])
+    return groups.select(signature.alias("signature"), "n").orderBy(F.desc("n"), "signature").limit(limit)
 
 
 def _sizes(**frames: DataFrame) -> DataFrame:

@@ -5,8 +5,11 @@ from itertools import combinations
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from ..functions.dates import parse_datetime
+from ..functions.fingerprint import row_hash
+from ..functions.lineage import written
 from ..functions.numbers import (NUMERIC_TYPES, datetime_columns, kurtosis_agg, numeric_columns, pct, pearson_agg, ratio,
                                  skewness_agg, string_columns)
+from ..functions.partitions import held
 from ..functions.quantiles import column_quantiles
 from ..functions.reshape import first_values, long_agg, value_counts
 from ..functions.text import HIDDEN_NULL_WORDS, MONEY_SYMBOLS, quoted, strip, to_number
@@ -21,21 +24,31 @@ def null_counts(df: DataFrame) -> DataFrame:
                          for c in df.columns})
 
 
-def profile_shape(df: DataFrame) -> DataFrame:
-    """Rows, columns, missing cells, duplicate rows.
+def duplicate_rows(df: DataFrame) -> DataFrame:
+    """``(row_count, total_missing, distinct_rows)`` of a table, exact.
 
-    Rows are grouped by two 64-bit hashes, combined before the shuffle, so what is shuffled is 16 bytes a row. Duplicates are those of the hash groups; two different
-    rows agree in both hashes with a chance of 2**-128 a pair.
+    Rows are grouped by two 64-bit fingerprints that know which cells are null, combined before the shuffle: 24 bytes a row. A group of one row is a
+    distinct row for certain. Only rows of larger groups are looked at again and grouped by their cells, so equal fingerprints prove nothing by
+    themselves. The groups above one are a small part of a table's rows, or their rows are combined before they move.
     """
     cells = [quoted(c) for c in df.columns]
+    prints = [row_hash(df.columns, 0).alias("_h"), row_hash(df.columns, 1).alias("_g")]
     nulls = sum((c.isNull().cast("int") for c in cells), F.lit(0))
-    by_hash = df.groupBy(F.xxhash64(*cells).alias("_h"), F.xxhash64(F.lit(1), *reversed(cells), F.lit(2)).alias("_g")).agg(
-        F.count("*").alias("_n"), F.sum(nulls).alias("_nulls"))
-    totals = by_hash.agg(
-        F.coalesce(F.sum("_n"), F.lit(0)).alias("row_count"), F.coalesce(F.sum("_nulls"), F.lit(0)).alias("total_missing"),
-        F.count("*").alias("_distinct"))
+    with held(df):
+        groups = written(df.select(*prints, nulls.alias("_nulls")).groupBy("_h", "_g").agg(F.count("*").alias("_n"), F.sum("_nulls").alias("_nulls")), "row-groups")
+        totals = groups.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("row_count"), F.coalesce(F.sum("_nulls"), F.lit(0)).alias("total_missing"),
+                            F.count_if(F.col("_n") == 1).alias("_single"))
+        again = groups.where("_n > 1").select("_h", "_g")
+        suspects = df.select(*[c.alias(f"c{i}") for i, c in enumerate(cells)], *prints).join(again, ["_h", "_g"], "left_semi")
+        verified = written(suspects.groupBy("_h", "_g", *[f"c{i}" for i in range(len(cells))]).agg(F.lit(1).alias("_one")).agg(
+            F.count("*").alias("_several")), "row-verified")
+    return totals.join(verified).select("row_count", "total_missing", (F.col("_single") + F.col("_several")).alias("distinct_rows"))  # one row each
+
+
+def profile_shape(df: DataFrame) -> DataFrame:
+    """Rows, columns, missing cells, duplicate rows."""
     cols, r = len(df.columns), F.col("row_count")
-    return totals.withColumn("duplicate_rows", r - F.col("_distinct")).select(
+    return duplicate_rows(df).withColumn("duplicate_rows", r - F.col("distinct_rows")).select(
         r, F.lit(cols).alias("column_count"), (r * cols).alias("total_cells"), "total_missing",
         pct(F.col("total_missing"), r * cols).alias("missing_pct"), "duplicate_rows",
         pct(F.col("duplicate_rows"), r).alias("duplicate_pct"))

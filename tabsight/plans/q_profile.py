@@ -172,6 +172,21 @@ def _(spark, d):
     return P.profile_shape(_messy(spark, d))
 
 
+@query("profile_shape_nulls", """
+WITH t AS (SELECT CASE WHEN o_orderkey % 2 = 0 THEN o_orderstatus END AS a, CASE WHEN o_orderkey % 2 = 1 THEN o_orderstatus END AS b,
+  CASE WHEN o_orderkey % 3 = 0 THEN o_custkey END AS c, CASE WHEN o_orderkey % 3 = 1 THEN o_custkey END AS d FROM orders),
+n AS (SELECT count(*) AS row_count, (SELECT count(*) FROM (SELECT DISTINCT a, b, c, d FROM t)) AS kinds,
+  CAST(sum(CAST(a IS NULL AS INT) + CAST(b IS NULL AS INT) + CAST(c IS NULL AS INT) + CAST(d IS NULL AS INT)) AS BIGINT) AS total_missing FROM t)
+SELECT row_count, 4 AS column_count, row_count * 4 AS total_cells, total_missing, round(total_missing * 100.0 / (row_count * 4), 2) AS missing_pct,
+  row_count - kinds AS duplicate_rows, round((row_count - kinds) * 100.0 / row_count, 2) AS duplicate_pct FROM n""")
+def _(spark, d):
+    """Rows that differ only in which column holds the value."""
+    key = F.col("o_orderkey")
+    return P.profile_shape(table(spark, d, "orders").select(
+        F.when(key % 2 == 0, F.col("o_orderstatus")).alias("a"), F.when(key % 2 == 1, F.col("o_orderstatus")).alias("b"),
+        F.when(key % 3 == 0, F.col("o_custkey")).alias("c"), F.when(key % 3 == 1, F.col("o_custkey")).alias("d")))
+
+
 @query("profile_confidence", f"""WITH {MESSY_SQL}, {SHAPE_SQL}
 SELECT row_count, missing_pct, duplicate_pct,
   round(1.0 - missing_pct / 100 * 0.5 - duplicate_pct / 100 * 0.3, 3) AS confidence FROM shape""")

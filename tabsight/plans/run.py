@@ -138,11 +138,11 @@ def analyse_table(clean: DataFrame, plan: DataFrame, rows: list, derivations: Da
     if "discount" in roles and "returned" in roles:
         out["discount_return_rate"] = stats.discount_return_rate(clean, roles["discount"], roles["returned"], opts=opts)
     if "segment" in roles and revenue:
-        out["order_value_by_segment"] = stats.order_value_by_segment(clean, roles["segment"], revenue, opts)
+        out["order_value_by_segment"] = stats.order_value_by_segment(clean, roles["segment"], revenue)
     if "region" in roles and "shipping" in roles:
-        out["shipping_cost_by_region"] = stats.shipping_cost_by_region(clean, roles["region"], roles["shipping"], opts)
+        out["shipping_cost_by_region"] = stats.shipping_cost_by_region(clean, roles["region"], roles["shipping"])
     if "representative" in roles and "discount" in roles and "margin" in roles:
-        out["discount_margin_by_rep"] = stats.discount_margin_by_rep(clean, roles["representative"], roles["discount"], roles["margin"], opts)
+        out["discount_margin_by_rep"] = stats.discount_margin_by_rep(clean, roles["representative"], roles["discount"], roles["margin"])
     if "category" in roles and "margin" in roles and dates:
         out["margin_by_category_month"] = stats.margin_by_category_month(clean, roles["category"], f"{dates[0]}_month", roles["margin"])
     if "derived_days_to_ship" in clean.columns:
