@@ -5,7 +5,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontamination, jaccard_join, licences, mixing, q_url, quality, token_counts, token_files, topk, toxicity
+from . import chat, decontamination, jaccard_join, licences, mixing, q_url, quality, resampling, token_counts, token_files, topk, toxicity, vector_codes
 from .common import read
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -85,3 +85,27 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank
 @query
 def op10_token_counts(spark, sf_dir):
     return token_counts.count_tokens(read(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
+
+
+@query
+def op11_chat_windows(spark, sf_dir):
+    says = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-1, 0, "user", says), (-1, 1, "assistant", says)], "conv_id long, turn long, role string, text string")
+    turns = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    return chat.conversation_digest(turns, public_tokenizers.path(VOCABULARY))
+
+
+@query
+def op12_target_resampling(spark, sf_dir):
+    return resampling.resample(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+ORACLES["op12_target_resampling"] = resampling.oracle_sql()
+
+
+@query
+def op13_vector_codes(spark, sf_dir):
+    return vector_codes.compress(read(spark, sf_dir, "embeddings"))
+
+
+ORACLES["op13_vector_codes"] = vector_codes.oracle_sql()
