@@ -1,45 +1,61 @@
-"""Mixed-format date parsing without failed attempts: the shape of a text decides how it is read."""
+"""Dates as people write them, read by a grammar over tokens.
+
+A clock is taken out wherever it stands, week days, ordinal endings and fillers go, and what is left becomes a shape of tokens: year (four digits),
+number (one or two), month name. The shape alone decides which token is the year, the month and the day.
+"""
 
 from pyspark.sql import Column, functions as F
 
 from .text import let, strip
 
-# A clock behind a date: hours, minutes, seconds, fraction, am/pm, zone.
-_CLOCK = r"[T ]+(\d{1,2}):(\d{2})(?::(\d{2})(\.\d+)?)?(?: ?([AaPp])\.?[Mm]\.?)?(?: ?(Z|z|UTC|GMT|[+-]\d{2}:?\d{2}))?$"
-_MONTH = r"(?i:(jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|june?|july?|aug(?:ust)?|sept?(?:ember)?|oct(?:ober)?|nov(?:ember)?|dec(?:ember)?))\.?"
-
-# Fixed values, in priority order: (shape of the text, the date in year-month-day order). Slash dates are month first; the day-first
-# reading is used only when the first number cannot be a month. Years of two digits are 1969 to 2068.
-DATE_SHAPES = [
-    (r"^(\d{4})[-/.](\d{1,2})[-/.](\d{1,2})$", "$1-$2-$3"),
-    (r"^(0?[1-9]|1[0-2])[-/](\d{1,2})[-/](\d{4})$", "$3-$1-$2"),
-    (r"^(1[3-9]|2\d|3[01])[-/](\d{1,2})[-/](\d{4})$", "$3-$2-$1"),
-    (r"^(0?[1-9]|1[0-2])[-/](\d{1,2})[-/]([0-5]\d|6[0-8])$", "20$3-$1-$2"),
-    (r"^(0?[1-9]|1[0-2])[-/](\d{1,2})[-/](69|[7-9]\d)$", "19$3-$1-$2"),
-    (r"^(1[3-9]|2\d|3[01])[-/](\d{1,2})[-/]([0-5]\d|6[0-8])$", "20$3-$2-$1"),
-    (r"^(1[3-9]|2\d|3[01])[-/](\d{1,2})[-/](69|[7-9]\d)$", "19$3-$2-$1"),
-    (r"^(\d{4})(\d{2})(\d{2})$", "$1-$2-$3"),
-]
-# (shape, group of the year, of the month's name, of the day)
-NAMED_SHAPES = [
-    (rf"^(\d{{1,2}})[ -]+{_MONTH},?[ -]+(\d{{4}})$", 3, 2, 1),
-    (rf"^{_MONTH}[ -]+(\d{{1,2}}),?[ -]+(\d{{4}})$", 3, 1, 2),
-]
-
-# What every supported date text begins with; one cheap test turns other texts away.
-_BEGINNING = r"^(\d{4}[-/.]|\d{1,2}[-/ ]|[A-Za-z]{3,9}\.?[ -]+\d|\d{8}([T ]|$))"
-
-
-def _date(t: Column) -> Column:
-    out = None
-    for shape, order in DATE_SHAPES:
-        value = F.regexp_replace(t, shape, order).try_cast("date")
-        out = F.when(t.rlike(shape), value) if out is None else out.when(t.rlike(shape), value)
-    for shape, y, m, d in NAMED_SHAPES:
-        part = lambda i, s=shape: F.regexp_extract(t, s, i)
-        month = (F.position(F.lower(F.substring(part(m), 1, 3)), F.lit("janfebmaraprmayjunjulaugsepoctnovdec")) + 2) / 3
-        out = out.when(t.rlike(shape), F.concat_ws("-", part(y), month.cast("int").cast("string"), part(d)).try_cast("date"))
-    return out
+# Names in English, whole or short.
+MONTHS = "jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|june?|july?|aug(?:ust)?|sept?(?:ember)?|oct(?:ober)?|nov(?:ember)?|dec(?:ember)?"
+WEEKDAYS = "mon(?:day)?|tue(?:s(?:day)?)?|wed(?:nesday)?|thu(?:rs?(?:day)?)?|fri(?:day)?|sat(?:urday)?|sun(?:day)?"
+_MONTH = rf"(?<![a-z])({MONTHS})(?![a-z])\.?"
+_DROPPED = rf"(?<![a-z])(?:{WEEKDAYS})(?![a-z])[.,]?|(?<=\d)(?:st|nd|rd|th)(?![a-z])|(?<![a-z])of(?![a-z])"
+# A clock: hours, minutes, seconds, fraction, am/pm, zone.
+_CLOCK = r"(?:^|[T ,]+)(\d{1,2}):(\d{2})(?::(\d{2})(\.\d+)?)?(?: ?([AaPp])\.?[Mm]\.?)?(?: ?(Z|z|UTC|GMT|[+-]\d{2}:?\d{2}))?(?=[ ,]|$)"
+# What every date text begins with; one cheap test turns other texts away.
+_BEGINNING = rf"(?i)^(?:(?:{WEEKDAYS})[., ]+)?(?:\d{{1,2}}(?:st|nd|rd|th)?[-/. :,]|\d{{1,2}}(?:{MONTHS})|\d{{4}}[-/. ]|\d{{8}}(?:[T ]|$)|(?:{MONTHS})[-/., ]+\d)"
+
+# Shape of the tokens -> where year, month and day are: a number is the n-th run of digits, M the month's name, 1 the first of the month. Separators count in shapes of digits
+# only. Where both numbers could be the month, it is the first; a first number above 12 is the day.
+SHAPES = {
+    "Y-n-n": (1, 2, 3), "Y/n/n": (1, 2, 3), "Y.n.n": (1, 2, 3), "Y-n": (1, 2, None), "Y/n": (1, 2, None),
+    "n-n-Y": (3, 1, 2), "n/n/Y": (3, 1, 2), "n.n.Y": (3, 1, 2), "n-n-n": (3, 1, 2), "n/n/n": (3, 1, 2), "n-Y": (2, 1, None), "n/Y": (2, 1, None),
+    "nMY": (2, "M", 1), "MnY": (2, "M", 1), "YMn": (1, "M", 2), "nMn": (2, "M", 1), "Mnn": (2, "M", 1), "MY": (1, "M", None), "YM": (1, "M", None),
+}
+
+
+def _shape(text: Column) -> Column:
+    shape = F.regexp_replace(text, _MONTH, "M")
+    for digits, letter in ((8, "C"), (4, "Y"), ("1,2", "n")):
+        shape = F.regexp_replace(shape, rf"(?<!\d)\d{{{digits}}}(?!\d)", letter)
+    return F.when(shape.contains("M"), F.regexp_replace(shape, "[ ,./-]+", "")).otherwise(F.btrim(shape, F.lit(" ,")))
+
+
+def _year(digits: Column) -> Column:
+    """Two digits are 1969 to 2068; one digit is no year."""
+    return F.when(F.length(digits) == 4, digits).when(F.length(digits) == 2, F.concat(F.when(digits < "69", "20").otherwise("19"), digits))
+
+
+def _date(text: Column) -> Column:
+    number = lambda i: F.get(F.regexp_extract_all(text, F.lit(r"(\d+)")), F.lit(i - 1))
+    name = F.substring(F.regexp_extract(text, _MONTH, 1), 1, 3)
+    month = ((F.position(name, F.lit("janfebmaraprmayjunjulaugsepoctnovdec")) + 2) / 3).cast("int").cast("string")
+    day_first = F.length(number(1)).eqNullSafe(2) & (number(1) > "12")
+
+    def read(shape):
+        out = F.when(shape == "C", F.regexp_replace(text, r"^\D*(\d{4})(\d{2})(\d{2})\D*$", "$1-$2-$3"))
+        for s, (y, m, d) in SHAPES.items():
+            if m == 1 and d == 2:
+                parts = (F.when(day_first, number(2)).otherwise(number(1)), F.when(day_first, number(1)).otherwise(number(2)))
+            else:
+                parts = (month if m == "M" else number(m), F.lit("1") if d is None else number(d))
+            out = out.when(shape == s, F.concat(_year(number(y)), F.lit("-"), parts[0], F.lit("-"), parts[1]))
+        return out.try_cast("date")
+
+    return let(_shape(text), read)
 
 
 def _clock(t: Column) -> Column:
@@ -54,10 +70,11 @@ def _clock(t: Column) -> Column:
 
 
 def parse_datetime(c: Column) -> Column:
-    """Text to timestamp_ntz by the first matching shape, with or without a clock; null when no shape fits. A time with a zone becomes UTC."""
+    """Text to timestamp_ntz by the grammar, with or without a clock; null when it isn't a date. A time with a zone becomes UTC, a month alone its first day."""
     def read(t):
         clocked = t.rlike(_CLOCK)
-        day = let(F.when(clocked, F.regexp_replace(t, _CLOCK, "")).otherwise(t), _date).cast("timestamp_ntz")
+        plain = F.lower(F.when(clocked, F.regexp_replace(t, _CLOCK, " ")).otherwise(t))
+        day = let(strip(F.regexp_replace(plain, _DROPPED, "")), _date).cast("timestamp_ntz")
         return F.when(clocked, day + _clock(t)).otherwise(day)
 
     return let(strip(c.cast("string")), lambda t: F.when(t.rlike(_BEGINNING), read(t)))

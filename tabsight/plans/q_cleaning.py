@@ -64,6 +64,25 @@ def _(spark, d):
                                       F.sum(F.datediff("day", F.lit("1970-01-01"))).alias("days"))
 
 
+# Written dates; those of the last three name a month only, and the last but three has a clock inside.
+WRITTEN_DATES = ["E, dd MMM yyyy", "EEEE, MMMM d, yyyy", "dd-MMM-yy", "ddMMMyyyy", "MMM d, ''yy", "yyyy MMM dd", "E MMM d '10:00:00' yyyy", "MMM yyyy", "yyyy-MM", "MM/yyyy"]
+
+
+@query("coerce_written_dates", """WITH t AS (SELECT o_orderkey % 12 AS shape, CAST(o_orderdate AS TIMESTAMP) AS day FROM orders),
+w AS (SELECT shape, CASE WHEN shape IN (4, 11) THEN NULL WHEN shape = 6 THEN day + INTERVAL 10 HOUR WHEN shape BETWEEN 7 AND 9 THEN date_trunc('month', day) ELSE day END AS day FROM t)
+SELECT shape, day, count(*) AS n, count(*) FILTER (shape IN (4, 11)) AS failed FROM w GROUP BY ALL""")
+def _(spark, d):
+    """Dates with week days, ordinal days, two-digit years behind a month's name, a clock in the middle, or no day; two shapes are no dates."""
+    shape, day = F.col("o_orderkey") % 12, F.col("o_orderdate")
+    dom = F.dayofmonth(day)
+    ending = F.when(dom.isin(1, 21, 31), "st").when(dom.isin(2, 22), "nd").when(dom.isin(3, 23), "rd").otherwise("th")
+    text = F.when(shape == 10, F.concat(dom.cast("string"), ending, F.lit(" of "), F.date_format(day, "MMMM yyyy"))).otherwise("MMM 99 of 2024")
+    for i, pattern in enumerate(WRITTEN_DATES):
+        text = F.when(shape == i, F.date_format(day, pattern)).otherwise(text)
+    typed = K.coerce_types(table(spark, d, "orders").select(shape.alias("shape"), text.alias("day")), {"day": "datetime"})
+    return typed.groupBy("shape", "day").agg(F.count("*").alias("n"), F.sum("day_parse_failed").alias("failed"))
+
+
 CANON_SQL = """nullif(list_aggregate(list_transform(string_split(trim(regexp_replace(regexp_replace(
   CASE WHEN lower(trim({0})) IN ('n/a', '', 'nan', 'none', 'null', 'na', '-', 'unknown', 'nil', '#n/a') THEN NULL ELSE {0} END,
   '[_-]+', ' ', 'g'), '\\s+', ' ', 'g')), ' '), lambda w: upper(w[1]) || lower(w[2:])), 'string_agg', ' '), '')"""

@@ -156,6 +156,16 @@ def test_mixed_dates(spark):
     assert got == ["2024-01-31"] * 8 + [None, None]
 
 
+def test_written_dates(spark):
+    good = {"Fri, 05 Jan 2024": "2024-01-05", "5th Jan 2024": "2024-01-05", "05-Jan-24": "2024-01-05", "Fri Jan 5 10:00:00 2024": "2024-01-05 10:00:00", "Jan 2024": "2024-01-01",
+            "2024-01": "2024-01-01", "January 5th, 2024": "2024-01-05", "5 Sept. 1969": "1969-09-05", "05jan2024": "2024-01-05", "Thursday, the 1st": None, "1/2/4": None,
+            "31.12.2024": "2024-12-31", "12/2024": "2024-12-01", "2024-13": None, "20240229T235959Z": None, "2024-02-29T23:59:59Z": "2024-02-29 23:59:59", "Jan 24": None, "2024": None,
+            "may be 2024": None, "10:30 PM, Mar 3 2021": "2021-03-03 22:30:00", "Sat, 9 Mar 2024 10:00:00 +0130": "2024-03-09 08:30:00", "30 Feb 2024": None, "1,234": None, "12.5": None,
+            "192.168.1.1": None, "555-1234": None, "1-2-3-4": None, "2024-01-05-06": None, "march": None, "room 5 of 2024": None, "2023-02-29": None, "12/31/99": "1999-12-31"}
+    out = rows(K.coerce_types(column(spark, "d", list(good), "string"), {"d": "datetime"}), "d")
+    assert {t: r[0] and str(r[0]).removesuffix(" 00:00:00") for t, r in zip(good, out)} == good
+
+
 def test_title_case_and_null_words(spark):
     texts = ["home_delivery", "o'NEIL  x", "3RD-party", " N/A ", "é-ÉTÉ", None, "\tab\n"]
     assert rows(K.canonical_text(column(spark, "t", texts, "string"), ["t"]), "t") == [
