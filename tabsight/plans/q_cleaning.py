@@ -303,12 +303,12 @@ def _(spark, d):
   quantile_cont(net_sales, [0.05, 0.95]) AS s FROM sales),
 c AS (SELECT product_category, units_sold, net_sales, least(greatest(net_sales, s[1]), s[2]) AS clipped,
   net_sales < s[1] OR net_sales > s[2] AS hit FROM sales, b)
-SELECT product_category, count(*) AS n, round(sum(clipped), 4) AS clipped, round(sum(net_sales), 4) AS raw,
+SELECT product_category, count(*) AS n, round(sum(clipped), 2) AS clipped, round(sum(net_sales), 2) AS raw,
   count(*) FILTER (hit) AS was_clipped FROM c GROUP BY 1""")
 def _(spark, d):
     out = K.clip_outliers(sales(spark, d, "product_category", "net_sales"), ["net_sales"], risk="high")
     return out.groupBy("product_category").agg(
-        F.count("*").alias("n"), F.round(F.sum("net_sales"), 4).alias("clipped"), F.round(F.sum("net_sales_raw"), 4).alias("raw"),
+        F.count("*").alias("n"), F.round(F.sum("net_sales"), 2).alias("clipped"), F.round(F.sum("net_sales_raw"), 2).alias("raw"),
         F.count_if("net_sales_was_clipped").alias("was_clipped"))
 
 
