@@ -5,10 +5,11 @@ from itertools import combinations
 
 from pyspark.sql import DataFrame, functions as F
 
+from ..functions.distinct import unique_columns
 from ..functions.numbers import string_columns
 from ..functions.ordered import running_count
 from ..functions.quantiles import melt
-from ..functions.reshape import long_agg, value_counts
+from ..functions.reshape import long_agg
 from ..functions.text import quoted
 from ..options import DEFAULTS, Options
 from .selection import DATE_PART_SUFFIXES
@@ -95,11 +96,8 @@ def leakage_columns(df: DataFrame, pairs: DataFrame) -> DataFrame:
     twins = partner.where("_one = 1 and _zero >= _all - 2 and _all >= 2").select("column", F.lit("twin").alias("reason"))
     keys = string_columns(df) + [f.name for f in df.schema if f.dataType.simpleString() == "bigint"]
     out = named.unionAll(twins)
-    if keys:
-        unique = (value_counts(df, keys).where(F.col("value").isNotNull()).groupBy("column").agg(F.count("*").alias("_n"))
-                  .where(F.col("_n") == df.agg(F.count("*")).scalar()))
-        out = out.unionAll(unique.select("column", F.lit("unique").alias("reason")))
-    return out
+    unique = unique_columns(df, keys)
+    return out.unionAll(spark.createDataFrame([(c, "unique") for c in unique], "column string, reason string")) if unique else out
 
 
 def formulaic_pairs(df: DataFrame, columns: list[str], sources: dict[str, list[str]]) -> DataFrame:

@@ -1,17 +1,19 @@
 """Profile of a table: shape, columns, outliers, distributions, hidden nulls, keys, pairs, parse rates, format hints."""
 
+from decimal import ROUND_HALF_UP, Decimal
 from itertools import combinations
 
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from ..functions.dates import parse_datetime
+from ..functions.distinct import distinct_counts, sketch
 from ..functions.fingerprint import row_hash
 from ..functions.lineage import written
 from ..functions.numbers import (NUMERIC_TYPES, datetime_columns, kurtosis_agg, numeric_columns, pct, pearson_agg, ratio,
                                  skewness_agg, string_columns)
 from ..functions.partitions import held
 from ..functions.quantiles import column_quantiles
-from ..functions.reshape import first_values, long_agg, value_counts
+from ..functions.reshape import first_values, long_agg
 from ..functions.text import HIDDEN_NULL_WORDS, MONEY_SYMBOLS, quoted, strip, to_number
 from ..options import DEFAULTS, Options
 
@@ -54,38 +56,51 @@ def profile_shape(df: DataFrame) -> DataFrame:
         pct(F.col("duplicate_rows"), r).alias("duplicate_pct"))
 
 
-def _values_table(df: DataFrame, values: dict[str, list[str]], name: str) -> DataFrame:
-    return df.sparkSession.createDataFrame([(c, v) for c, v in values.items()], f"column string, {name} array<string>")
+def _count_rows(df: DataFrame, seen: dict[str, dict], opts: Options) -> list[tuple]:
+    """(column, dtype, position, rows, missing, missing %, different values with null as one, share, key hint) of each column."""
+    counts, out = distinct_counts(df, seen), []
+    for i, f in enumerate(df.schema):
+        rows, missing = seen[f.name]["rows"], seen[f.name]["rows"] - seen[f.name]["values"]
+        unique = counts[f.name] + (missing > 0)
+        share = unique / rows if rows else None
+        out.append((f.name, f.dataType.simpleString(), i, rows, missing, _percent(missing, rows), unique, share,
+                    bool(rows > 1 and not missing and share >= opts.key_ratio)))
+    return out
 
 
-def _column_counts(df: DataFrame, opts: Options) -> DataFrame:
-    types = F.create_map(*[x for f in df.schema for x in (F.lit(f.name), F.lit(f.dataType.simpleString()))])
-    position = F.create_map(*[x for i, c in enumerate(df.columns) for x in (F.lit(c), F.lit(i))])
-    per_column = value_counts(df).groupBy("column").agg(
-        F.sum("n").alias("rows"), F.count("*").alias("unique_count"),
-        F.coalesce(F.sum(F.when(F.col("value").isNull(), F.col("n"))), F.lit(0)).alias("missing_count"))
-    share = ratio(F.col("unique_count"), F.col("rows"))
-    return per_column.select(
-        "column", types[F.col("column")].alias("dtype"), position[F.col("column")].alias("position"), "rows",
-        "missing_count", pct(F.col("missing_count"), F.col("rows")).alias("missing_pct"), "unique_count",
-        share.alias("cardinality_ratio"),
-        ((share >= opts.key_ratio) & (F.col("missing_count") == 0) & (F.col("rows") > 1)).alias("candidate_key_hint"))
+def _percent(part: int, whole: int) -> float:
+    """As ``pct`` rounds: half up, on the decimal digits of the double."""
+    return float(Decimal(repr(part / whole * 100)).quantize(Decimal("0.01"), ROUND_HALF_UP)) if whole else 0.0
+
+
+COUNTS_SCHEMA = ("column string, dtype string, position int, rows long, missing_count long, missing_pct double, unique_count long, cardinality_ratio double, "
+                 "candidate_key_hint boolean")
 
 
 def profile_columns(df: DataFrame, order_by=None, opts: Options = DEFAULTS, firsts: dict[str, list[str]] | None = None) -> DataFrame:
-    """One row per column; the distinct count takes null as one value. ``firsts`` saves looking at the first rows again."""
-    firsts = firsts or first_values(df, df.columns, 3, order_by)
-    samples = _values_table(df, {c: v[:3] for c, v in firsts.items()}, "sample_values")
-    return _column_counts(df, opts).join(samples, "column", "left")
+    """One row per column; the distinct count takes null as one value. ``firsts`` saves looking at the first rows again.
+
+    A sketch chooses how each column is counted exactly; no cell's text is shuffled. The driver sees one row per column.
+    """
+    with held(df):
+        firsts = firsts or first_values(df, df.columns, 3, order_by)
+        rows = _count_rows(df, sketch(df), opts)
+    return df.sparkSession.createDataFrame([(*r, firsts[r[0]][:3]) for r in rows if r[3]], COUNTS_SCHEMA + ", sample_values array<string>")
 
 
 def outlier_iqr(df: DataFrame, columns=None, opts: Options = DEFAULTS) -> DataFrame:
     """Tukey fences per numeric column and how many values lie outside. Two passes: quartiles, then one aggregate."""
     columns = columns or numeric_columns(df)
     fences = {}
-    for r in column_quantiles(df, columns, [0.25, 0.75], opts).collect():  # one row per column
-        q1, q3 = r["q"]
-        fences[r["column"]] = (q1 - opts.fence * (q3 - q1), q3 + opts.fence * (q3 - q1))
+    with held(df.select(*[quoted(c) for c in columns])) as narrow:
+        for r in column_quantiles(narrow, columns, [0.25, 0.75], opts).collect():  # one row per column
+            q1, q3 = r["q"]
+            fences[r["column"]] = (q1 - opts.fence * (q3 - q1), q3 + opts.fence * (q3 - q1))
+        found = long_agg(narrow, _fence_metrics(columns, fences, opts))
+        return df.sparkSession.createDataFrame(found.collect(), found.schema).withColumn("has_outliers", F.col("outlier_count") > 0)
+
+
+def _fence_metrics(columns: list[str], fences: dict, opts: Options) -> dict:
     metrics = {}
     for c in columns:
         lo, hi = fences.get(c, (None, None))
@@ -98,20 +113,20 @@ def outlier_iqr(df: DataFrame, columns=None, opts: Options = DEFAULTS) -> DataFr
             "outlier_count": F.coalesce(outside, F.lit(0)),
             "outlier_pct": pct(F.coalesce(outside, F.lit(0)), F.count("*")),
         }
-    return long_agg(df, metrics).withColumn("has_outliers", F.col("outlier_count") > 0)
+    return metrics
+
+
+def _shape_metrics(c: str, opts: Options) -> dict:
+    n, skew, tail = F.count(quoted(c)), skewness_agg(quoted(c)), kurtosis_agg(quoted(c))
+    enough = n >= 3
+    normal = enough & (F.abs(skew) <= opts.normal_skew) & F.coalesce(F.abs(tail) <= opts.normal_kurtosis, F.lit(False))
+    kind = (F.when(normal, "normal").when(enough & (skew > opts.skewed), "right_skewed").when(enough & (skew < -opts.skewed), "left_skewed")
+            .otherwise("symmetric"))
+    return {"n": n, "skewness": F.when(enough, F.round(skew, 4)).otherwise(0.0), "distribution_type": kind, "is_normal": normal}
 
 
 def distribution_shape(df: DataFrame, columns=None, opts: Options = DEFAULTS) -> DataFrame:
-    columns = columns or numeric_columns(df)
-    stats = long_agg(df, {c: {"n": F.count(quoted(c)), "_s": skewness_agg(quoted(c)), "_k": kurtosis_agg(quoted(c))}
-                          for c in columns})
-    enough = F.col("n") >= 3
-    normal = enough & (F.abs("_s") <= opts.normal_skew) & F.coalesce(F.abs("_k") <= opts.normal_kurtosis, F.lit(False))
-    return stats.select(
-        "column", "n", F.when(enough, F.round("_s", 4)).otherwise(0.0).alias("skewness"),
-        F.when(normal, "normal").when(enough & (F.col("_s") > opts.skewed), "right_skewed")
-        .when(enough & (F.col("_s") < -opts.skewed), "left_skewed").otherwise("symmetric").alias("distribution_type"),
-        normal.alias("is_normal"))
+    return long_agg(df, {c: _shape_metrics(c, opts) for c in columns or numeric_columns(df)})
 
 
 def implicit_missing(df: DataFrame, opts: Options = DEFAULTS) -> DataFrame:
@@ -165,34 +180,40 @@ def raw_correlations(df: DataFrame, columns=None, opts: Options = DEFAULTS) -> D
     return pair_correlations(df, columns).where(F.abs("r") >= opts.report_r).withColumn("r", F.round("r", 4))
 
 
+def _parse_metrics(df: DataFrame, c: str) -> dict:
+    if not isinstance(df.schema[c].dataType, T.StringType):
+        return {"datetime_pct": F.lit(100.0 if c in datetime_columns(df) else 0.0), "numeric_pct": F.lit(0.0)}
+    v, n = quoted(c), F.count(quoted(c))
+    return {"datetime_pct": pct(F.count(parse_datetime(v)), n), "numeric_pct": pct(F.count(to_number(v)), n)}
+
+
 def parseability(df: DataFrame) -> DataFrame:
     """Share of non-null text that reads as a date, and as a number."""
-    texts, dates = string_columns(df), datetime_columns(df)
-    metrics = {}
-    for c in df.columns:
-        v, n = quoted(c), F.count(quoted(c))
-        metrics[c] = {
-            "datetime_pct": pct(F.count(parse_datetime(v)), n) if c in texts else F.lit(100.0 if c in dates else 0.0),
-            "numeric_pct": pct(F.count(to_number(v)), n) if c in texts else F.lit(0.0),
-        }
-    return long_agg(df, metrics)
+    return long_agg(df, {c: _parse_metrics(df, c) for c in df.columns})
+
+
+def _hint_metrics(c: str, opts: Options) -> dict:
+    n, v, low = F.count(quoted(c)), quoted(c).cast("string"), c.lower()
+
+    def often(test):
+        return (n > 0) & (F.count_if(test) >= opts.hint_share * n)
+
+    dashed = often(strip(v).contains("-") & (F.length(strip(v)) >= 8))
+    return {"currency_like": often(v.rlike(f"[{MONEY_SYMBOLS[:5]}]")), "date_like": F.lit("date" in low or "time" in low) | dashed,
+            "identifier_like": F.lit(low.endswith("_id") or low == "id" or low.startswith("id_")), "at_like": often(v.contains("@")),
+            "iso_like": often(v.rlike(r"^\s*\d{4}") & v.contains("-"))}
+
+
+def _hinted(df: DataFrame) -> list[str]:
+    return [f.name for f in df.schema if not isinstance(f.dataType, (*NUMERIC_TYPES, T.BooleanType))]
 
 
 def format_hints(df: DataFrame, opts: Options = DEFAULTS) -> DataFrame:
     """Money, date and identifier hints of non-numeric columns, from the name and the share of all their values that look so."""
-    columns = [f.name for f in df.schema if not isinstance(f.dataType, (*NUMERIC_TYPES, T.BooleanType))]
+    columns = _hinted(df)
     if not columns:
         return df.sparkSession.createDataFrame([], "column string, currency_like boolean, date_like boolean, identifier_like boolean, at_like boolean, iso_like boolean")
-    metrics = {}
-    for c in columns:
-        n, v = F.count(quoted(c)), quoted(c).cast("string")
-        often = lambda test, n=n: (n > 0) & (F.count_if(test) >= opts.hint_share * n)
-        metrics[c] = {"_money": often(v.rlike(f"[{MONEY_SYMBOLS[:5]}]")), "_dashed": often(strip(v).contains("-") & (F.length(strip(v)) >= 8)),
-                      "at_like": often(v.contains("@")), "iso_like": often(v.rlike(r"^\s*\d{4}") & v.contains("-"))}
-    low = F.lower("column")
-    return long_agg(df, metrics).select(
-        "column", F.col("_money").alias("currency_like"), (low.contains("date") | low.contains("time") | F.col("_dashed")).alias("date_like"),
-        (low.endswith("_id") | (low == "id") | low.startswith("id_")).alias("identifier_like"), "at_like", "iso_like")
+    return long_agg(df, {c: _hint_metrics(c, opts) for c in columns})
 
 
 def profile_confidence(shape: DataFrame) -> DataFrame:
@@ -214,23 +235,28 @@ NOT_MEASURED = {"currency_like": False, "date_like": False, "identifier_like": F
 def full_profile(df: DataFrame, table_name: str, order_by=None, opts: Options = DEFAULTS) -> DataFrame:
     """Everything the tagging rules read, one row per column.
 
-    Each measure is an aggregate over the whole table; the rows per column they give are put together on the driver.
+    One wide aggregate holds the sketch and all measures that need one scan; after it come the exact counts, the quantiles and the correlations, each over the whole
+    table. The rows per column they give are put together on the driver.
     """
-    numeric = numeric_columns(df)
-    firsts = first_values(df, df.columns, 3, order_by)
-    parts = [_column_counts(df, opts), parseability(df), format_hints(df, opts)]
-    if numeric:
-        parts += [outlier_iqr(df, numeric, opts).select("column", "has_outliers"),
-                  distribution_shape(df, numeric, opts).select("column", "distribution_type", "is_normal"),
-                  column_quantiles(df, numeric, [0.95], opts).select("column", F.col("q")[0].alias("p95"))]
-    found = {c: {"table_name": table_name, "sample_values": firsts[c][:3], "has_datetime": bool(datetime_columns(df)), **NOT_MEASURED}
-             for c in df.columns}
-    for part in parts:
-        for r in part.collect():
-            found[r["column"]].update(r.asDict())
-    for r in raw_correlations(df, numeric, opts).collect():
+    numeric, hinted = numeric_columns(df), _hinted(df)
+    more = {c: _parse_metrics(df, c) | (_hint_metrics(c, opts) if c in hinted else {}) | (
+        {**_shape_metrics(c, opts), "_min": F.min(quoted(c)).cast("double"), "_max": F.max(quoted(c)).cast("double")} if c in numeric else {}) for c in df.columns}
+    with held(df):
+        firsts, seen = first_values(df, df.columns, 3, order_by), sketch(df, more)
+        counted = _count_rows(df, seen, opts)
+        quantiles = column_quantiles(df, numeric, [0.25, 0.75, 0.95], opts, rows=counted[0][3] if counted else 0).collect() if numeric else []
+        pairs = raw_correlations(df, numeric, opts).collect()
+    names = [f.split()[0] for f in COUNTS_SCHEMA.split(", ")]
+    found = {r[0]: {**NOT_MEASURED, **{k: v for k, v in seen[r[0]].items()}, **dict(zip(names, r)), "table_name": table_name, "sample_values": firsts[r[0]][:3],
+                    "has_datetime": bool(datetime_columns(df))} for r in counted}
+    for r in quantiles:
+        q1, q3, p95 = r["q"]
+        own, width = found[r["column"]], opts.fence * (r["q"][1] - r["q"][0])
+        own["p95"] = p95
+        own["has_outliers"] = own["n"] >= opts.min_fence_values and (own["_min"] < q1 - width or own["_max"] > q3 + width)
+    for r in pairs:
         for c in (r["col1"], r["col2"]):
             found[c]["max_abs_r"] = max(found[c]["max_abs_r"], abs(r["r"]))
             found[c]["partners"] += 1
     names = [f.split()[0] for f in PROFILE_SCHEMA.split(", ")]
-    return df.sparkSession.createDataFrame([tuple(f.get(n) for n in names) for f in found.values() if "rows" in f], PROFILE_SCHEMA)
+    return df.sparkSession.createDataFrame([tuple(f.get(n) for n in names) for f in found.values() if f["rows"]], PROFILE_SCHEMA)
