@@ -18,13 +18,14 @@ _CLOCK = r"(?:^|[T ,]+)(\d{1,2}):(\d{2})(?::(\d{2})(\.\d+)?)?(?: ?([AaPp])\.?[Mm
 # What every date text begins with; one cheap test turns other texts away.
 _BEGINNING = rf"(?i)^(?:(?:{WEEKDAYS})[., ]+)?(?:\d{{1,2}}(?:st|nd|rd|th)?[-/. :,]|\d{{1,2}}(?:{MONTHS})|\d{{4}}[-/. ]|\d{{8}}(?:[T ]|$)|(?:{MONTHS})[-/., ]+\d)"
 
-# Shape of the tokens -> where year, month and day are: a number is the n-th run of digits, M the month's name, 1 the first of the month. Separators count in shapes of digits
-# only. Where both numbers could be the month, it is the first; a first number above 12 is the day.
-SHAPES = {
-    "Y-n-n": (1, 2, 3), "Y/n/n": (1, 2, 3), "Y.n.n": (1, 2, 3), "Y-n": (1, 2, None), "Y/n": (1, 2, None),
-    "n-n-Y": (3, 1, 2), "n/n/Y": (3, 1, 2), "n.n.Y": (3, 1, 2), "n-n-n": (3, 1, 2), "n/n/n": (3, 1, 2), "n-Y": (2, 1, None), "n/Y": (2, 1, None),
-    "nMY": (2, "M", 1), "MnY": (2, "M", 1), "YMn": (1, "M", 2), "nMn": (2, "M", 1), "Mnn": (2, "M", 1), "MY": (1, "M", None), "YM": (1, "M", None),
-}
+# Shapes of tokens: year with four digits, n for a number of one or two, M for a month's name; separators count in shapes of digits only. Where both numbers could be
+# the month, it is the first; a first number above 12 is the day. Without a day it is the first of the month.
+YEAR_FIRST = ["Y-n-n", "Y/n/n", "Y.n.n", "Y-n", "Y/n", "YMn", "YM"]
+YEAR_SECOND = ["n-Y", "n/Y", "nMY", "MnY", "nMn", "Mnn"]
+YEAR_THIRD = ["n-n-Y", "n/n/Y", "n.n.Y", "n-n-n", "n/n/n"]
+YEAR_ONLY = ["MY"]
+NO_DAY = ["Y-n", "Y/n", "YM", "n-Y", "n/Y", "MY"]
+COMPACT = "C"
 
 
 def _shape(text: Column) -> Column:
@@ -40,22 +41,22 @@ def _year(digits: Column) -> Column:
 
 
 def _date(text: Column) -> Column:
-    number = lambda i: F.get(F.regexp_extract_all(text, F.lit(r"(\d+)")), F.lit(i - 1))
     name = F.substring(F.regexp_extract(text, _MONTH, 1), 1, 3)
-    month = ((F.position(name, F.lit("janfebmaraprmayjunjulaugsepoctnovdec")) + 2) / 3).cast("int").cast("string")
-    day_first = F.length(number(1)).eqNullSafe(2) & (number(1) > "12")
+    named = ((F.position(name, F.lit("janfebmaraprmayjunjulaugsepoctnovdec")) + 2) / 3).cast("int").cast("string")
+    # three runs of digits, with the shape in front: computed once and used by all branches
+    parts = F.concat(F.array(_shape(text)), F.regexp_extract_all(text, F.lit(r"(\d+)")), F.array(F.lit(""), F.lit(""), F.lit("")))
 
-    def read(shape):
-        out = F.when(shape == "C", F.regexp_replace(text, r"^\D*(\d{4})(\d{2})(\d{2})\D*$", "$1-$2-$3"))
-        for s, (y, m, d) in SHAPES.items():
-            if m == 1 and d == 2:
-                parts = (F.when(day_first, number(2)).otherwise(number(1)), F.when(day_first, number(1)).otherwise(number(2)))
-            else:
-                parts = (month if m == "M" else number(m), F.lit("1") if d is None else number(d))
-            out = out.when(shape == s, F.concat(_year(number(y)), F.lit("-"), parts[0], F.lit("-"), parts[1]))
-        return out.try_cast("date")
+    def read(p):
+        shape, one, two, three = p[0], p[1], p[2], p[3]
+        first, second, third = shape.isin(YEAR_FIRST), shape.isin(YEAR_SECOND), shape.isin(YEAR_THIRD)
+        has_name, day_first = shape.contains("M"), (F.length(one) == 2) & (one > "12")
+        year = F.when(first | shape.isin(YEAR_ONLY), one).when(second, two).when(third, three)
+        month = F.when(has_name, named).when(first, two).when(third & day_first, two).otherwise(one)
+        day = F.when(shape.isin(NO_DAY), "1").when(first & has_name, two).when(first, three).when(third & ~day_first, two).otherwise(one)
+        compact = F.regexp_replace(text, r"^\D*(\d{4})(\d{2})(\d{2})\D*$", "$1-$2-$3")
+        return F.when(shape == COMPACT, compact).otherwise(F.concat(_year(year), F.lit("-"), month, F.lit("-"), day)).try_cast("date")
 
-    return let(_shape(text), read)
+    return let(parts, read)
 
 
 def _clock(t: Column) -> Column:
@@ -69,6 +70,11 @@ def _clock(t: Column) -> Column:
     return F.when((hour < 24) & (number(2) < 60) & (number(3) < 60), F.make_dt_interval(F.lit(0), hour, number(2) - away, second))
 
 
+def may_be_date(c: Column) -> Column:
+    """Whether a text begins like a date; true for every text that ``parse_datetime`` reads."""
+    return strip(c.cast("string")).rlike(_BEGINNING)
+
+
 def parse_datetime(c: Column) -> Column:
     """Text to timestamp_ntz by the grammar, with or without a clock; null when it isn't a date. A time with a zone becomes UTC, a month alone its first day."""
     def read(t):

@@ -6,7 +6,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..functions.dates import parse_datetime
+from ..functions.dates import may_be_date, parse_datetime
+from ..functions.lineage import written
 from ..functions.numbers import nan_to_null, string_columns
 from ..functions.text import LOAD_NULLS, quoted, to_boolean, to_number
 
@@ -36,15 +37,23 @@ def _raw_lines(spark, path):
     latin = F.decode(F.col("value").cast("binary"), "ISO-8859-1")
     judged = raw.groupBy("file").agg(
         F.min(F.is_valid_utf8("value")).alias("_utf8"),
-        F.max(F.when(~F.is_valid_utf8("value"), latin).rlike(f"[{CP1252_HOLES}]")).alias("_holes"))
-    return raw, judged
+        F.coalesce(F.max(F.when(~F.is_valid_utf8("value"), latin).rlike(f"[{CP1252_HOLES}]")), F.lit(False)).alias("_holes"))
+    return raw, written(judged, "encodings")
+
+
+MANY_FILES = 100_000
 
 
 def _decoded(raw, judged):
+    """Lines as text. Only files that aren't UTF-8 need a verdict at all; their names are broadcast, and joined by a shuffle where they are very many."""
     latin = F.decode(F.col("value").cast("binary"), "ISO-8859-1")
     cp1252 = F.translate(latin, "".join(map(chr, CP1252)), "".join(CP1252.values()))
-    text = F.when(F.col("_utf8"), F.col("value")).when(F.col("_holes"), latin).otherwise(cp1252)
-    return raw.join(judged, "file").withColumn("value", F.regexp_replace(text, "^\ufeff", ""))
+    other = judged.where(~F.col("_utf8")).select("file", "_holes")
+    n = other.count()
+    if n:
+        raw = raw.join(F.broadcast(other) if n <= MANY_FILES else other, "file", "left")
+        raw = raw.withColumn("value", F.when(F.col("_holes").isNull(), F.col("value")).when(F.col("_holes"), latin).otherwise(cp1252)).drop("_holes")
+    return raw.withColumn("value", F.regexp_replace("value", "^\ufeff", ""))
 
 
 def _parse_line(line: Column, width: int, sep: str) -> Column:
@@ -61,7 +70,7 @@ def read_csv_mixed(spark: SparkSession, path: str, infer: bool = True, on_bad: s
     """
     raw, judged = _raw_lines(spark, path)
     lines = _decoded(raw, judged)
-    head = _decoded(raw.where("_start").limit(1), judged).collect()  # the first line of some file
+    head = lines.where("_start").limit(1).collect()  # the first line of some file
     if not head:
         return spark.createDataFrame([], "value string")
     header = head[0]["value"]
@@ -87,7 +96,8 @@ def read_csv_mixed(spark: SparkSession, path: str, infer: bool = True, on_bad: s
         split = split.withColumn("_f", F.when(good, F.col("_f")).otherwise(
             F.raise_error(message).cast(split.schema["_f"].dataType)))
     table = split.select(*[F.col("_f")[f"c{i}"].alias(n) for i, n in enumerate(names)])
-    return infer_types(table) if infer else table
+    # Lines are parsed once; types are found on, and every later step reads, the columns it needs of the written table.
+    return infer_types(written(table, "csv")) if infer else table
 
 
 def read_json_any(spark: SparkSession, path: str) -> DataFrame:
@@ -146,7 +156,7 @@ def load_table(spark: SparkSession, path: str) -> DataFrame:
 def infer_types(df: DataFrame) -> DataFrame:
     """Text columns to the narrowest type that holds every value: long, double, boolean, timestamp, else string.
 
-    One aggregate over the table decides all columns.
+    One aggregate over the table decides all columns, a second one those that look like dates.
     """
     texts = string_columns(df)
     if not texts:
@@ -159,13 +169,19 @@ def infer_types(df: DataFrame) -> DataFrame:
         "boolean": lambda c: F.when(F.lower(c).isin("true", "false"), to_boolean(c)),
         "timestamp": lambda c: F.when(c.rlike("[-/ ]"), parse_datetime(c)),
     }
-    tests = [F.count(f(quoted(c))).alias(f"{i}_{t}") for i, c in enumerate(texts) for t, f in casts.items()]
-    seen = known.agg(*tests, *[F.count(quoted(c)).alias(f"{i}_n") for i, c in enumerate(texts)]).first()
-    chosen = {}
-    for i, c in enumerate(texts):
-        fits = [t for t in casts if seen[f"{i}_n"] and seen[f"{i}_{t}"] == seen[f"{i}_n"]]
-        if fits:
-            chosen[c] = casts[fits[0]]
+    cheap = {t: f for t, f in casts.items() if t != "timestamp"} | {"_dated": lambda c: F.when(c.rlike("[-/ ]") & may_be_date(c), True)}
+
+    def fitting(columns, tests):
+        """Per column the tests that all its values pass."""
+        cells = [F.count(f(quoted(c))).alias(f"{i}_{t}") for i, c in enumerate(columns) for t, f in tests.items()]
+        seen = known.agg(*cells, *[F.count(quoted(c)).alias(f"{i}_n") for i, c in enumerate(columns)]).first()
+        return {c: [t for t in tests if seen[f"{i}_n"] and seen[f"{i}_{t}"] == seen[f"{i}_n"]] for i, c in enumerate(columns)}
+
+    fits = fitting(texts, cheap)
+    dated = [c for c, t in fits.items() if t == ["_dated"]]
+    if dated:  # only columns whose every value begins like a date are read as dates
+        fits |= fitting(dated, {"timestamp": casts["timestamp"]})
+    chosen = {c: casts[t[0]] for c, t in fits.items() if t and t[0] in casts}
     return known.select(*[chosen[c](quoted(c)).alias(c) if c in chosen else quoted(c) for c in df.columns])
 
 
