@@ -1,14 +1,17 @@
 """Correlation tables, strong pairs, leakage and formula pairs."""
 
 import re
+from functools import reduce
 from itertools import combinations
 
+import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.distinct import unique_columns
+from ..functions.lineage import written
+from ..functions.moments import BLOCK, all_pair_sums, correlations, pair_sums
 from ..functions.numbers import string_columns
-from ..functions.ordered import running_count
-from ..functions.quantiles import melt
+from ..functions.ranks import twice_ranks
 from ..functions.reshape import long_agg
 from ..functions.text import quoted
 from ..options import DEFAULTS, Options
@@ -19,11 +22,14 @@ def measures(columns: list[str]) -> list[str]:
     return [c for c in columns if not c.endswith(DATE_PART_SUFFIXES)]
 
 
-def complete_correlations(df: DataFrame, columns: list[str]) -> DataFrame:
-    """``(col1, col2, r)`` over a table without nulls: one covariance per pair and one deviation per column in one aggregate.
+WIDE = 24  # columns from which pairs are summed by matrix products in Python tasks; fewer are one JVM aggregate
 
-    One number per pair comes to the driver, and every later step reads it from there.
-    """
+
+def complete_correlations(df: DataFrame, columns: list[str]) -> DataFrame:
+    """``(col1, col2, r)`` over a table without nulls. Few columns: one covariance per pair and one deviation per column in one aggregate, of which one number per
+    pair comes to the driver. Many: sums of products in blocks of columns, and the pairs stay a table."""
+    if len(columns) > WIDE:
+        return correlations(all_pair_sums(df, columns), columns, 3)
     pairs = list(combinations(range(len(columns)), 2))
     x = [quoted(c).cast("double") for c in columns]
     row = df.agg(F.count("*").alias("n"), *[F.stddev_samp(v).alias(f"s{i}") for i, v in enumerate(x)],
@@ -43,21 +49,36 @@ def corr_pearson(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def corr_spearman(df: DataFrame, columns: list[str], opts: Options = DEFAULTS) -> DataFrame:
-    """Pearson r of average ranks.
+    """Pearson r of average ranks over rows complete in all columns; empty below three such rows.
 
-    Ranks come from value counts (combined before the shuffle) and a running count in value order; each column's ranks
-    are joined back on its value, where few different values turn into a broadcast at run time.
+    One sort of all cells ranks all columns; the ranks go back to their rows in one shuffle, and products of ranks are summed per pair of columns.
     """
     columns = measures(columns)
-    complete = df.select(*[quoted(c).cast("double").alias(c) for c in columns]).dropna()
-    counts = melt(complete, columns).groupBy("column", "value").agg(F.count("*").alias("n"))
-    ranks = running_count(counts, "column", "value", "n", opts).select(
-        "column", "value", (F.col("_below") + (F.col("n") + 1) / 2).alias("rank"))
-    out = complete
-    for c in columns:
-        mine = ranks.where(F.col("column") == c).select(F.col("value").alias(c), F.col("rank").alias(f"_rank_{c}"))
-        out = out.join(mine, c).drop(c).withColumnRenamed(f"_rank_{c}", f"rank {c}")
-    return complete_correlations(out.toDF(*[c.removeprefix("rank ") for c in out.columns]), columns)
+    p = len(columns)
+    complete = df.select(*[quoted(c).cast("double").alias(f"x{i}") for i, c in enumerate(columns)]).dropna()
+    rows = written(complete.select(F.monotonically_increasing_id().alias("row"), "*"), "spearman")
+    n = rows.count()
+    if n < 3 or p < 2:
+        return df.sparkSession.createDataFrame([], "col1 string, col2 string, r double")
+    cells = twice_ranks(rows, p, n, opts.rank_cells)
+    by_row = cells.repartition("row").sortWithinPartitions("row", "i").select("rank2")
+
+    def matrices(batches):
+        """Whole rows of p ranks around their mean."""
+        rest = np.zeros(0)
+        for batch in batches:
+            flat = np.concatenate((rest, batch.column(0).to_numpy().astype(np.float64) - (n + 1)))
+            whole = len(flat) // p * p
+            rest = flat[whole:]
+            yield flat[:whole].reshape(-1, p)
+
+    blocks = [list(range(a, min(a + BLOCK, p))) for a in range(0, p, BLOCK)]
+    parts = []
+    for k, left in enumerate(blocks):
+        for right in blocks[k:]:
+            both = left if left is right else left + right
+            parts.append(pair_sums(by_row, left, right, lambda batches, both=both: (m[:, both] for m in matrices(batches))))
+    return correlations(reduce(lambda a, b: a.unionAll(b), parts), columns, 3)
 
 
 def strong_pairs(pairs: DataFrame, formulaic: DataFrame, leakage: DataFrame, opts: Options = DEFAULTS) -> DataFrame:

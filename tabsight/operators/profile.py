@@ -9,6 +9,7 @@ from ..functions.dates import parse_datetime
 from ..functions.distinct import distinct_counts, sketch
 from ..functions.fingerprint import row_hash
 from ..functions.lineage import written
+from ..functions.moments import all_pair_sums, correlations
 from ..functions.numbers import (NUMERIC_TYPES, datetime_columns, kurtosis_agg, numeric_columns, pct, pearson_agg, ratio,
                                  skewness_agg, string_columns)
 from ..functions.partitions import held
@@ -154,28 +155,46 @@ def candidate_keys(profile: DataFrame) -> DataFrame:
 
 
 def identical_columns(df: DataFrame, columns=None) -> DataFrame:
-    """Pairs of columns of one type that agree in every row; null equals null."""
+    """Pairs of columns of one type that agree in every row; null equals null.
+
+    Each column gets a fingerprint: the hashes of its cells together with the number of their row, combined over all rows. Equal columns have equal ones, so only columns that share
+    theirs are compared cell by cell, each with the first of its group: the plan grows with the columns, not with their pairs.
+    """
     fields = [f for f in df.schema if columns is None or f.name in columns]
-    pairs = [(a.name, b.name) for a, b in combinations(fields, 2) if a.dataType == b.dataType]
-    if not pairs:
-        return df.sparkSession.createDataFrame([], "col1 string, col2 string")
-    same = long_agg(df, {f"{i}": {"same": F.bool_and(quoted(a).eqNullSafe(quoted(b)))} for i, (a, b) in enumerate(pairs)}, "_i")
-    names = F.array(*[F.struct(F.lit(a).alias("col1"), F.lit(b).alias("col2")) for a, b in pairs])
-    return same.where("same").select(names[F.col("_i").cast("int")].alias("_p")).select("_p.*")
+    nothing = df.sparkSession.createDataFrame([], "col1 string, col2 string")
+    if len(fields) < 2:
+        return nothing
+    row, cells = F.col("_row"), [(F.isnull(F.col(f"c{i}")), F.col(f"c{i}")) for i in range(len(fields))]
+    numbered = df.select(F.monotonically_increasing_id().alias("_row"), *[quoted(f.name).alias(f"c{i}") for i, f in enumerate(fields)])
+    prints = numbered.agg(*[F.bit_xor(F.xxhash64(F.lit(salt), row, *cells[i])).alias(f"h{i}_{salt}") for i in range(len(fields)) for salt in (1, 2)]).first()
+    groups: dict[tuple, list[int]] = {}
+    for i, f in enumerate(fields):
+        groups.setdefault((f.dataType.simpleString(), prints[f"h{i}_1"], prints[f"h{i}_2"]), []).append(i)
+    maybe = [(own[0], i) for own in groups.values() for i in own[1:]]
+    if not maybe or prints["h0_1"] is None:  # no two alike, or no rows
+        return nothing
+    sure = numbered.agg(*[F.bool_and(F.col(f"c{a}").eqNullSafe(F.col(f"c{b}"))).alias(f"s{b}") for a, b in maybe]).first()
+    same = [[own[0], *[i for i in own[1:] if sure[f"s{i}"]]] for own in groups.values()]
+    return df.sparkSession.createDataFrame([(fields[a].name, fields[b].name) for own in same for a, b in combinations(own, 2)], "col1 string, col2 string")
 
 
 def pair_correlations(df: DataFrame, columns=None) -> DataFrame:
-    """Pairwise-complete Pearson r of every numeric pair in one aggregate."""
+    """Pairwise-complete Pearson r of every numeric pair: few columns in one aggregate, many by sums of products in blocks of columns."""
     columns = columns or numeric_columns(df)
     pairs = list(combinations(columns, 2))
     if not pairs:
         return df.sparkSession.createDataFrame([], "col1 string, col2 string, r double")
+    if len(columns) > WIDE:
+        return correlations(all_pair_sums(df, columns), columns)
     metrics = {f"{i}": {"r": pearson_agg(quoted(a).cast("double"), quoted(b).cast("double"))}
                for i, (a, b) in enumerate(pairs)}
     names = F.array(*[F.struct(F.lit(a).alias("col1"), F.lit(b).alias("col2")) for a, b in pairs])
     return long_agg(df, metrics, "_i").select(names[F.col("_i").cast("int")].alias("_p"), "r").select("_p.*", "r")
 
 
+WIDE = 24  # columns from which pairs are summed by matrix products in Python tasks
+
+
 def raw_correlations(df: DataFrame, columns=None, opts: Options = DEFAULTS) -> DataFrame:
     return pair_correlations(df, columns).where(F.abs("r") >= opts.report_r).withColumn("r", F.round("r", 4))
 

@@ -84,6 +84,7 @@ class Options:
     in_memory_rows: int = 1_000_000
     chunk_rows: int = 5_000_000
     max_chunks: int = 4096
+    rank_cells: int = 200_000
 
     @property
     def rules(self) -> dict:

@@ -4,13 +4,16 @@ from dataclasses import replace
 
 import numpy as np
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
+from tabsight.functions import distinct, moments
 from tabsight.functions.numbers import nan_to_null
 from tabsight.functions.ordered import forward_fill, row_index, running_count, with_chunks
 from tabsight.functions.quantiles import column_quantiles, exact_quantiles
-from tabsight.operators.correlation import corr_spearman
+from tabsight.operators.correlation import corr_pearson, corr_spearman
 from tabsight.operators.neighbours import impute_knn
+from tabsight.operators.profile import identical_columns, pair_correlations, profile_columns
 from tabsight.operators.regression import bayesian_ridge, impute_iterative
 from tabsight.operators.retrieval import sample_rows
 from tabsight.options import DEFAULTS
@@ -97,6 +100,52 @@ def test_spearman_in_chunks(spark):
         assert abs(row["r"] - want.loc[row["col1"], row["col2"]]) < 1e-9
 
 
+@pytest.mark.parametrize("cells", [1_000_000, 70])
+def test_spearman_of_mostly_equal_values(spark, cells):
+    """With 70 cells a task the runs of equal values, and of columns, go over many tasks."""
+    g = np.random.default_rng(4)
+    n = 500
+    pdf = pd.DataFrame({"a": np.where(g.random(n) < 0.9, 1.0, g.normal(size=n)), "b": g.integers(0, 3, n).astype(float), "c": g.normal(size=n), "d": np.full(n, 2.0)})
+    pdf["e"] = -pdf["c"] + pdf["b"]
+    df = spark.createDataFrame(pdf).repartition(4)
+    got = {(r["col1"], r["col2"]): r["r"] for r in corr_spearman(df, list(pdf), replace(DEFAULTS, rank_cells=cells)).collect()}
+    want = pdf.rank().corr()
+    assert len(got) == 10
+    for (a, b), r in got.items():
+        assert (r is None) if "d" in (a, b) else abs(r - want.loc[a, b]) < 1e-9
+
+
+def test_many_columns_plan_and_run(spark, monkeypatch):
+    g = np.random.default_rng(6)
+    pdf = pd.DataFrame(g.normal(100, 3, (60, 500)), columns=[f"c{i}" for i in range(500)])
+    pdf["c7"], pdf["c9"], pdf["c499"] = pdf["c3"] * -2 + 1, 0.1, pdf["c3"]
+    pdf.loc[::7, "c5"] = np.nan
+    df = nan_to_null(spark.createDataFrame(pdf)).cache()
+    monkeypatch.setattr(moments, "BLOCK", 200)
+    pairs = {(r["col1"], r["col2"]): r["r"] for r in pair_correlations(df).collect()}
+    want = pdf.corr()
+    assert len(pairs) == 500 * 499 // 2 and abs(pairs["c3", "c7"] + 1) < 1e-9 and pairs["c3", "c9"] is None
+    for a, b in (("c0", "c1"), ("c4", "c5"), ("c5", "c450"), ("c199", "c200"), ("c3", "c499")):
+        assert abs(pairs[a, b] - want.loc[a, b]) < 1e-9
+    assert identical_columns(df).collect() == [("c3", "c499")]
+    listwise = {(r["col1"], r["col2"]): r["r"] for r in corr_pearson(df, list(pdf)).collect()}
+    assert abs(listwise["c0", "c499"] - pdf.dropna()[["c0", "c499"]].corr().iloc[0, 1]) < 1e-9
+
+
+def test_counts_of_different_values(spark, monkeypatch):
+    g = np.random.default_rng(1)
+    n = 3000
+    pdf = pd.DataFrame({"dense": np.arange(n) * 3 - 500, "sparse": g.integers(-2**60, 2**60, n), "few": g.integers(0, 9, n), "text": [f"t{i // 2}" for i in range(n)],
+                        "num": np.where(np.arange(n) % 3 == 0, 0.5, np.arange(n) / 7), "flag": np.arange(n) % 2 == 0})
+    df = spark.createDataFrame(pdf).withColumn("day", F.date_add(F.lit("2020-01-01"), (F.col("dense") % 2000).cast("int"))).withColumn("none", F.lit(None).cast("string")).withColumn(
+        "gaps", F.when(F.col("dense") % 2 == 0, F.col("dense"))).withColumn("sometimes", F.when(F.col("dense") % 2 == 0, "null"))
+    monkeypatch.setattr(distinct, "FEW", 100)
+    want = df.agg(*[F.count_distinct(c).alias(c) for c in df.columns]).first().asDict()
+    assert distinct.distinct_counts(df, distinct.sketch(df)) == want
+    assert distinct.unique_columns(df, df.columns) == ["dense", "sparse"]
+    assert {r["column"]: r["unique_count"] for r in profile_columns(df).collect()} == {c: k + (c in ("none", "gaps", "sometimes")) for c, k in want.items()}
+
+
 def brute_knn(pdf, target, features, k=5):
     x = pdf[features].to_numpy(float)
     j = features.index(target)
