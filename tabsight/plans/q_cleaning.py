@@ -273,6 +273,28 @@ def _(spark, d):
     return out.select("c_custkey", *[F.round(c, 4).alias(c) for c in ("balance", "spend", "finished")])
 
 
+def _related(spark, d):
+    """Four measures tied by an exact relation: bulk = 3 quantity + 200 discount_rate - 7, weight = quantity / 2 + 40 discount_rate, each with its own gaps."""
+    key, q, r = F.col("order_id") * 7 + F.col("line"), F.col("units_sold"), F.col("discount_percentage")
+    s = sales(spark, d, "order_id", "line", "units_sold", "discount_percentage")
+    return s.select("order_id", "line", q.alias("quantity"), r.alias("rate"), F.when(key % 5 > 0, 3 * q + 200 * r - 7).alias("bulk"),
+                    F.when(key % 7 > 1, q / 2 + 40 * r).alias("weight"))
+
+
+RELATED_SQL = f"""WITH {SALES_SQL} SELECT line, count(*) AS n, round(avg(3 * units_sold + 200 * discount_percentage - 7), 2) AS bulk,
+  round(avg(units_sold / 2 + 40 * discount_percentage), 2) AS weight, 0 AS far FROM sales GROUP BY 1"""
+
+
+def _related_totals(spark, d, out):
+    want = (F.abs(F.col("bulk") - (3 * F.col("quantity") + 200 * F.col("rate") - 7)) > 0.01) | (F.abs(F.col("weight") - (F.col("quantity") / 2 + 40 * F.col("rate"))) > 0.01)
+    return out.groupBy("line").agg(F.count("*").alias("n"), F.round(F.avg("bulk"), 2).alias("bulk"), F.round(F.avg("weight"), 2).alias("weight"), F.count_if(want).alias("far"))
+
+
+@query("impute_iterative_related", RELATED_SQL)
+def _(spark, d):
+    return _related_totals(spark, d, I.impute_iterative(_related(spark, d), ["bulk", "weight"], ["quantity", "rate", "bulk", "weight"]))
+
+
 @query("drop_rows_null", f"WITH {MESSY_SQL} SELECT segment, count(*) AS n FROM messy_sales WHERE quantity IS NOT NULL GROUP BY 1")
 def _(spark, d):
     return I.drop_rows_null(_messy(spark, d, "segment", "quantity"), ["quantity"]).groupBy("segment").agg(F.count("*").alias("n"))

@@ -13,6 +13,7 @@ from tabsight.functions.ordered import forward_fill, row_index, running_count, w
 from tabsight.functions.quantiles import column_quantiles, exact_quantiles
 from tabsight.operators.correlation import corr_pearson, corr_spearman
 from tabsight.operators.neighbours import impute_knn
+from tabsight.operators import regression
 from tabsight.operators.profile import identical_columns, pair_correlations, profile_columns
 from tabsight.operators.regression import bayesian_ridge, impute_iterative
 from tabsight.operators.retrieval import sample_rows
@@ -203,6 +204,37 @@ def test_iterative_equals_row_by_row_rounds(spark):
     np.testing.assert_allclose(got[["a", "b", "c"]].astype(float), want, rtol=1e-3)
 
 
+def test_models_from_scans_equal_models_from_patterns(spark, monkeypatch):
+    g = np.random.default_rng(3)
+    n = 700
+    a = g.normal(20, 4, n)
+    pdf = pd.DataFrame({"a": a, "b": 2 * a + g.normal(0, 1, n), "c": 30 - a + g.normal(0, 2, n), "i": np.arange(n)})
+    for k, c in enumerate("abc"):
+        pdf.loc[g.random(n) < 0.1 * (k + 1), c] = np.nan
+    df = nan_to_null(spark.createDataFrame(pdf).repartition(3))
+    few = impute_iterative(df, ["a", "b", "c"], ["a", "b", "c"]).orderBy("i").toPandas()
+    monkeypatch.setattr(regression, "MOST_PATTERNS", 1)
+    many = impute_iterative(df, ["a", "b", "c"], ["a", "b", "c"]).orderBy("i").toPandas()
+    np.testing.assert_allclose(few.astype(float), many.astype(float), rtol=1e-8)
+    np.testing.assert_allclose(many[["a", "b", "c"]].astype(float), reference_rounds(pdf, ["a", "b", "c"], 10), rtol=1e-2)
+
+
+def test_any_number_of_patterns(spark):
+    """25 columns with gaps at random: nearly every row has a pattern of its own."""
+    g = np.random.default_rng(9)
+    n, p = 1500, 25
+    base = g.normal(0, 1, (n, 3))
+    x = base @ g.normal(0, 1, (3, p)) + 5
+    holes = g.random((n, p)) < 0.15
+    holes[:, 0] = False
+    pdf = pd.DataFrame(np.where(holes, np.nan, x), columns=[f"c{i}" for i in range(p)]).assign(i=np.arange(n))
+    names = [f"c{i}" for i in range(p)]
+    opts = replace(DEFAULTS, iterative_rounds=2)
+    got = impute_iterative(nan_to_null(spark.createDataFrame(pdf).repartition(4)), names, names, opts).orderBy("i").toPandas()[names].to_numpy(float)
+    assert len({tuple(h) for h in holes}) > 1000 and not np.isnan(got).any()
+    assert (got[~holes] == x[~holes]).all() and np.abs(got - x)[holes].mean() < 0.3 * np.abs(x - x.mean(0))[holes].mean()
+
+
 def test_bayesian_ridge_finds_the_line():
     g = np.random.default_rng(0)
     x = g.normal(size=(5000, 2))
