@@ -13,10 +13,10 @@ from tabsight.functions.ordered import forward_fill, row_index, running_count, w
 from tabsight.functions.quantiles import column_quantiles, exact_quantiles
 from tabsight.operators.correlation import corr_pearson, corr_spearman
 from tabsight.operators.neighbours import impute_knn
-from tabsight.operators import regression
+from tabsight.operators import regression, retrieval
 from tabsight.operators.profile import identical_columns, pair_correlations, profile_columns
 from tabsight.operators.regression import bayesian_ridge, impute_iterative
-from tabsight.operators.retrieval import sample_rows
+from tabsight.operators.retrieval import sample_rows, vector_topk
 from tabsight.options import DEFAULTS
 
 SMALL = replace(DEFAULTS, in_memory_rows=100, chunk_rows=50)
@@ -244,6 +244,35 @@ def test_bayesian_ridge_finds_the_line():
     np.testing.assert_allclose(w, [3.0, -2.0], atol=0.01)
 
 
+def test_one_scope_of_most_rows(spark, monkeypatch):
+    """900 of 1000 documents and most questions in one scope, in blocks of 50 and 4; repeated vectors tie, some vectors have no direction."""
+    monkeypatch.setattr(retrieval, "BLOCK_DOCS", 50)
+    monkeypatch.setattr(retrieval, "BLOCK_QUESTIONS", 4)
+    g = np.random.default_rng(7)
+    x = g.normal(size=(1000, 6)).round(1)
+    x[100:140] = x[3]
+    kinds = ["dataset_summary" if i % 300 == 250 else "trend" if i % 4 == 0 else "row" for i in range(1000)]
+    docs = [("big" if i % 10 else f"s{i % 30}", i, kinds[i], None if i == 11 else [0.0] * 6 if i == 12 else x[i].tolist()) for i in range(1000)]
+    questions = [("big", j, g.normal(size=6).tolist()) for j in range(10)] + [("big", 10, x[3].tolist()), ("s10", 11, x[5].tolist()), ("none", 12, x[5].tolist())]
+    got = {}
+    for r in vector_topk(spark.createDataFrame(docs, "scope_id string, doc_id long, doc_type string, embedding array<double>"),
+                         spark.createDataFrame(questions, "scope_id string, question_id int, embedding array<double>")).collect():
+        got.setdefault(r["question_id"], set()).add((r["kind"], r["rank"], r["doc_id"]))
+    assert set(got) == set(range(12))
+    for scope, q, v in questions[:-1]:
+        own = [d for d in docs if d[0] == scope]
+        far = lambda d: (lambda u, w: np.inf if u is None or not any(u) else round(1 - float(np.dot(u, w) / np.sqrt(np.dot(u, u) * np.dot(w, w))), 9))(d[3], v)
+        want, facts = set(), []
+        for kind, k in (("row", 8), ("fact", 6)):
+            best = sorted((far(d), d[1]) for d in own if (d[2] == "row") == (kind == "row"))[:k]
+            want |= {(kind, n + 1, i) for n, (_, i) in enumerate(best)}
+            facts += [i for _, i in best]
+        summaries = [d[1] for d in own if d[2] == "dataset_summary"]
+        if summaries and not set(summaries) & set(facts):
+            want.add(("fact", 0, summaries[0]))
+        assert got[q] == want
+
+
 def test_sample_is_stable_and_exact_in_size(spark):
     df = spark.range(5000).toDF("id")
     a = {r[0] for r in sample_rows(df, ["id"], 300).collect()}
