@@ -1,8 +1,8 @@
 """Merging rare spellings of a label into a frequent one.
 
-Neighbours within edit distance two are found by a shared deletion variant: two labels that close always have a common
-string after at most two deletions each. Labels meet only on that string, so the join touches near neighbours rather than
-all pairs of a column or first letter.
+Neighbours within edit distance three are found by their halves: of at most three edits one half of a label has at most one, so that half and some
+beginning or end of the other label agree after at most one deletion each. Labels meet only on such strings, whose number is
+linear in the length of a label; labels that can't be merged for their length or frequency are left out before they meet.
 """
 
 from pyspark.sql import DataFrame, Window, functions as F
@@ -27,30 +27,55 @@ def mergeable_columns(columns: list[str], geographic: set[str] = frozenset()) ->
             and not set(re.split(r"[^a-z0-9]+", c.lower())) & set(GEOGRAPHIC_WORDS)]
 
 
-def _variants(label, depth: int):
-    """All strings after at most ``depth`` deletions."""
-    def shorter(s):
-        return F.transform(F.sequence(F.lit(1), F.greatest(F.length(s), F.lit(1))), lambda i: F.concat(
-            F.substring(s, F.lit(1), i - 1), F.substring(s, i + 1, F.length(s))))
-    level, found = F.array(label), F.array(label)
-    for _ in range(depth):
-        level = F.array_distinct(F.flatten(F.transform(level, shorter)))
-        found = F.array_union(found, level)
-    return found
+MOST_DISTANCE = 3
 
 
-def near_labels(labels: DataFrame, opts: Options = DEFAULTS) -> DataFrame:
-    """Ordered pairs of different labels of one column with the same first letter and a small edit distance."""
+def _shorter(text):
+    """A text less one character, each in turn; an empty text gives itself."""
+    return F.transform(F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1))), lambda i: F.concat(F.substring(text, F.lit(1), i - 1), F.substring(text, i + 1, F.length(text))))
+
+
+def _keys(strings, side: str, length):
+    """Hashes of the strings that stand for a half, together with column, first letter and the length of the indexed label."""
+    first = F.lower(F.substring("label", 1, 1))
+    return F.transform(strings, lambda x: F.xxhash64(F.col("column"), first, F.lit(side), length, x))
+
+
+def _index_keys():
+    """Keys of a label's halves: each half, and it less one character."""
+    n = F.length("label")
+    middle = F.floor(n / 2).cast("int")
+    head, tail = F.substring("label", F.lit(1), middle), F.substring("label", middle + 1, n)
+    return F.array_distinct(F.concat(*[_keys(F.concat(F.array(half), _shorter(half)), side, n) for half, side in ((head, "head"), (tail, "tail"))]))
+
+
+def _probe_keys(d: int):
+    """Keys under which a label within ``d`` edits must be indexed, for each of its possible lengths."""
+    n, out = F.length("label"), []
+    for more in range(-d, d + 1):
+        length = n + more
+        middle = F.floor(length / 2).cast("int")
+        for size, side in ((middle, "head"), (middle + 1, "head"), (length - middle, "tail"), (length - middle + 1, "tail")):
+            part = F.substring("label", F.lit(1), size) if side == "head" else F.substring("label", F.greatest(n - size + 1, F.lit(1)), n)
+            # less one character a beginning is also the one that is a character shorter; itself it counts where the label ends before
+            out.append(F.when(length > 0, _keys(F.concat(F.array(part), _shorter(part)), side, length)))
+    empty = F.array().cast("array<bigint>")
+    return F.array_distinct(F.concat(*[F.coalesce(k, empty) for k in out]))
+
+
+def near_labels(sources: DataFrame, targets: DataFrame, opts: Options = DEFAULTS) -> DataFrame:
+    """(column, label, n, other, other_n, distance): labels of ``sources`` with those of ``targets`` in the same column that differ from them, begin with the
+    same letter and lie within a small edit distance."""
     d = opts.fuzzy_distance
-    keyed = labels.where(F.length("label") > 0).select(
-        "column", "label", "n", F.explode(_variants(F.col("label"), d)).alias("_v"))
-    keyed = keyed.select("column", "label", "n", F.lower(F.substring("label", 1, 1)).alias("_first"),
-                         F.xxhash64("_v").alias("_h"))
-    other = keyed.select("column", F.col("label").alias("other"), F.col("n").alias("other_n"), "_first", "_h")
-    pairs = keyed.join(other, ["column", "_first", "_h"]).where(F.col("label") != F.col("other"))
-    distance = F.levenshtein("label", "other", d)
+    if d > MOST_DISTANCE:
+        raise ValueError(f"labels are compared up to distance {MOST_DISTANCE}")
+    probes = sources.where(F.length("label") > 0).select("column", "label", "n", F.explode(_probe_keys(d)).alias("_h"))
+    index = targets.where(F.length("label") > 0).select(F.col("column").alias("_column"), F.col("label").alias("other"), F.col("n").alias("other_n"),
+                                                        F.explode(_index_keys()).alias("_k"))
+    pairs = probes.join(index, (F.col("_h") == F.col("_k")) & (F.col("column") == F.col("_column"))).where(F.col("label") != F.col("other"))
     return (pairs.select("column", "label", "n", "other", "other_n").distinct()
-            .withColumn("distance", distance).where(F.col("distance").between(0, d)))
+            .where(F.lower(F.substring("label", 1, 1)) == F.lower(F.substring("other", 1, 1)))
+            .withColumn("distance", F.levenshtein("label", "other", d)).where(F.col("distance").between(0, d)))
 
 
 def fuzzy_merges(labels: DataFrame, opts: Options = DEFAULTS) -> DataFrame:
@@ -61,13 +86,10 @@ def fuzzy_merges(labels: DataFrame, opts: Options = DEFAULTS) -> DataFrame:
     after the longest such chain, which is one or two in practice.
     """
     totals = labels.groupBy("column").agg(F.sum("n").alias("_total"), F.count("*").alias("_labels"))
-    share = F.col("n") / F.col("_total") * 100
-    # other = target, label = source
-    edges = (near_labels(labels, opts).join(totals, "column")
-             .where((F.col("_labels") > opts.fuzzy_off_labels) & (share <= opts.fuzzy_rare_pct)
-                    & (F.col("other_n") > F.col("n"))
-                    & (F.least(F.length("label"), F.length("other")) >= opts.fuzzy_min_length))
-             .select("column", "label", "n", "other", "other_n", "distance"))
+    long = labels.where(F.length("label") >= opts.fuzzy_min_length)
+    rare = long.join(totals, "column").where((F.col("_labels") > opts.fuzzy_off_labels) & (F.col("n") / F.col("_total") * 100 <= opts.fuzzy_rare_pct))
+    # other = target, label = source; a target is more frequent than some source, so it occurs twice at least
+    edges = near_labels(rare, long.where("n > 1"), opts).where(F.col("other_n") > F.col("n"))
     edges = cut(edges)
     moved = edges.select("column", F.col("label").alias("other")).distinct()
     # Targets that are no source themselves are kept; the rest are settled in rounds.
@@ -88,7 +110,8 @@ def fuzzy_merges(labels: DataFrame, opts: Options = DEFAULTS) -> DataFrame:
 
 def fuzzy_flags(labels: DataFrame, merges: DataFrame, opts: Options = DEFAULTS) -> DataFrame:
     """Labels that stand alone but have a near neighbour too short to merge: nearest one, for review."""
-    near = near_labels(labels, opts).where(F.least(F.length("label"), F.length("other")) < opts.fuzzy_min_length)
+    short = labels.where(F.length("label") < opts.fuzzy_min_length + opts.fuzzy_distance)
+    near = near_labels(short, short, opts).where(F.least(F.length("label"), F.length("other")) < opts.fuzzy_min_length)
     used = merges.select("column", F.col("raw").alias("label")).unionAll(
         merges.select("column", F.col("canonical").alias("label"))).distinct()
     w = Window.partitionBy("column", "label").orderBy("distance", F.desc("other_n"), "other")

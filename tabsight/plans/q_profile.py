@@ -77,6 +77,31 @@ def _(spark, d):
         F.count("*").alias("n"), F.round(F.sum("c_acctbal"), 4).alias("balance"), F.sum("c_custkey").alias("keys"))
 
 
+@query("read_json_list", """SELECT c_mktsegment || ', "x" [' || CAST(c_custkey % 3 AS VARCHAR) || '}' AS segment, count(*) AS n, round(sum(c_acctbal), 4) AS balance,
+  CAST(sum(c_custkey) AS BIGINT) AS keys FROM customer GROUP BY 1""")
+def _(spark, d):
+    """A list of records over several lines, with commas, quotes and brackets inside texts."""
+    path = scratch_path(spark, "list") + ".json"
+    odd = F.concat("c_mktsegment", F.lit(', "x" ['), (F.col("c_custkey") % 3).cast("string"), F.lit("}"))
+    record = F.to_json(F.struct(F.col("c_custkey").alias("key"), odd.alias("segment"), F.struct(F.col("c_acctbal").alias("balance")).alias("money")))
+    one = table(spark, d, "customer").select(record.alias("r")).agg(F.array_join(F.collect_list("r"), ",\n  ").alias("r"))  # the document that is read below
+    one.select(F.concat(F.lit("[\n  "), "r", F.lit("\n]"))).coalesce(1).write.text(path)
+    return R.read_json_any(spark, path).groupBy("segment").agg(F.count("*").alias("n"), F.round(F.sum("money.balance"), 4).alias("balance"), F.sum("key").alias("keys"))
+
+
+@query("read_json_columns", """SELECT c_mktsegment AS segment, count(*) AS n, round(sum(c_acctbal), 4) AS balance, CAST(sum(c_custkey) AS BIGINT) AS keys
+FROM customer GROUP BY 1""")
+def _(spark, d):
+    path = scratch_path(spark, "columns") + ".json"
+    c = table(spark, d, "customer")
+    cell = lambda name: F.array_join(F.collect_list(F.concat(F.lit('"'), F.col("c_custkey").cast("string"), F.lit('":'), F.substring(
+        F.to_json(F.array(name)), F.lit(2), F.length(F.to_json(F.array(name))) - 2))), ", ")
+    columns = {"key": cell("c_custkey"), "segment": cell("c_mktsegment"), "balance": cell("c_acctbal")}
+    whole = F.concat(F.lit("{"), F.concat_ws(",\n", *[F.concat(F.lit(f'"{n}": {{'), x, F.lit("}")) for n, x in columns.items()]), F.lit("}"))
+    c.agg(whole.alias("r")).coalesce(1).write.text(path)
+    return R.read_json_any(spark, path).groupBy("segment").agg(F.count("*").alias("n"), F.round(F.sum("balance"), 4).alias("balance"), F.sum("key").alias("keys"))
+
+
 @query("read_parquet", """
 SELECT l_returnflag AS flag, count(*) AS n, round(sum(l_quantity), 2) AS quantity FROM lineitem GROUP BY 1""")
 def _(spark, d):

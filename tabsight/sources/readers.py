@@ -1,14 +1,15 @@
 """Table readers: text in several encodings, CSV with mixed delimiters, JSON in three shapes, parquet."""
 
 import csv
-import json
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.dates import may_be_date, parse_datetime
-from ..functions.lineage import written
+from ..functions.lineage import scratch_path, written
 from ..functions.numbers import nan_to_null, string_columns
+from . import json_scan
 from ..functions.text import LOAD_NULLS, quoted, to_boolean, to_number
 
 # The windows-1252 characters of bytes 0x80-0x9F; the five unassigned bytes are left out.
@@ -100,43 +101,28 @@ def read_csv_mixed(spark: SparkSession, path: str, infer: bool = True, on_bad: s
     return infer_types(written(table, "csv")) if infer else table
 
 
+# What a column-dict begins with: a name, and in it a row number.
+COLUMN_DICT = re.compile(r'\s*\{\s*"(?:[^"\\]|\\.)*"\s*:\s*\{\s*(?:"\d+"\s*:|\})')
+
+
 def read_json_any(spark: SparkSession, path: str) -> DataFrame:
-    """JSON lines, else a list of records, else ``{column: {row: value}}``."""
-    lines = spark.read.text(path).where(F.trim("value") != "")
-    first = lines.limit(1).collect()
-    start = first[0][0].lstrip("﻿ \t") if first else ""
-    if start.startswith("{") and _is_object(start):
-        probe = spark.read.json(path)
-        if not _column_dict(probe):
-            return nan_to_null(probe)
-    elif start.startswith("["):
-        return nan_to_null(spark.read.json(path, multiLine=True))
-    return _read_column_dict(spark, path)
-
-
-def _is_object(line: str) -> bool:
-    try:
-        return isinstance(json.loads(line), dict)
-    except ValueError:
-        return False
-
-
-def _column_dict(df: DataFrame) -> bool:
-    """One object whose every field is itself an object keyed by row number."""
-    from pyspark.sql.types import StructType
-    nested = [f.dataType for f in df.schema]
-    return (bool(nested) and all(isinstance(t, StructType) and all(n.isdigit() for n in t.names) for t in nested)
-            and len(df.limit(2).collect()) == 1)
+    """JSON lines, else a list of records, else ``{column: {row: value}}``. The beginning of a file tells; all three are read by many tasks."""
+    head = json_scan.fragments(spark, path).where("start = 0").limit(50).collect()
+    start = ",".join(r["value"] for r in head if r["file"] == head[0]["file"]).lstrip("\ufeff \r\n\t")
+    if start.startswith("["):
+        lines = scratch_path(spark, "records")
+        json_scan.list_records(spark, path).write.text(lines)
+        return nan_to_null(spark.read.json(lines))
+    if COLUMN_DICT.match(start) and json_scan.is_one_object(spark, path):
+        return _read_column_dict(spark, path)
+    return nan_to_null(spark.read.json(path))
 
 
 def _read_column_dict(spark, path):
-    cells = (spark.read.text(path, wholetext=True)
-             .select(F.explode(F.from_json("value", "map<string,map<string,string>>")).alias("_c", "_m"))
-             .select("_c", F.explode("_m").alias("_row", "_v")))
-    names = [r[0] for r in spark.read.text(path, wholetext=True).select(
-        F.explode(F.json_object_keys("value")).alias("k")).distinct().collect()]
-    wide = cells.groupBy("_row").agg(*[F.max(F.when(F.col("_c") == n, F.col("_v"))).alias(n) for n in names])
-    return infer_types(wide.drop("_row"))
+    cells = written(json_scan.column_cells(spark, path), "cells")
+    names = [r[0] for r in cells.select("column").distinct().orderBy("column").collect()]  # one per column
+    wide = cells.groupBy("row").agg(*[F.max(F.when(F.col("column") == n, F.col("value"))).alias(n) for n in names])
+    return infer_types(wide.drop("row"))
 
 
 def read_parquet(spark: SparkSession, path: str) -> DataFrame:

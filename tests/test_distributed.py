@@ -1,5 +1,6 @@
 """The building blocks that must hold at any size, forced onto their large-input paths by small limits."""
 
+import json
 from dataclasses import replace
 
 import numpy as np
@@ -11,6 +12,7 @@ from tabsight.functions import distinct, moments
 from tabsight.functions.numbers import nan_to_null
 from tabsight.functions.ordered import forward_fill, row_index, running_count, with_chunks
 from tabsight.functions.quantiles import column_quantiles, exact_quantiles
+from tabsight.operators.categories import near_labels
 from tabsight.operators.correlation import corr_pearson, corr_spearman
 from tabsight.operators.neighbours import impute_knn
 from tabsight.operators import regression, retrieval
@@ -18,6 +20,7 @@ from tabsight.operators.profile import identical_columns, pair_correlations, pro
 from tabsight.operators.regression import bayesian_ridge, impute_iterative
 from tabsight.operators.retrieval import sample_rows, vector_topk
 from tabsight.options import DEFAULTS
+from tabsight.sources import json_scan, read_json_any
 
 SMALL = replace(DEFAULTS, in_memory_rows=100, chunk_rows=50)
 
@@ -244,6 +247,64 @@ def test_bayesian_ridge_finds_the_line():
     np.testing.assert_allclose(w, [3.0, -2.0], atol=0.01)
 
 
+def test_json_documents_in_byte_ranges(spark, tmp_path):
+    """Ranges of a few hundred bytes: texts, names and records are cut anywhere, also at quotes, backslashes and commas in texts."""
+    g = np.random.default_rng(3)
+    odd = ['a,b', 'q"uote', "back\\slash", '\\"', "[1,{", "}],", "é,中", "", "line\nbreak", "\\\\", ',",']
+    text = lambda: "".join(g.choice(odd, g.integers(0, 5)))
+    records = [{"id": int(i), "t": text(), "deep": {"x": [1, 2, {"y": text()}]}, "v": None if i % 5 == 0 else float(i) / 4} for i in range(400)]
+    columns = {"na,me": {str(i): text() + "." for i in range(300)}, "n": {str(i): i * 2 for i in range(300)}, "some": {str(i): None if i % 3 else f"s,{i}" for i in range(300)}}
+    (tmp_path / "list.json").write_text(json.dumps(records, indent=1, ensure_ascii=False))
+    (tmp_path / "flat.json").write_text(json.dumps(records))
+    (tmp_path / "dict.json").write_text(json.dumps(columns, ensure_ascii=False))
+    (tmp_path / "lines.json").write_text("\n".join(json.dumps({"a": {"1": i}, "b": f"x,{i}"}) for i in range(50)))
+    old = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "700b")
+        spark.conf.set("spark.sql.files.openCostInBytes", "1b")
+        assert json_scan.fragments(spark, f"{tmp_path}/list.json").select("start").distinct().count() > 20
+        for name in ("list", "flat"):
+            got = {r["id"]: (r["t"], r["deep"]["x"], r["v"]) for r in read_json_any(spark, f"{tmp_path}/{name}.json").collect()}
+            assert len(got) == 400
+            for r in records:
+                assert got[r["id"]][0] == r["t"] and got[r["id"]][2] == r["v"] and json.loads(got[r["id"]][1][2])["y"] == r["deep"]["x"][2]["y"]
+        got = {r["n"]: (r["na,me"], r["some"]) for r in read_json_any(spark, f"{tmp_path}/dict.json").collect()}
+        assert got == {2 * i: (columns["na,me"][str(i)], columns["some"][str(i)]) for i in range(300)}
+        assert read_json_any(spark, f"{tmp_path}/lines.json").select("a.1", "b").orderBy("1").first() == (0, "x,0")
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
+def edit_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a):
+        row, last = [i + 1], row
+        for j, y in enumerate(b):
+            row.append(min(last[j + 1] + 1, row[j] + 1, last[j] + (x != y)))
+    return row[-1]
+
+
+@pytest.mark.parametrize("d", [1, 2, 3])
+def test_near_labels_by_halves(spark, d):
+    g = np.random.default_rng(d)
+    letters = list("abAé")
+    words = {"".join(g.choice(letters, g.integers(1, 12))) for _ in range(140)}
+    words |= {w[:k] + "b" + w[k:] for w in list(words)[:40] for k in (0, len(w) // 2, len(w))} | {w[1:] for w in list(words)[:20]} | {"", "x" * 5}
+    words = sorted(words)
+    labels = spark.createDataFrame([("c", w, i) for i, w in enumerate(words)] + [("other", w, 1) for w in words[:5]], "column string, label string, n long")
+    got = {(r["label"], r["other"], r["distance"]) for r in near_labels(labels, labels, replace(DEFAULTS, fuzzy_distance=d)).where("column = 'c'").collect()}
+    assert got == {(a, b, e) for a in words for b in words if a and b and a != b and a[0].lower() == b[0].lower() and abs(len(a) - len(b)) <= d and (e := edit_distance(a, b)) <= d}
+
+
+def test_long_labels_meet(spark):
+    long = "".join(np.random.default_rng(1).choice(list("abcdefgh"), 2000))
+    changed, less = long[:700] + "Z" + long[701:], long[:500] + long[501:1500] + long[1501:]
+    labels = spark.createDataFrame([("c", w, 1) for w in (long, changed, less, long[:900])], "column string, label string, n long")
+    got = {(r["label"], r["other"]): r["distance"] for r in near_labels(labels, labels).collect()}
+    assert got == {(long, changed): 1, (changed, long): 1, (long, less): 2, (less, long): 2}
+
+
 def test_one_scope_of_most_rows(spark, monkeypatch):
     """900 of 1000 documents and most questions in one scope, in blocks of 50 and 4; repeated vectors tie, some vectors have no direction."""
     monkeypatch.setattr(retrieval, "BLOCK_DOCS", 50)
