@@ -15,7 +15,7 @@ from tabsight.functions.quantiles import column_quantiles, exact_quantiles
 from tabsight.operators.categories import near_labels
 from tabsight.operators.correlation import corr_pearson, corr_spearman
 from tabsight.operators.neighbours import impute_knn
-from tabsight.operators import regression, retrieval
+from tabsight.operators import neighbours, regression, retrieval
 from tabsight.operators.profile import identical_columns, pair_correlations, profile_columns
 from tabsight.operators.regression import bayesian_ridge, impute_iterative
 from tabsight.operators.retrieval import sample_rows, vector_topk
@@ -165,7 +165,11 @@ def brute_knn(pdf, target, features, k=5):
     return out
 
 
-def test_knn_cells_equal_brute_force(spark):
+@pytest.mark.parametrize("top,step", [(12, 4), (2, 1)])
+def test_knn_cells_equal_brute_force(spark, monkeypatch, top, step):
+    """With a top tree of two levels the deeper ones are split node by node in the table, as very many rows are."""
+    monkeypatch.setattr(neighbours, "TOP_DEPTH", top)
+    monkeypatch.setattr(neighbours, "STEP", step)
     g = np.random.default_rng(5)
     n = 600
     pdf = pd.DataFrame({"id": np.arange(n), "p": g.normal(0, 1, n), "q": g.normal(0, 3, n), "r": g.gamma(2, 2, n)})
