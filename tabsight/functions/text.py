@@ -69,13 +69,26 @@ def folded(c: Column) -> Column:
     return strip(F.regexp_replace(c, r"[_\-\s]+", " "))
 
 
+# Letters that lower case leaves as they are and case folding takes apart or unites.
+FOLDED = {"ß": "ss", "ẞ": "ss", "ŉ": "ʼn", "ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "st", "ﬆ": "st"}
+UNITED = {"ς": "σ", "ſ": "s", "µ": "μ"}
+
+
+def casefold(c: Column) -> Column:
+    """Lower case in which spellings that differ only by case agree: ß is ss, all sigmas are one, ligatures are letters."""
+    apart = F.translate(F.lower(c), "".join(UNITED), "".join(UNITED.values()))
+    for letter, letters in FOLDED.items():
+        apart = F.replace(apart, F.lit(letter), F.lit(letters))
+    return F.when(c.rlike(r"[^\x00-\x7F]"), apart).otherwise(F.lower(c))
+
+
 def canonical_text(c: Column) -> Column:
-    return title_case(null_text(folded(c)))
+    return title_case(casefold(null_text(folded(c))))
 
 
 def category_label(c: Column) -> Column:
     t = folded(c)
-    return F.when(t != "", F.lower(t))
+    return F.when(t != "", casefold(t))
 
 
 def name_tokens(c: Column) -> Column:

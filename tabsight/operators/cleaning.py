@@ -77,7 +77,7 @@ def category_label_norm(df: DataFrame, columns: list[str]) -> DataFrame:
 def encode_ordinal(df: DataFrame, column: str, order: list[str]) -> DataFrame:
     """``<column>__ordinal``: position in the given order, null for other labels."""
     from itertools import chain
-    norm = {" ".join(re.sub(r"[_\-]+", " ", v).split()).lower(): i for i, v in enumerate(order)}
+    norm = {" ".join(re.sub(r"[_\-]+", " ", v).split()).casefold(): i for i, v in enumerate(order)}
     index = F.create_map(*chain(*[(F.lit(k), F.lit(i)) for k, i in norm.items()]))
     return df.withColumn(f"{column}__ordinal", index[X.category_label(quoted(column).cast("string"))])
 

@@ -315,3 +315,22 @@ def _(spark, d):
 @query("chart_scatter", """SELECT l_quantity AS x, l_extendedprice AS y FROM lineitem WHERE l_quantity IS NOT NULL AND l_extendedprice IS NOT NULL""")
 def _(spark, d):
     return H.chart_query(table(spark, d, "lineitem"), "scatter", "l_quantity", "l_extendedprice")
+
+
+@query("chart_histogram", f"""WITH {SALES_SQL}, r AS (SELECT min(tax_amount) AS lo, max(tax_amount) AS hi FROM sales),
+c AS (SELECT CAST(least(floor((tax_amount - lo) / (hi - lo) * 20) + 1, 20) AS BIGINT) AS bin, count(*) AS n FROM sales, r GROUP BY 1)
+SELECT b AS bin, round(lo + (b - 1) * (hi - lo) / 20, 3) AS lower, round(lo + b * (hi - lo) / 20, 3) AS upper, coalesce(n, 0) AS "count"
+FROM range(1, 21) t(b) CROSS JOIN r LEFT JOIN c ON bin = b""")
+def _(spark, d):
+    out = H.chart_query(sales(spark, d, "tax_amount"), "histogram", "tax_amount")
+    return out.withColumns({c: F.round(c, 3) for c in ("lower", "upper")})
+
+
+@query("chart_box", f"""WITH {SALES_SQL}, q AS (SELECT customer_segment, quantile_cont(shipping_cost, [0.25, 0.5, 0.75]) AS q FROM sales GROUP BY 1),
+b AS (SELECT s.customer_segment, shipping_cost, q, shipping_cost BETWEEN q[1] - 1.5 * (q[3] - q[1]) AND q[3] + 1.5 * (q[3] - q[1]) AS inside
+  FROM sales s JOIN q ON s.customer_segment = q.customer_segment)
+SELECT customer_segment AS label, round(q[1], 3) AS q1, round(q[2], 3) AS median, round(q[3], 3) AS q3, count(*) AS n, round(min(shipping_cost) FILTER (inside), 3) AS whisker_low,
+  round(max(shipping_cost) FILTER (inside), 3) AS whisker_high, count(*) FILTER (NOT inside) AS outliers FROM b GROUP BY customer_segment, q""")
+def _(spark, d):
+    out = H.chart_query(sales(spark, d, "customer_segment", "shipping_cost"), "box", "shipping_cost", group_by="customer_segment")
+    return out.withColumns({c: F.round(c, 3) for c in ("q1", "median", "q3", "whisker_low", "whisker_high")})

@@ -34,6 +34,20 @@ def _(spark, d):
                  F.sum("k").alias("key_sum")))
 
 
+@query("read_csv_windows", """
+SELECT o_orderstatus AS status, count(*) AS lines, CAST(sum(o_orderkey) AS BIGINT) AS key_sum, sum(CASE WHEN o_orderkey % 2 = 0 THEN 1 ELSE 0 END) AS euros,
+  sum(CASE WHEN o_orderkey % 2 = 1 THEN 1 ELSE 0 END) AS quotes FROM orders GROUP BY 1""")
+def _(spark, d):
+    """Files of windows-1252, whose bytes 0x80 to 0x9F are euro signs and quotes."""
+    path = scratch_path(spark, "windows")
+    marked = F.when(F.col("o_orderkey") % 2 == 0, F.lit("\x80 é ")).otherwise(F.lit("\x93x\x94 "))
+    _write_lines(table(spark, d, "orders").select(F.concat_ws(";", F.col("o_orderkey").cast("string"), F.concat(marked, "o_orderstatus"))), "key;text", path, "ISO-8859-1")
+    typed = R.read_csv_mixed(spark, path)
+    return typed.groupBy(F.substring("text", -1, 1).alias("status")).agg(
+        F.count("*").alias("lines"), F.sum("key").alias("key_sum"), F.count_if(F.col("text").startswith("€ é ")).alias("euros"),
+        F.count_if(F.col("text").startswith("“x” ")).alias("quotes"))
+
+
 def _mixed_file(spark, d, ext=""):
     """Lines with ',' or ';' by key, a quoted text holding the other delimiter, and blank lines."""
     path = scratch_path(spark, "mixed") + ext

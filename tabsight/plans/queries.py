@@ -1,6 +1,6 @@
 """All registered queries with their oracle SQL."""
 
-from . import q_blueprint, q_cleaning, q_facts, q_profile, q_stats  # noqa: F401 - registers on import
+from . import q_blueprint, q_cleaning, q_facts, q_profile, q_run, q_stats  # noqa: F401 - registers on import
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

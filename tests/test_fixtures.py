@@ -172,6 +172,15 @@ def test_title_case_and_null_words(spark):
         ("Home Delivery",), ("O'Neil X",), ("3Rd Party",), (None,), ("É Été",), (None,), ("Ab",)]
 
 
+def test_labels_are_case_folded(spark):
+    texts = ["Straße", "STRASSE", "ΟΔΟΣ", "οδος", "οδοσ", "ﬁne", "FINE", "ısı", "Kelvin \u212a", "ÉTÉ", "İ", "A_b"]
+    got = rows(K.category_label_norm(column(spark, "t", texts, "string"), ["t"]), "t")
+    assert [r[0] for r in got] == [" ".join(t.replace("_", " ").split()).casefold() for t in texts]
+    titled = [r[0] for r in rows(K.canonical_text(column(spark, "t", texts[:2], "string"), ["t"]), "t")]
+    assert titled == ["Strasse", "Strasse"]
+    assert rows(K.encode_ordinal(column(spark, "t", ["STRASSE", "weg"], "string"), "t", ["Weg", "Straße"]), "t__ordinal") == [(1,), (0,)]
+
+
 def test_booleans(spark):
     out = K.coerce_types(column(spark, "b", ["Yes", "0", "TRUE", "maybe"], "string"), {"b": "boolean"})
     assert rows(out, "b") == [(True,), (False,), (True,), (None,)]
