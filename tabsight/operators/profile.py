@@ -94,7 +94,8 @@ def outlier_iqr(df: DataFrame, columns=None, opts: Options = DEFAULTS) -> DataFr
     columns = columns or numeric_columns(df)
     fences = {}
     with held(df.select(*[quoted(c) for c in columns])) as narrow:
-        for r in column_quantiles(narrow, columns, [0.25, 0.75], opts).collect():  # one row per column
+        rows = narrow.agg(F.count("*")).first()[0]
+        for r in column_quantiles(narrow, columns, [0.25, 0.75], opts, rows=rows).collect():  # one row per column
             q1, q3 = r["q"]
             fences[r["column"]] = (q1 - opts.fence * (q3 - q1), q3 + opts.fence * (q3 - q1))
         found = long_agg(narrow, _fence_metrics(columns, fences, opts))

@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.lineage import cut
 from ..functions.numbers import kurtosis_agg, numeric_columns, pct, skewness_agg
+from ..functions.partitions import held
 from ..functions.quantiles import column_quantiles, exact_quantiles
 from ..functions.reshape import long_agg, text_cells, value_counts
 from ..functions.text import quoted
@@ -11,15 +12,18 @@ from ..options import DEFAULTS, Options
 
 
 def describe_numeric(df: DataFrame, columns: list[str], opts: Options = DEFAULTS) -> DataFrame:
-    """Moments in one aggregate, quartiles from the exact quantiles."""
-    moments = long_agg(df, {c: {
-        "count": F.count(quoted(c)), "mean": F.avg(quoted(c)), "std": F.stddev_samp(quoted(c)), "variance": F.var_samp(quoted(c)),
-        "min": F.min(quoted(c)).cast("double"), "max": F.max(quoted(c)).cast("double"),
-        "skewness": skewness_agg(quoted(c)), "kurtosis": kurtosis_agg(quoted(c))} for c in columns}).where(F.col("count") > 0)
-    q = column_quantiles(df, columns, [0.25, 0.5, 0.75], opts)
-    return moments.join(q, "column").select(
-        "column", "count", "mean", F.col("q")[1].alias("median"), "std", "variance", "min", "max",
-        F.col("q")[0].alias("q1"), F.col("q")[2].alias("q3"), "skewness", "kurtosis")
+    """Moments in one aggregate, quartiles from the exact quantiles. The columns are held while both are made; one row per column comes out."""
+    narrow = df.select(*[quoted(c) for c in columns])
+    with held(narrow):
+        moments = long_agg(narrow, {c: {
+            "count": F.count(quoted(c)), "mean": F.avg(quoted(c)), "std": F.stddev_samp(quoted(c)), "variance": F.var_samp(quoted(c)),
+            "min": F.min(quoted(c)).cast("double"), "max": F.max(quoted(c)).cast("double"),
+            "skewness": skewness_agg(quoted(c)), "kurtosis": kurtosis_agg(quoted(c)), "_rows": F.count("*")} for c in columns}).collect()
+        quartiles = {r["column"]: r["q"] for r in column_quantiles(narrow, columns, [0.25, 0.5, 0.75], opts, rows=moments[0]["_rows"]).collect()}
+    rows = [(r["column"], r["count"], r["mean"], q[1], r["std"], r["variance"], r["min"], r["max"], q[0], q[2], r["skewness"], r["kurtosis"])
+            for r in moments if (q := quartiles.get(r["column"])) is not None]
+    names = ["mean", "median", "std", "variance", "min", "max", "q1", "q3", "skewness", "kurtosis"]
+    return df.sparkSession.createDataFrame(rows, "column string, count long, " + ", ".join(f"{n} double" for n in names))
 
 
 def category_distribution(df: DataFrame, columns: list[str]) -> DataFrame:
