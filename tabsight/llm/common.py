@@ -39,3 +39,11 @@ def bounded_sample(rows: DataFrame, n: int, most: int) -> DataFrame:
     if n <= most:
         return rows
     return rows.where(uniform(F.col("_id"), F.col("_text"), F.lit("sample")) < most / n)
+
+
+def fresh(name: str, *frames: DataFrame) -> str:
+    """``name``, with underscores in front until no column of the frames is called so, in any case."""
+    taken = {c.lower() for df in frames for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name

@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.lineage import written
+from .common import fresh
 from .text_arrays import TOKENS, mix, small_batches, windows, word_hashes
 
 MASKS = ((0, 1, 2, 3, 5, 6, 7), (0, 1, 4, 6, 7, 8, 9), (0, 1, 2, 3, 4, 5, 8), (0, 1, 3, 4, 5, 6, 7))
@@ -227,15 +228,17 @@ def _rows(rows: list[tuple], schema: str) -> pa.RecordBatch:
 
 def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **columns) -> DataFrame:
     """The documents that overlap with no test text, with all their columns. Documents with a null id are judged together, like rows with equal ids."""
-    bad = contaminated(docs, benchmark, id_col, text_col, **columns).select(F.col(id_col).alias("_bad")).distinct()
-    return docs.join(bad, F.col(f"`{id_col}`").eqNullSafe(F.col("_bad")), "left_anti")
+    name = fresh("bad", docs)
+    bad = contaminated(docs, benchmark, id_col, text_col, **columns).select(F.col(id_col).alias(name)).distinct()
+    return docs.join(bad, F.col(f"`{id_col}`").eqNullSafe(F.col(name)), "left_anti")
 
 
 def clean_rows(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **columns) -> DataFrame:
     """The rows whose own text overlaps with no test text, with all their columns. Rows are judged by id and hash of the text, so other texts of
     the same id, or of a null one, stay."""
-    bad = _overlays(docs, benchmark, id_col, text_col, **columns).select(F.col("_id").alias("_bad"), F.col("_h").alias("_bad_text")).distinct()
-    return docs.join(bad, F.col(f"`{id_col}`").eqNullSafe(F.col("_bad")) & (F.xxhash64(f"`{text_col}`") == F.col("_bad_text")), "left_anti")
+    name, text = fresh("bad", docs), fresh("bad_text", docs)
+    bad = _overlays(docs, benchmark, id_col, text_col, **columns).select(F.col("_id").alias(name), F.col("_h").alias(text)).distinct()
+    return docs.join(bad, F.col(f"`{id_col}`").eqNullSafe(F.col(name)) & (F.xxhash64(f"`{text_col}`") == F.col(text)), "left_anti")
 
 
 def oracle_sql() -> str:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.lineage import written
-from .common import bounded_sample, held_out, training_rows
+from .common import bounded_sample, fresh, held_out, training_rows
 from .text_arrays import WORDS, mix, small_batches
 
 SLOTS = 1 << 18
@@ -172,12 +172,14 @@ def fit(rows: DataFrame, most: int = SAMPLE_ROWS) -> dict:
     return {"ratio": log_ratio(counts, n), "weights": w[:-1], "constant": float(w[-1]), "curve": np.frombuffer(model["curve"])}
 
 
-def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs`` with all its columns and ``score``, the probability of label 1 from the whole text alone. Null and empty texts have no
-    n-grams and get what the constant gives. A column named score is replaced."""
+def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text", score_col: str = "score") -> DataFrame:
+    """One row per row of ``docs`` with all its columns and ``score_col``, the probability of label 1 from the whole text alone. Null and empty texts have no
+    n-grams and get what the constant gives. A column of that name, in any case, raises ValueError: ``common.fresh`` finds a free one."""
+    if score_col.lower() in {c.lower() for c in docs.columns}:
+        raise ValueError(f"the table has a column {score_col} already")
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast({k: np.asarray(v, dtype=np.float64) for k, v in model.items()})  # two numbers per slot: 4 MB
-    names = [c for c in docs.columns if c != "score"]
+    names = docs.columns
 
     def apply(batches):
         m = shared.value
@@ -188,11 +190,11 @@ def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str =
                 slots = features(data)
                 margin = (weights[slots] @ _scaled(slots, ratio) if len(slots) else 0.0) + m["constant"]
                 out[i] = 1 / (1 + np.exp(-np.clip(curve[0] * margin + curve[1], -40, 40)))
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(out)], [*(f"_{i}" for i in range(len(names))), "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(out)], [*(f"_{i}" for i in range(len(names))), "_score"])
 
     source = docs.select(F.col(text_col).alias("_t"), *[F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(names)])
     schema = ", ".join(f"_{i} {source.schema[f'_{i}'].dataType.simpleString()}" for i in range(len(names)))
-    return source.mapInArrow(apply, f"{schema}, score double").select(*[F.col(f"_{i}").alias(c) for i, c in enumerate(names)], "score")
+    return source.mapInArrow(apply, f"{schema}, _score double").select(*[F.col(f"_{i}").alias(c) for i, c in enumerate(names)], F.col("_score").alias(score_col))
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int = SAMPLE_ROWS) -> dict:
@@ -200,6 +202,12 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int
     return fit(training_rows(docs, labels, label), most)
 
 
+def keep(docs: DataFrame, model: dict, cut: float = CUT, **columns) -> DataFrame:
+    """The rows whose score is ``cut`` or more, with just the columns of ``docs``, whatever they are called."""
+    name = fresh("score", docs)
+    return score(docs, model, score_col=name, **columns).where(F.col(f"`{name}`") >= cut).drop(name)
+
+
 def digest(docs: DataFrame, labels: DataFrame, cut: float = CUT) -> DataFrame:
     """One row per document: doc_id, held_out, score, predicted (1 from ``cut`` on). Empty tables give no rows; equal rows equal scores."""
     scored = score(docs.select("doc_id", "text"), train(docs, labels)).drop("text")

@@ -51,22 +51,25 @@ def judge(captures: DataFrame, events: DataFrame, url_col: str = "url", day_col:
     nothing: not blocked. Without a day, blocked is null. Equal rows stay as many. Empty lists block nothing. All other columns are kept;
     those that clash with the added ones are replaced.
     """
-    own = [c for c in captures.columns if c not in ("host", "blocked", "entry", "category", "n_entries")]
+    own = [c for c in captures.columns if c.lower() not in ("host", "blocked", "entry", "category", "n_entries")]
     asked = captures.select(F.col(url_col).alias("_url"), F.col(day_col).alias("_day")).where("_url is not null and _day is not null").distinct()
     ranges = written(intervals(events), "url-intervals")
-    last = F.lit(asked.agg(F.max("_day")).first()[0]).cast("date")
-    months = F.explode(F.sequence(F.trunc("valid_from", "month"), F.trunc(F.greatest(F.least(F.coalesce(F.date_sub("valid_to", 1), last), last), "valid_from"), "month"),
-                                  F.expr("interval 1 month")))
-    active = ranges.where(F.col("valid_from") <= last).withColumn("_month", months)
+    # Captures meet an interval in the months they were made in: an interval is repeated for months that hold captures, not for every month of the calendar.
+    made = asked.select(F.trunc("_day", "month").alias("_month")).distinct()
+    months = made.agg(F.array_sort(F.collect_set("_month")).alias("_months"))  # one row with a date for each month in use
+    ends = F.coalesce(F.date_sub("valid_to", 1), F.lit("9999-12-31").cast("date"))
+    active = ranges.join(F.broadcast(months)).withColumn("_month", F.explode(F.filter(
+        "_months", lambda m: (m >= F.trunc("valid_from", "month")) & (m <= ends)))).drop("_months")
     keyed = asked.withColumn("_key", F.explode(lookup_keys(host(F.col("_url")), path_segments(F.col("_url"))))).withColumn(
         "_month", F.trunc("_day", "month"))
     met = keyed.join(active, (F.col("_key") == F.col("entry")) & (keyed["_month"] == active["_month"]) & (F.col("_day") >= F.col("valid_from"))
                      & (F.col("valid_to").isNull() | (F.col("_day") < F.col("valid_to"))))
     verdicts = met.groupBy("_url", "_day").agg(F.count("*").alias("n_entries"), F.min(F.struct(
         (-F.length("entry")).alias("l"), "entry", "category")).alias("best"))
-    out = captures.select(*[F.col(f"`{c}`") for c in own], F.col(url_col).alias("_u"), F.col(day_col).alias("_d")).join(
+    held = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(own)]  # names of their own, so that no column clashes
+    out = captures.select(*held, F.col(url_col).alias("_u"), F.col(day_col).alias("_d")).join(
         verdicts, (F.col("_u") == F.col("_url")) & (F.col("_d") == F.col("_day")), "left")
-    return out.select(*[F.col(f"`{c}`") for c in own], host(F.col("_u")).alias("host"),
+    return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(own)], host(F.col("_u")).alias("host"),
                       F.when(F.col("_d").isNotNull(), F.col("best").isNotNull()).alias("blocked"),
                       F.col("best.entry").alias("entry"), F.col("best.category").alias("category"),
                       F.coalesce("n_entries", F.lit(0)).alias("n_entries"))

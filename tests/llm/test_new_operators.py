@@ -11,9 +11,10 @@ from dataclasses import replace
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 
 from tabsight.check import compare, connect
-from tabsight.llm import chat, resampling, vector_codes
+from tabsight.llm import chat, decontamination, jaccard_join, quality, resampling, url_lists, vector_codes
 from tabsight.llm.queries import ORACLES, QUERIES
 from tabsight.options import DEFAULTS
 
@@ -254,3 +255,44 @@ def test_masks_leave_few_candidates():
     all_of = ((x[:, None, :] - entries[None]) ** 2).sum(axis=2)
     assert (entry == all_of.argmin(axis=1)).all() and (best == all_of.min(axis=1)).all()
     assert sum(seen) < 0.4 * all_of.size
+
+
+# clashing names, odd dates
+
+def test_columns_named_like_an_operators_own(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(60)
+    odd = docs.selectExpr("*", "-7 as score", "1 as _score", "2 as bad", "3 as BAD_text", "4 as _bad", "5 as Score_2")
+    model = quality.train(docs, spark.read.parquet(f"{sf}/labels.parquet"))
+    plain = {r["doc_id"] for r in quality.keep(docs, model).collect()}
+    kept = quality.keep(odd, model)
+    assert kept.columns == odd.columns and {r["doc_id"] for r in kept.collect()} == plain and {r["score"] for r in kept.collect()} == {-7}
+    capital = docs.withColumn("Score", F.lit(-7))
+    assert quality.keep(capital, model).columns == capital.columns and quality.keep(capital, model).count() == len(plain)
+    with pytest.raises(ValueError):
+        quality.score(capital, model)
+    bench = spark.read.parquet(f"{sf}/benchmark.parquet")
+    for clean in (decontamination.clean, decontamination.clean_rows):
+        got, want = clean(odd, bench), clean(docs, bench)
+        assert got.columns == odd.columns and got.count() == want.count()
+    captures = spark.createDataFrame([("https://a.b/x", 5), ("https://c.d/", 500)], "url string, n int").selectExpr(
+        "url", "date_add(date'2024-01-01', n) as fetched", "n as _u", "n + 1 as _d", "n as _url", "n as _day", "n as _key", "n as c0", "n as _month", "'x' as Host")
+    events = spark.createDataFrame([("a.b", "spam", True, 1)], "entry string, category string, listed boolean, n int").selectExpr("entry", "category", "listed", "date_add(date'2024-01-01', n) as day")
+    got = url_lists.judge(captures, events).orderBy("_u").collect()
+    assert [(r["_u"], r["_d"], r["_url"], r["_day"], r["c0"], r["blocked"]) for r in got] == [(5, 6, 5, 5, 5, True), (500, 501, 500, 500, 500, False)]
+
+
+def test_a_capture_far_ahead_repeats_no_interval(spark):
+    captures = spark.createDataFrame([("https://a.b/x", "2024-02-01"), ("https://a.b/y", "9999-12-31"), ("https://a.b/z", "0001-01-01")], "url string, d string").selectExpr("url", "cast(d as date) as fetched")
+    events = spark.createDataFrame([("a.b", "spam", True, "2024-01-01")], "entry string, category string, listed boolean, d string").selectExpr("entry", "category", "listed", "cast(d as date) as day")
+    judged = url_lists.judge(captures, events)
+    assert {r["url"][-1]: r["blocked"] for r in judged.collect()} == {"x": True, "y": True, "z": False}
+
+
+def test_kept_rows_are_one_of_each_class(spark):
+    base = " ".join(f"w{i}" for i in range(40))
+    rows = [(4, base), (2, base.upper()), (2, base.upper()), (3, base + " tail"), (None, base), (9, "other text of its own here"), (9, "other text of its own here"), (None, None), (None, None), (5, " "), (5, " "),
+            (None, "no id but words in it"), (None, "no id but words in it")]
+    df = spark.createDataFrame([(*r, "clash", 1) for r in rows], "doc_id long, text string, _h string, n int")
+    got = jaccard_join.keep_one(df)
+    assert got.columns == df.columns
+    assert key(got.select("doc_id", "text").collect()) == key([(2, base.upper()), (9, "other text of its own here"), (None, None), (None, None), (5, " "), (5, " "), (None, "no id but words in it")])
