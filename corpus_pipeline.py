@@ -4,7 +4,7 @@ Each stage works on all rows its predecessor kept; between stages the rows are w
 """
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from tabsight.functions.lineage import written
 from tabsight.llm import decontamination, jaccard_join, mixing, quality, token_files
@@ -16,7 +16,7 @@ VOCABULARY = "byte_bpe_50k.json"
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents the classifier doesn't reject. It learns from the labelled ones among them that aren't held out."""
     model = quality.train(docs, read(spark, sf_dir, "labels"))
-    return quality.score(docs, model).where(F.col("score") >= quality.CUT).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return quality.keep(docs, model)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
