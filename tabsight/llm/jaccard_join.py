@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions.lineage import written
-from .common import uniform
+from .common import SPACES, uniform
 from .text_arrays import WORDS, mix, small_batches, windows, word_hashes
 
 SHINGLE = 5
@@ -151,7 +151,7 @@ def fold_bits(bits: np.ndarray, words: int) -> np.ndarray:
     return bits
 
 
-MEMBERS = "_id long, n_shingles long, a long, b long, bits binary"
+MEMBERS = "_id long, n_shingles long, a long, b long, bits binary, h long"
 
 
 def _members(batches):
@@ -159,8 +159,8 @@ def _members(batches):
         sets = shingle_sets(batch.column(1))
         ids = [set_id(s) for s in sets]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([i[0] for i in ids], pa.int64()),
-                                          pa.array([i[1] for i in ids], pa.int64()), pa.array([parity_bits(s).tobytes() for s in sets], pa.binary())],
-                                         ["_id", "n_shingles", "a", "b", "bits"])
+                                          pa.array([i[1] for i in ids], pa.int64()), pa.array([parity_bits(s).tobytes() for s in sets], pa.binary()), batch.column(2)],
+                                         ["_id", "n_shingles", "a", "b", "bits", "h"])
 
 
 def _frequent_keys(source: DataFrame, n: int, keys_each: int) -> tuple[np.ndarray, np.ndarray]:
@@ -396,10 +396,10 @@ def _labels(spark: SparkSession, lists: DataFrame, links: DataFrame) -> DataFram
 
 
 def members_and_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keys_each: int = KEYS_EACH) -> tuple[DataFrame, DataFrame]:
-    """(members: _id, n_shingles, a, b of each row; labels: node, root of the sets (by a) that were candidates)."""
+    """(members: _id, n_shingles, a, b and the text's hash h of each row; labels: node, root of the sets (by a) that were candidates)."""
     spark = docs.sparkSession
     source = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
-    members = written(source.mapInArrow(_members, MEMBERS), "jaccard-members")
+    members = written(source.withColumn("h", F.xxhash64("_text")).mapInArrow(_members, MEMBERS), "jaccard-members")
     total = members.agg(F.count("*").alias("n"), F.coalesce(F.sum("n_shingles"), F.lit(0)).alias("s")).first()
     if members.groupBy("a").agg((F.min("b") != F.max("b")).alias("x")).where("x").limit(1).count():
         raise ValueError("two different sets have the same 64-bit number; choose another seed in text_arrays")
@@ -521,21 +521,19 @@ def components_and_links(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with all its columns, of each class the row with the smallest id (then the smallest set number). Rows without words are in no class and all stay;
-    a class with null ids only keeps one of them."""
+    """``docs`` with all its columns, of each class the row with the smallest id (then the smallest set number and text hash). Rows without words are in no class and all stay;
+    a class with null ids only keeps one of them.
+
+    The choice is made among ids and hashes; whole rows are shuffled once, to meet the chosen (id, hash of the text), and no set is made again for it.
+    """
     members, labels = members_and_classes(docs, id_col, text_col)
-    first = members.where("n_shingles > 0").groupBy("a").agg(F.min("_id").alias("i")).join(labels.withColumnRenamed("node", "a"), "a", "left").groupBy(
-        F.coalesce("root", "a").alias("root")).agg(F.min(F.struct(F.col("i").isNull().alias("z"), "i", "a")).alias("f")).select("f.i", "f.a")
+    rows = members.where("n_shingles > 0").groupBy("a", F.col("_id").alias("i"), "h").agg(F.count("*").alias("n"))
+    best = F.min(F.struct(F.col("i").isNull().alias("z"), "i", "a", "h", "n")).alias("f")
+    chosen = rows.join(labels, F.col("a") == F.col("node"), "left").groupBy(F.coalesce("root", "a").alias("class")).agg(best).select("f.i", "f.h", "f.n")
     names = docs.columns
-
-    def number(batches):
-        for batch in small_batches(batches, 1):
-            sets = shingle_sets(batch.column(1))
-            yield pa.RecordBatch.from_arrays([pa.array([set_id(s)[0] if len(s) else None for s in sets], pa.int64()), *batch.columns],
-                                             ["_a", "_id", "_text", *(f"_{i}" for i in range(len(names)))])
-
-    source = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"), *[F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(names)])
-    schema = ", ".join(f"{c} {t}" for c, t in source.dtypes)
-    rows = source.mapInArrow(number, f"_a long, {schema}")
-    chosen = rows.where(F.col("_a").isNotNull()).join(first, (F.col("_a") == F.col("a")) & F.col("_id").eqNullSafe(F.col("i")), "left_semi").dropDuplicates(["_a"])
-    return chosen.unionByName(rows.where(F.col("_a").isNull())).select(*[F.col(f"_{i}").alias(c) for i, c in enumerate(names)])
+    source = docs.select(*[F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(names)], F.col(id_col).cast("long").alias("_id"), F.xxhash64(F.col(text_col)).alias("_h"),
+                         F.coalesce(F.col(text_col).rlike(f"[^{SPACES}]"), F.lit(False)).alias("_words"))
+    met = source.where("_words").join(written(chosen, "jaccard-chosen"), F.col("_id").eqNullSafe(F.col("i")) & (F.col("_h") == F.col("h")))
+    kept = met.where("n = 1").unionByName(met.where("n > 1").dropDuplicates(["_id", "_h"]))  # repeated rows are one
+    cells = [F.col(f"_{i}").alias(c) for i, c in enumerate(names)]
+    return kept.select(*cells).unionByName(source.where("not _words").select(*cells))
