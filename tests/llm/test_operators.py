@@ -6,6 +6,7 @@ import random
 import re
 import zlib
 
+import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
@@ -220,6 +221,25 @@ def test_short_notices(spark):
     assert [got[i]["labels"] for i in range(len(texts))] == list(texts.values()) and got[0]["score"] == 1
 
 
+def test_whole_licences_and_sql(spark):
+    """Whole texts, several to a file, cut ones and repeated rare words: as the SQL finds them, which knows no index."""
+    parts = [" ".join(t.words) for t in licences.ALL]
+    texts = [*parts, *(f"{a} x {b} y {c}" for a, b, c in zip(parts, parts[7:] + parts[:7], parts[17:] + parts[:17])), " ".join(reversed(parts)), parts[-6][200:],
+             parts[-6][:300], parts[-6][:len(parts[-6]) // 2], None, "", "merchantability noninfringement sublicense " * 50 + parts[-6], "the software " * 2000]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in licences.scan(df).collect()}
+    for i, t in enumerate(licences.ALL):
+        assert t.label in got[i]["labels"].split(",") and got[i]["score"] == 1, t.label
+        assert all(x.label in got[len(parts) + i]["labels"].split(",") for x in (t, licences.ALL[(i + 7) % len(parts)], licences.ALL[(i + 17) % len(parts)]))
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", list(enumerate(texts)))
+    cur = con.execute(licences.oracle_sql())
+    names = [c[0] for c in cur.description]
+    want = {r["doc_id"]: r for r in (dict(zip(names, row)) for row in cur.fetchall())}
+    assert want == {i: {c: r[c] for c in names} for i, r in got.items()}
+
+
 # 5 and 7
 
 @pytest.mark.parametrize("name,label,least", [("op5_quality_nbsvm", "quality", 0.95), ("op7_toxic_spans", "toxic", 0.9)])
