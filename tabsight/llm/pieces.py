@@ -7,6 +7,7 @@ only at its end. A cut between a character that isn't white space and one that i
 import json
 import re
 from functools import lru_cache
+from itertools import filterfalse
 
 # The characters with Unicode's White_Space property.
 WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -40,6 +41,28 @@ class PieceCache(dict):
             self.update(zip(new, self.make(new), strict=True))
         self.long = [p for p in used if len(p) > LONGEST_KEPT]
 
+    def values(self, texts: list[list[str]]) -> list[list]:
+        """The results of each text's pieces. What is missing is made for all texts together."""
+        for p in self.long:
+            self.pop(p, None)
+        if len(self) > CACHE_PIECES // 2:
+            self.older = dict(self)
+            self.clear()
+        missing = set()
+        for pieces in texts:
+            missing.update(filterfalse(self.__contains__, pieces))
+        older, new = self.older.get, []
+        for p in missing:
+            value = older(p)
+            if value is None:
+                new.append(p)
+            else:
+                self[p] = value
+        if new:
+            self.update(zip(new, self.make(new), strict=True))
+        self.long = [p for p in missing if len(p) > LONGEST_KEPT]
+        return [list(map(self.__getitem__, pieces)) for pieces in texts]
+
 
 def in_groups(texts: list[str | None], chars: int = 2_000_000):
     """Lists of the texts' pieces, some texts at a time; null has none."""

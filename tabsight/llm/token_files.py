@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from ..functions.lineage import scratch_path, written
 from .pieces import WHITE, PieceCache, in_groups, load_json
 
+TOGETHER = 2_000  # pieces that go through the library as one text
 FRAME_IDS = 65_536  # a frame is closed once it holds so many ids; a document is never split
 # Fixed values of the seekable format.
 SKIPPABLE, SEEK_FRAME, SEEK_END, CHECKSUMS = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1, 0x80
@@ -50,7 +51,7 @@ class PieceEncoder:
         out = {p: np.array(ids, dtype="<u4").tobytes() for p, ids in zip(alone, self.encode(alone))}
         for at in range(0, len(joined), 20_000):
             some = joined[at:at + 20_000]
-            ids = np.array(list(chain.from_iterable(self.encode(["".join(some[i:i + 200]) for i in range(0, len(some), 200)]))), dtype="<u4")
+            ids = np.array(list(chain.from_iterable(self.encode(["".join(some[i:i + TOGETHER]) for i in range(0, len(some), TOGETHER)]))), dtype="<u4")
             ends = np.cumsum(np.fromiter((len(p.encode()) for p in some), np.int64, len(some)))
             ends = (4 * (np.searchsorted(np.cumsum(self.sizes[ids]), ends) + 1)).tolist()
             raw = ids.tobytes()
@@ -70,9 +71,8 @@ def encode_texts(texts: list[str | None], path: str):
     """The ids of each text as bytes, in order; null and empty texts have none."""
     cache = _cache(path)
     for group in in_groups(texts):
-        cache.fill(group)
-        for pieces in group:
-            yield b"".join(map(cache.__getitem__, pieces))
+        for values in cache.values(group):
+            yield b"".join(values)
 
 
 def _filesystem(path: str):
