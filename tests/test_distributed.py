@@ -343,3 +343,29 @@ def test_sample_is_stable_and_exact_in_size(spark):
     a = {r[0] for r in sample_rows(df, ["id"], 300).collect()}
     b = {r[0] for r in sample_rows(df.repartition(7), ["id"], 300).collect()}
     assert len(a) == 300 and a == b
+
+
+@pytest.mark.parametrize("few", [0, 100_000])
+def test_text_measures_read_each_value_once_for_all_its_rows(spark, monkeypatch, few):
+    """A column of few values is counted by value first; both ways agree with the measures row by row and with the number of values."""
+    import datetime
+    from tabsight.operators import profile as P
+    from tabsight.options import DEFAULTS as opts
+    rows = [("2024-01-02", "7", "$5", datetime.datetime(2024, 1, 2))] * 60 + [("a-b@c.example", None, "x", None)] * 30 + [(None, " 12 ", "", None), ("03/04/2024", "1e3", "n", None)] * 5
+    df = spark.createDataFrame(rows, "a string, b string, c string, d timestamp_ntz")
+    monkeypatch.setattr(P, "FEW_TEXTS", few)
+    got = P._text_measures(df, distinct.sketch(df))
+    by = {r["column"]: r.asDict() for r in P.parseability(df).join(P.format_hints(df), "column").collect()}
+    for c in df.columns:
+        assert {**got[c], "column": c} == ({**by[c], "distinct": len({r[df.columns.index(c)] for r in rows} - {None})} if few else by[c])
+
+
+def test_pairs_with_columns_known_to_hold_no_null(spark):
+    g = np.random.default_rng(5)
+    pdf = pd.DataFrame(g.normal(size=(200, 3)), columns=list("abc")).assign(d=lambda x: x["a"] + x["b"])
+    pdf.loc[::7, "c"] = None
+    df = spark.createDataFrame(pdf.astype(object).where(pdf.notna(), None), "a double, b double, c double, d double")
+    got = {(r["col1"], r["col2"]): r["r"] for r in pair_correlations(df, full={"a", "b", "d"}).collect()}
+    want = pdf.corr()
+    for (x, y), r in got.items():
+        assert abs(r - want.loc[x, y]) < 1e-12
