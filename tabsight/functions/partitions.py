@@ -16,14 +16,19 @@ def spread(scan: DataFrame) -> DataFrame:
     return scan.repartition(slots) if scan.rdd.getNumPartitions() < slots else scan
 
 
+def more_than_scan(df: DataFrame) -> bool:
+    """Whether making the rows takes more than reading files or a kept table."""
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    return bool(re.search(r"\b(Join|Aggregate|Window|Repartition|Generate|Sort)\b", plan)) and "InMemoryRelation" not in plan
+
+
 @contextmanager
 def held(df: DataFrame):
     """Keeps the input of a several-pass search while it runs, if making it takes more than a scan.
 
     A plain scan with pruned columns is read again instead, which at size is cheaper than a copy of it.
     """
-    plan = df._jdf.queryExecution().optimizedPlan().toString()
-    worth = re.search(r"\b(Join|Aggregate|Window|Repartition|Generate|Sort)\b", plan) and "InMemoryRelation" not in plan
+    worth = more_than_scan(df)
     if worth:
         df.persist(StorageLevel.MEMORY_AND_DISK)
     try:

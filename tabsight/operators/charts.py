@@ -2,6 +2,7 @@
 
 from pyspark.sql import DataFrame, functions as F
 
+from ..functions.lineage import made_once
 from ..functions.numbers import numeric_columns
 from ..functions.quantiles import exact_quantiles
 from ..functions.text import quoted
@@ -37,7 +38,7 @@ def chart_query(df: DataFrame, chart: str, x: str, y: str | None = None, group_b
     rows = df.where(quoted(x).isNotNull()).groupBy(quoted(x).cast("string").alias("label"))
     if agg == "median":
         # A label of any size is safe: exact_quantiles searches big groups by histograms.
-        long = df.select(quoted(x).cast("string").alias("label"), quoted(y).cast("double").alias("v")).dropna()
+        long = made_once(df.select(quoted(x).cast("string").alias("label"), quoted(y).cast("double").alias("v")).dropna(), "labels")
         out = exact_quantiles(long, ["label"], "v", [0.5], opts).select("label", F.col("q")[0].alias("value"))
     else:
         made = {"mean": F.avg, "count": F.count}.get(agg, F.sum)(quoted(y))

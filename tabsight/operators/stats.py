@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from ..functions.lineage import cut
+from ..functions.lineage import cut, made_once
 from ..functions.numbers import kurtosis_agg, numeric_columns, pct, skewness_agg
 from ..functions.partitions import held
 from ..functions.quantiles import column_quantiles, exact_quantiles
@@ -56,7 +56,7 @@ def standardize(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
 def box_stats(df: DataFrame, column: str, group: str | None = None, opts: Options = DEFAULTS) -> DataFrame:
     """Quartiles and whiskers, for the column or per label, however many there are."""
     label = quoted(group).cast("string") if group else F.lit("all")
-    long = df.select(label.alias("label"), quoted(column).cast("double").alias("value")).dropna()
+    long = made_once(df.select(label.alias("label"), quoted(column).cast("double").alias("value")).dropna(), "box")
     q = exact_quantiles(long, ["label"], "value", [0.25, 0.5, 0.75], opts)
     spread = F.col("q")[2] - F.col("q")[0]
     fences = q.select("label", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"),
@@ -144,7 +144,8 @@ def lead_time(df: DataFrame, column: str, opts: Options = DEFAULTS) -> DataFrame
 
 def lead_time_by(df: DataFrame, column: str, dims: list[str], n: int = 5, opts: Options = DEFAULTS) -> DataFrame:
     """Mean, median and count per label of every dimension of two labels and more; the slowest and fastest n labels."""
-    cells = text_cells(df, dims, [column], keep_null=False).where(quoted(column).isNotNull()).withColumnsRenamed(
+    narrow = made_once(df.select(*[quoted(c) for c in dict.fromkeys([column, *dims])]), "lead-times")
+    cells = text_cells(narrow, dims, [column], keep_null=False).where(quoted(column).isNotNull()).withColumnsRenamed(
         {"column": "dimension", column: "_days"})
     groups = cells.groupBy("dimension", "value").agg(F.avg("_days").alias("mean_days"), F.count("*").alias("orders"))
     sizes = groups.groupBy("dimension").agg(F.count("*").alias("labels")).where("labels > 1")

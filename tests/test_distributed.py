@@ -369,3 +369,27 @@ def test_pairs_with_columns_known_to_hold_no_null(spark):
     want = pdf.corr()
     for (x, y), r in got.items():
         assert abs(r - want.loc[x, y]) < 1e-12
+
+
+@pytest.mark.parametrize("way", ["box", "median", "lead"])
+def test_grouped_quantiles_make_joined_rows_once(spark, way):
+    from tabsight.operators.charts import chart_query
+    from tabsight.operators.stats import box_stats, lead_time_by
+    made = spark.sparkContext.accumulator(0)
+    pdf = frame()
+
+    def seen(batches):
+        for b in batches:
+            made.add(b.num_rows)
+            yield b
+
+    df = spark.createDataFrame(pdf[["id", "a"]]).mapInArrow(seen, "id long, a double").join(spark.createDataFrame(pdf[["id", "k"]]), "id")
+    want = pdf.groupby("k")["a"].median().to_dict()
+    if way == "box":
+        got = {r["label"]: r["median"] for r in box_stats(df, "a", "k", SMALL).collect()}
+    elif way == "median":
+        got = {r["label"]: r["value"] for r in chart_query(df, "line", "k", "a", agg="median", opts=SMALL).collect()}
+    else:
+        got = {r["value"]: r["median_days"] for r in lead_time_by(df, "a", ["k"], opts=SMALL).collect()}
+    assert made.value == len(pdf)
+    assert got == pytest.approx(want)
