@@ -393,3 +393,17 @@ def test_grouped_quantiles_make_joined_rows_once(spark, way):
         got = {r["value"]: r["median_days"] for r in lead_time_by(df, "a", ["k"], opts=SMALL).collect()}
     assert made.value == len(pdf)
     assert got == pytest.approx(want)
+
+
+def test_distinct_rows_are_dealt_by_size(spark, tmp_path, monkeypatch):
+    """A table larger than the session's partitions are meant for gets more tasks; null, the two zeros and NaN are equal to themselves only."""
+    from tabsight.functions import partitions
+    from tabsight.operators.dedup import distinct_rows
+    rows = [(None, 0.0, "a"), (None, -0.0, "a"), (1, float("nan"), None), (1, float("nan"), None), (None, None, "a"), (1, None, None)] + [(i, 1.5, "x") for i in range(200)] * 3
+    spark.createDataFrame(rows, "`_row_hash` long, b double, c string").write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    plain = sorted(map(str, distinct_rows(df).collect()))
+    monkeypatch.setattr(partitions, "PART_BYTES", 50)
+    dealt = distinct_rows(df)
+    assert dealt.rdd.getNumPartitions() == partitions.parts_for(df) > 8
+    assert dealt.columns == df.columns and sorted(map(str, dealt.collect())) == plain and len(plain) == 204
