@@ -407,3 +407,26 @@ def test_distinct_rows_are_dealt_by_size(spark, tmp_path, monkeypatch):
     dealt = distinct_rows(df)
     assert dealt.rdd.getNumPartitions() == partitions.parts_for(df) > 8
     assert dealt.columns == df.columns and sorted(map(str, dealt.collect())) == plain and len(plain) == 204
+
+
+@pytest.mark.parametrize("odd", [False, True])
+def test_profile_takes_moments_and_pairs_from_one_scan(spark, monkeypatch, odd):
+    """Shapes and correlations equal Spark's aggregates, with nulls and constants; only NaN or infinity make the profile use those aggregates."""
+    from tabsight.operators import profile as P
+    rng = np.random.default_rng(5)
+    a = rng.gamma(2.0, 3.0, 400) + 1e6
+    rows = [(float(x), None if i % 7 == 0 else float(2 * x + rng.normal()), 3.25, int(i % 11), None, float("nan") if odd and i == 9 else float(i * i))
+            for i, x in enumerate(a)]
+    df = spark.createDataFrame(rows, "a double, b double, same double, n int, nothing double, q double").repartition(5)
+    shapes = {r["column"]: r for r in P.distribution_shape(df).collect()}
+    pairs = {(r["col1"], r["col2"]): r["r"] for r in P.raw_correlations(df).collect()}
+    used = []
+    monkeypatch.setattr(P, "skewness_agg", lambda c, f=P.skewness_agg: used.append(c) or f(c))
+    got = {r["column"]: r for r in P.full_profile(df, "t").collect()}
+    assert bool(used) == odd
+    for c, r in shapes.items():
+        assert (got[c]["distribution_type"], got[c]["is_normal"]) == (r["distribution_type"], r["is_normal"])
+    for c in df.columns:
+        own = [abs(r) for p, r in pairs.items() if c in p]
+        assert got[c]["partners"] == len(own)
+        assert got[c]["max_abs_r"] == pytest.approx(max([0.0, *own]), abs=1e-4, nan_ok=True)
