@@ -1,8 +1,8 @@
 """Exact top-k inner products by aggregation without random access.
 
-Vectors lie in blocks, whose every component has a sorted list. A query reads the lists from their better end, some entries at a time. What it
-has read of a vector bounds its score from below (unread components at their list's worst) and above (at the list's next value). Vectors whose
-upper bound is under the k-th lower bound leave; when about k are left, no outsider can qualify and the scores of the rest are made whole.
+Vectors lie in blocks, whose every component has a sorted list. A query reads the lists from their better end, some entries at a time, and all queries of a
+block read to the same depth. What it has read of a vector bounds its score from below (unread components at their list's worst) and above (at the list's next value). Vectors whose
+upper bound is under the k-th lower bound leave; when about k are left, or the lists are read to their end, no outsider can qualify and the scores of the rest are made whole.
 Blocks of queries meet blocks of vectors, so that each task holds one of either, and each task passes on k rows of a query.
 """
 
@@ -12,44 +12,54 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.lineage import written
 
-BLOCK_VECTORS, BLOCK_QUERIES, FIRST_READ = 4096, 512, 64
+BLOCK_VECTORS, BLOCK_QUERIES = 4096, 512
+FIRST_READ, DEEPER = 64, 8  # entries of each list that are read first; how many times as many next
 MOST_PARTITIONS = 20_000
 BLOCK = "ids binary, cells binary, n int, d int"
+NOTHING = (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
 class SortedLists:
-    """A block's lists: for each component the vectors in ascending order of its value."""
+    """A block's lists: for each component its values in ascending order. Reading a list down to an entry gives the vectors at or beyond that value."""
 
     def __init__(self, ids: np.ndarray, cells: np.ndarray):
         self.ids, self.cells = ids, cells
-        self.order = np.argsort(cells.T, axis=1, kind="stable")
-        self.values = np.take_along_axis(cells.T, self.order, axis=1).astype(np.float64)
+        self.plain = cells.astype(np.float64)
+        self.values = np.sort(cells.T, axis=1).astype(np.float64)
 
     def top(self, query_id: int, query: np.ndarray, k: int, floor: float) -> tuple[np.ndarray, np.ndarray]:
         """(ids, scores) that hold the block's k best that reach ``floor``; a few more may be among them."""
-        n = len(self.ids)
-        lists = np.flatnonzero(query)
-        weight = query[lists].astype(np.float64)
-        order, values, better = self.order[lists], self.values[lists], (weight > 0)[:, None]
-        row = np.arange(len(lists))[:, None]
-        worst = np.minimum(values[:, 0] * weight, values[:, -1] * weight)
-        slack = 2.0 ** -40 * (np.abs(values[:, [0, -1]]).max(axis=1) * np.abs(weight)).sum() if len(lists) else 0.0
-        read, seen = np.zeros(n), np.zeros((n, len(lists)), dtype=bool)
-        live = np.flatnonzero(self.ids != query_id)
-        at, step = 0, FIRST_READ
-        while at < n and len(live) > 2 * k and len(lists):
-            stop = min(n, at + step)
-            place = np.where(better, n - 1 - np.arange(at, stop), np.arange(at, stop))
-            vectors = order[row, place]
-            read += np.bincount(vectors.ravel(), (values[row, place] * weight[:, None]).ravel(), minlength=n)
-            seen[vectors, np.broadcast_to(row, vectors.shape)] = True
-            edge = np.where(better[:, 0], values[:, n - stop], values[:, stop - 1]) * weight  # the last value read bounds the next
-            unread = (~seen[live]).astype(np.float64)
-            lower, upper = read[live] + unread @ worst, read[live] + unread @ edge
-            bar = max(floor, np.partition(lower, len(lower) - k)[len(lower) - k]) - slack
-            live = live[upper + slack >= bar]
-            at, step = stop, step * 2
-        return self.ids[live], self.exact(live, query)
+        return self.tops(np.array([query_id]), query[None, :], k, np.array([floor]))[0]
+
+    def tops(self, query_ids: np.ndarray, queries: np.ndarray, k: int, floors: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """``top`` of each query. All queries read to the same depth, so their bounds are products of matrices."""
+        n, weight = len(self.ids), queries.astype(np.float64)
+        up, down = np.maximum(weight, 0.0), np.minimum(weight, 0.0)  # lists read from their upper, from their lower end
+        least, most = self.values[:, 0], self.values[:, -1]
+        slack = 2.0 ** -40 * (np.abs(weight) @ np.maximum(np.abs(least), np.abs(most)))
+        live = self.ids[None, :] != query_ids[:, None]
+        reading, at = np.flatnonzero(live.sum(axis=1) > 2 * k), FIRST_READ
+        while at < n and len(reading):
+            high, low = self.values[:, n - at], self.values[:, at - 1]  # the last values read bound the next
+            lower = up[reading] @ np.where(self.plain >= high, self.plain, least).T + down[reading] @ np.where(self.plain <= low, self.plain, most).T
+            upper = up[reading] @ np.maximum(self.plain, high).T + down[reading] @ np.minimum(self.plain, low).T
+            lower[~live[reading]] = -np.inf
+            bar = np.maximum(floors[reading], np.partition(lower, n - k, axis=1)[:, n - k]) - slack[reading]
+            live[reading] &= upper + slack[reading, None] >= bar[:, None]
+            reading = reading[live[reading].sum(axis=1) > 2 * k]
+            at *= DEEPER
+        whole = {}
+        if len(reading) and float(np.abs(self.plain).max()) * float(np.abs(weight).sum(axis=1).max()) < 2.0 ** 53:  # then sums of doubles are exact
+            whole = dict(zip(reading.tolist(), (weight[reading] @ self.plain.T).astype(np.int64)))
+        out = []
+        for i, query in enumerate(queries):
+            left = np.flatnonzero(live[i])
+            scores = whole[i][left] if i in whole else self.exact(left, query)
+            if len(left) > 2 * k:
+                keep = scores >= np.partition(scores, len(left) - k)[len(left) - k]
+                left, scores = left[keep], scores[keep]
+            out.append((self.ids[left], scores))
+        return out
 
     def exact(self, live: np.ndarray, query: np.ndarray) -> np.ndarray:
         cells = self.cells[live]
@@ -131,11 +141,11 @@ def top_k(table: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id
                     held = (row["ids"], width)
                     lists = SortedLists(np.frombuffer(row["ids"], dtype=np.int64), _cells(row["cells"], row["n"], row["d"], width))
                 cells = _cells(row["q_cells"], row["q_n"], row["q_d"], width)
-                for query_id, query in zip(np.frombuffer(row["q_ids"], dtype=np.int64).tolist(), cells):
-                    key = (query_id, np.trim_zeros(query, "b").tobytes())
-                    ids, scores = best.get(key, (np.zeros(0, np.int64), np.zeros(0, np.int64)))
-                    floor = float(scores[-1]) if len(scores) == k else -np.inf
-                    more = lists.top(query_id, query, k, floor)
+                query_ids = np.frombuffer(row["q_ids"], dtype=np.int64)
+                keys = [(i, np.trim_zeros(query, "b").tobytes()) for i, query in zip(query_ids.tolist(), cells)]
+                had = [best.get(key, NOTHING) for key in keys]
+                floors = np.array([float(scores[-1]) if len(scores) == k else -np.inf for _, scores in had])
+                for key, (ids, scores), more in zip(keys, had, lists.tops(query_ids, cells, k, floors)):
                     best[key] = _best(np.concatenate((ids, more[0])), np.concatenate((scores, more[1])), k)
                 if len(best) > 64 * BLOCK_QUERIES:  # rows of queries done so far go on; the last ranking sorts them out
                     yield from _answers(best)

@@ -489,6 +489,21 @@ def test_topk_stops_early():
     assert len(ids) < 40 and set(np.argsort(-(cells @ np.full(8, 3)), kind="stable")[:10]) <= set(ids)
 
 
+def test_topk_reads_for_all_queries_of_a_block():
+    rng = np.random.default_rng(2)
+    cells = rng.integers(-1000, 1000, (3000, 16))
+    cells[1000:1200] = cells[7]  # ties beyond k
+    queries = np.concatenate((rng.integers(-1000, 1000, (60, 16)), np.zeros((1, 16), np.int64), rng.integers(-2**61, 2**61, (2, 16)), cells[7:8]))
+    query_ids = np.arange(len(queries)) * 40
+    floors = np.full(len(queries), -np.inf)
+    floors[3] = np.sort(cells @ queries[3])[-4]
+    lists = topk.SortedLists(np.arange(3000), cells)
+    for i, (ids, scores) in enumerate(lists.tops(query_ids, queries, 10, floors)):
+        real = {j: max(-2**63, min(2**63 - 1, int(s))) for j, s in enumerate(cells.astype(object) @ queries[i].astype(object)) if j != query_ids[i]}
+        want = sorted(real, key=lambda j: (-real[j], j))[:4 if i == 3 else 10]
+        assert set(want) <= set(ids.tolist()) and all(real[j] == s for j, s in zip(ids.tolist(), scores.tolist()))
+
+
 # shared
 
 def test_word_hashes(spark):
