@@ -383,6 +383,32 @@ def test_every_link_is_made(spark, monkeypatch, block):
         assert sum(copies[r["a"]] * copies[r["b"]] for r in made) + sum(n * (n - 1) // 2 for n in copies.values()) == len(pairs)
 
 
+def test_closest_members_of_lists():
+    """Lists as flat arrays against brute force: bits of two sizes, classes, refused pairs, and word of what is left out."""
+    import pyarrow as pa
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 2**63, 120).astype(np.uint64)
+    sets = [np.unique(np.concatenate((base[i:], rng.integers(0, 2**63, i).astype(np.uint64)))) for i in (0, 2, 4, 6, 90)] + [np.unique(np.concatenate((base, base[:9] + np.uint64(1))))]
+    members = [{"node": 10 - i, "root": 1 if i in (0, 1) else 50 + i, "n": len(s), "bits": jaccard_join.parity_bits(s).tobytes(), "refused": [8] if i == 0 else []} for i, s in enumerate(sets)]
+    kind = pa.list_(pa.struct([("node", pa.int64()), ("root", pa.int64()), ("n", pa.int64()), ("bits", pa.binary()), ("refused", pa.list_(pa.int64()))]))
+    lists = [s for s in jaccard_join._sides(pa.array([members[:1], None, members], kind))]
+    assert lists[1] is None and lists[0].node.tolist() == [10] and len({len(m["bits"]) for m in members}) == 2
+    apart = {}
+    for x, y in itertools.permutations(members, 2):
+        bits = [np.frombuffer(m["bits"], "<u8") for m in (x, y)]
+        k = min(map(len, bits))
+        d = int(np.bitwise_count(jaccard_join.fold_bits(bits[0], k) ^ jaccard_join.fold_bits(bits[1], k)).sum())
+        if x["root"] != y["root"] and y["node"] not in x["refused"] and 100 * min(x["n"], y["n"]) >= 80 * max(x["n"], y["n"]) and d <= jaccard_join.most_differences(x["n"], y["n"]):
+            apart.setdefault(x["node"], []).append((d, *sorted((x["node"], y["node"]))))
+    assert max(map(len, apart.values())) > 2
+    for tries in (1, 2, 9):
+        a, b, d, more = jaccard_join._closest(lists[2], None, tries)
+        assert more == any(len(v) > tries for v in apart.values())
+        got = set(zip(d.tolist(), a.tolist(), b.tolist()))
+        assert got <= {p for v in apart.values() for p in v} and {min(v)[0] for v in apart.values()} <= {p[0] for p in got}
+        assert tries < 9 or got == {p for v in apart.values() for p in v}
+
+
 def test_components_edges(odd, none):
     rows = [(r["doc_id"], r["text"]) for r in odd.collect()]
     assert key(jaccard_join.components(odd).collect()) == key(brute_components(rows))
