@@ -10,7 +10,8 @@ on to other segments, the last ones with neighbourhoods. Sets that can't gather
 in an index of their own that ignores costs. The sample only steers the work; no pair is lost whatever it says.
 
 Sets with a common content form a list. Links that don't change the classes needn't be verified: in each round every list proposes pairs between different classes only,
-first of all members with one hub, then between what is left, filtered by parity bits that bound the difference of two sets from below. Pairs are verified on the whole sets.
+first of all members with one hub, then between what is left, filtered by parity bits that bound the difference of two sets from below. A list of which no pair was left out isn't looked at
+again. Pairs are verified on the whole sets.
 
 The join itself comes last: two linked sets are in one class, so within each class all sets are compared with all, block by block on the whole sets.
 """
