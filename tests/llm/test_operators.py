@@ -383,6 +383,36 @@ def test_every_link_is_made(spark, monkeypatch, block):
         assert sum(copies[r["a"]] * copies[r["b"]] for r in made) + sum(n * (n - 1) // 2 for n in copies.values()) == len(pairs)
 
 
+def test_open_lists_are_made_once(spark, monkeypatch):
+    """What is left of the lists is a table of its own in every round; joined anew, each round would make all rows of the rounds before again."""
+    joined, propose = [], jaccard_join._proposals
+
+    def watched(lists, nodes, tries):
+        joined.append("Join" in lists._jdf.queryExecution().optimizedPlan().toString())
+        return propose(lists, nodes, tries)
+
+    monkeypatch.setattr(jaccard_join, "_proposals", watched)
+    monkeypatch.setattr(jaccard_join, "SHORT_LIST", 4)
+    rows = near_copies()[:80]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert key(jaccard_join.components(df).collect()) == key(brute_components(rows))
+    assert len(joined) > 1 and not any(joined[1:])
+
+
+def test_members_outside_the_largest_class_look_for_partners():
+    """Every pair of two classes has an end outside the largest; refused partners stay with their member."""
+    import pyarrow as pa
+    bits = jaccard_join.parity_bits(np.arange(1, 100, dtype=np.uint64)).tobytes()
+    members = [{"node": i, "root": r, "n": 99, "bits": bits, "refused": no} for i, r, no in ((1, 1, [3]), (2, 2, []), (3, 1, [9]), (4, 1, None), (5, 5, [1, 2]))]
+    kind = pa.list_(pa.struct([("node", pa.int64()), ("root", pa.int64()), ("n", pa.int64()), ("bits", pa.binary()), ("refused", pa.list_(pa.int64()))]))
+    _, side, single = jaccard_join._sides(pa.array([members[2:], members, members[:2]], kind))
+    out = side.outside()
+    assert out.node.tolist() == [2, 5] and out.refused.tolist() == [1, 2] and out.refused_bounds.tolist() == [0, 0, 2]
+    a, b, _, more = jaccard_join._closest(out, side, 9)
+    assert set(zip(a.tolist(), b.tolist())) == {(1, 2), (2, 3), (2, 4), (2, 5), (3, 5), (4, 5)} and not more
+    assert single.outside() is single
+
+
 def test_closest_members_of_lists():
     """Lists as flat arrays against brute force: bits of two sizes, classes, refused pairs, and word of what is left out."""
     import pyarrow as pa
