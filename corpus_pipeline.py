@@ -11,6 +11,7 @@ from tabsight.llm import decontamination, jaccard_join, mixing, quality, token_f
 from tabsight.llm.common import read
 
 VOCABULARY = "byte_bpe_50k.json"
+CACHED = 250_000  # pieces a worker keeps in the last stage: it still has the memory of the stages before
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,7 +37,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token files of all copies, read back: one row per copy."""
-    return token_files.token_digest(docs, public_tokenizers.path(VOCABULARY)).drop("file")
+    return token_files.token_digest(docs, public_tokenizers.path(VOCABULARY), cached=CACHED).drop("file")
 
 
 STAGES = [

@@ -6,6 +6,7 @@ only at its end. A cut between a character that isn't white space and one that i
 
 import json
 import re
+from collections.abc import Iterable
 from functools import lru_cache
 from itertools import filterfalse
 
@@ -19,18 +20,18 @@ LONGEST_KEPT = 256
 class PieceCache(dict):
     """Results by piece, in two generations: when the younger is full, the older is dropped, and what is used again comes back from it.
 
-    Long pieces are forgotten after each group of texts, so its memory is bounded.
+    It keeps about ``most`` pieces; fewer take less memory and are made again more often. Long pieces are forgotten after each group of texts, so its memory is bounded.
     """
 
-    def __init__(self, make):
+    def __init__(self, make, most: int = CACHE_PIECES):
         super().__init__()
-        self.make, self.older, self.long = make, {}, []
+        self.make, self.most, self.older, self.long = make, most, {}, []
 
     def fill(self, texts: list[list[str]]) -> None:
         for p in self.long:
             self.pop(p, None)
         used = set().union(*texts)
-        if len(self) > CACHE_PIECES // 2:
+        if len(self) > self.most // 2:
             self.older = dict(self)
             self.clear()
         new = used.difference(self)
@@ -45,7 +46,7 @@ class PieceCache(dict):
         """The results of each text's pieces. What is missing is made for all texts together."""
         for p in self.long:
             self.pop(p, None)
-        if len(self) > CACHE_PIECES // 2:
+        if len(self) > self.most // 2:
             self.older = dict(self)
             self.clear()
         missing = set()
@@ -64,7 +65,7 @@ class PieceCache(dict):
         return [list(map(self.__getitem__, pieces)) for pieces in texts]
 
 
-def in_groups(texts: list[str | None], chars: int = 2_000_000):
+def in_groups(texts: Iterable[str | None], chars: int = 2_000_000):
     """Lists of the texts' pieces, some texts at a time; null has none."""
     group, size = [], 0
     for text in texts:

@@ -10,6 +10,7 @@ import re
 import struct
 import uuid
 
+from collections.abc import Iterable
 from functools import lru_cache
 from itertools import chain
 
@@ -19,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.lineage import scratch_path, written
-from .pieces import WHITE, PieceCache, in_groups, load_json
+from .pieces import CACHE_PIECES, WHITE, PieceCache, in_groups, load_json
 
 TOGETHER = 2_000  # pieces that go through the library as one text
 FRAME_IDS = 65_536  # a frame is closed once it holds so many ids; a document is never split
@@ -63,13 +64,13 @@ WHITE_SET = frozenset(c for c in map(chr, range(0x3001)) if re.match(f"[{WHITE}]
 
 
 @lru_cache(maxsize=2)
-def _cache(path: str) -> PieceCache:
-    return PieceCache(PieceEncoder(path))
+def _cache(path: str, most: int) -> PieceCache:
+    return PieceCache(PieceEncoder(path), most)
 
 
-def encode_texts(texts: list[str | None], path: str):
-    """The ids of each text as bytes, in order; null and empty texts have none."""
-    cache = _cache(path)
+def encode_texts(texts: Iterable[str | None], path: str, cached: int = CACHE_PIECES):
+    """The ids of each text as bytes, in order; null and empty texts have none. The process keeps the ids of about ``cached`` pieces."""
+    cache = _cache(path, cached)
     for group in in_groups(texts):
         for values in cache.values(group):
             yield b"".join(values)
@@ -169,13 +170,13 @@ def read_file(path: str, wanted=None):
 
 
 def write_token_files(docs: DataFrame, vocabulary: str, folder: str | None = None, end_id: int = 0, id_col: str = "doc_id",
-                      text_col: str = "text") -> DataFrame:
+                      text_col: str = "text", cached: int = CACHE_PIECES) -> DataFrame:
     """Encodes every whole text, appends ``end_id``, writes files in ascending id order (null first) and returns their list:
     file, position, n_docs, n_ids, start (ids in all files before it).
 
     Ids must be integers. Null and empty texts are one end id. Rows with equal ids lie in the order of their texts' hashes, equal rows
     next to each other. An empty table makes no files. Documents are dealt into ranges of (id, hash of text), so an id that a third of the rows share is split;
-    a task holds one frame. ``folder`` is a shared folder (default: a new one in spark.checkpoint.dir). Other columns are not read.
+    a task holds one frame, and its worker the ids of about ``cached`` pieces. ``folder`` is a shared folder (default: a new one in spark.checkpoint.dir). Other columns are not read.
     """
     spark = docs.sparkSession
     folder = folder or scratch_path(spark, "tokens")
@@ -192,9 +193,10 @@ def write_token_files(docs: DataFrame, vocabulary: str, folder: str | None = Non
         for batch in batches:
             if batch.num_rows and writer is None:
                 writer = FrameWriter(name)
-            ids = batch.column(0).to_pylist()
-            for doc_id, own in zip(ids, encode_texts(batch.column(2).to_pylist(), vocabulary), strict=True):
+            ids, texts = batch.column(0).to_pylist(), (t.as_py() for t in batch.column(2))  # texts become Python objects a group at a time
+            for doc_id, own in zip(ids, encode_texts(texts, vocabulary, cached), strict=True):
                 writer.add(doc_id, own + end)
+            pa.default_memory_pool().release_unused()  # what this and earlier stages left in the worker
         if writer is not None:
             writer.close()
             yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([at], pa.int64()), pa.array([len(writer.docs)], pa.int64()),

@@ -567,3 +567,14 @@ def test_word_hashes(spark):
     texts = [None, "", " a  B\tb ", "x" * 3_000_000 + " y", "é É", "  "]
     h, counts = text_arrays.word_hashes(pa.array(texts))
     assert counts.tolist() == [0, 0, 3, 2, 2, 0] and h[1] == h[2] and h[5] != h[6] and len(set(h.tolist())) == 6
+
+
+def test_few_kept_pieces_give_the_same_ids(tokenizer):
+    rng = random.Random(8)
+    texts = [None, ""] + [" ".join(str(rng.randint(0, 300)) for _ in range(60)) for _ in range(40)]
+    want = [np.array(tokenizer.encode(t or "", add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert [x for t in texts for x in token_files.encode_texts(iter([t]), VOCABULARY, 20)] == want
+    cache = pieces.PieceCache(lambda new: new, 20)
+    for i in range(0, 200, 4):
+        assert cache.values([[str(j) for j in range(i, i + 4)]]) == [[str(j) for j in range(i, i + 4)]]
+        assert len(cache) + len(cache.older) <= 28
