@@ -409,6 +409,25 @@ def test_distinct_rows_are_dealt_by_size(spark, tmp_path, monkeypatch):
     assert dealt.columns == df.columns and sorted(map(str, dealt.collect())) == plain and len(plain) == 204
 
 
+def test_rows_are_dealt_by_known_sizes_not_by_guesses(spark, monkeypatch):
+    """A checkpoint counts by its files and a table not kept yet by what it is made of; the optimizer's guess for a join is the product of its sides."""
+    from tabsight.functions import partitions
+    from tabsight.functions.lineage import cut
+    from tabsight.operators.dedup import distinct_rows
+    monkeypatch.setattr(partitions, "PART_BYTES", 2**14)
+    left = spark.range(300).select("id", F.col("id").cast("string").alias("a"))
+    joined = left.join(left.withColumnRenamed("a", "b"), "id")
+    small = cut(joined)
+    assert partitions.parts_for(small) <= 3
+    pairs = left.join(small.select(F.col("id").alias("k"), "b"), F.col("id") == F.col("k"), "left")
+    assert distinct_rows(pairs).count() == 300 and distinct_rows(pairs).rdd.getNumPartitions() <= 8
+    kept = joined.select("*", F.lit(1).alias("one")).persist()
+    assert partitions.parts_for(kept.where("id > 0")) <= 3
+    kept.count()
+    assert partitions.parts_for(kept.where("id > 1")) <= 3
+    kept.unpersist()
+
+
 @pytest.mark.parametrize("odd", [False, True])
 def test_profile_takes_moments_and_pairs_from_one_scan(spark, monkeypatch, odd):
     """Shapes and correlations equal Spark's aggregates, with nulls and constants; only NaN or infinity make the profile use those aggregates."""
