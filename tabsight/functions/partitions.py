@@ -19,7 +19,7 @@ def spread(scan: DataFrame) -> DataFrame:
 PART_BYTES = 16 * 2**20  # of the files read, per task that holds whole rows
 
 
-def _known_bytes(spark, plan) -> int:
+def _plan_bytes(spark, plan) -> int:
     """Bytes of the files, kept tables and checkpoints that a plan reads, as far as they are known.
 
     A checkpoint, and a table that isn't kept yet, carry the optimizer's guess of the plan they came from, for a join the product of its sides. A checkpoint counts by
@@ -35,16 +35,20 @@ def _known_bytes(spark, plan) -> int:
                 path = spark._jvm.org.apache.hadoop.fs.Path(kept.get())
                 total += path.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(path).getLength()
         elif kind == "InMemoryRelation" and not leaf.cacheBuilder().isCachedColumnBuffersLoaded():
-            total += _known_bytes(spark, leaf.cacheBuilder().logicalPlan())
+            total += _plan_bytes(spark, leaf.cacheBuilder().logicalPlan())
         else:
             size = int(str(leaf.stats().sizeInBytes()))
             total += size if size < 2**60 else 0
     return total
 
 
+def known_bytes(df: DataFrame) -> int:
+    return _plan_bytes(df.sparkSession, df._jdf.queryExecution().optimizedPlan())
+
+
 def parts_for(df: DataFrame) -> int:
     """Tasks that the rows of a table need when each keeps its rows in memory: by the size of the files, kept tables and checkpoints it is made of, as far as they are known."""
-    return _known_bytes(df.sparkSession, df._jdf.queryExecution().optimizedPlan()) // PART_BYTES + 1
+    return known_bytes(df) // PART_BYTES + 1
 
 
 def more_than_scan(df: DataFrame) -> bool:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from ..functions.dates import parse_datetime
 from ..functions.distinct import distinct_counts, sketch
 from ..functions.fingerprint import row_hash
-from ..functions.lineage import written
+from ..functions.lineage import held_on_disk, written
 from ..functions.moments import SUMS, all_pair_sums, correlations, power_sums, shape_of
 from ..functions.numbers import (NUMERIC_TYPES, datetime_columns, kurtosis_agg, numeric_columns, pct, pearson_agg, ratio,
                                  sample_kurtosis, sample_skewness, skewness_agg, string_columns)
@@ -320,15 +320,15 @@ def _shapes_and_pairs(df: DataFrame, numeric: list[str], seen: dict[str, dict],
     return {r["column"]: r.asDict() for r in shapes}, pairs
 
 
-def full_profile(df: DataFrame, table_name: str, order_by=None, opts: Options = DEFAULTS) -> DataFrame:
-    """Everything the tagging rules read, one row per column.
+def full_profile(df: DataFrame, table_name: str, order_by=None, opts: Options = DEFAULTS, join_key: str | None = None) -> DataFrame:
+    """Everything the tagging rules read, one row per column. ``join_key`` names the column on which the rows of a large table are joined.
 
     One wide aggregate holds the sketch and the bounds of numbers; after it come the moments and correlations of numbers, the measures of texts, the exact counts and
     the quantiles, each over the whole table. The rows per column they give are put together on the driver.
     """
     numeric = numeric_columns(df)
     more = {c: {"_min": F.min(quoted(c)).cast("double"), "_max": F.max(quoted(c)).cast("double"), "_mean": F.avg(quoted(c).cast("double"))} for c in numeric}
-    with held(df):
+    with held_on_disk(df, join_key) as df:
         firsts, seen = first_values(df, df.columns, 3, order_by), sketch(df, more)
         shapes, pairs = _shapes_and_pairs(df, numeric, seen, opts)
         texts = _text_measures(df, seen, opts)

@@ -25,6 +25,7 @@ CATALOG = {
 }
 
 FILES = ("lineitem", "orders", "customer", "nation", "region", "part", *(t for t in CATALOG if t not in ("sales", "messy_sales")))
+JOINED_ON = {"messy_sales": "order_id", "sales": "order_id"}
 _profiles = {}
 
 
@@ -43,7 +44,7 @@ def catalog_profile(spark, d):
     state = tuple(sorted(tuple(map(str, r)) for f in files for r in f.collect()))
     key = (spark.sparkContext.applicationId, state)
     if key not in _profiles:
-        _profiles[key] = written(reduce(lambda a, b: a.unionByName(b), [P.full_profile(_load(spark, d, t), t) for t in CATALOG]), "profile")
+        _profiles[key] = written(reduce(lambda a, b: a.unionByName(b), [P.full_profile(_load(spark, d, t), t, join_key=JOINED_ON.get(t)) for t in CATALOG]), "profile")
     return _profiles[key]
 
 

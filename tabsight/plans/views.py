@@ -26,17 +26,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _star(spark, sf_dir, text: str) -> DataFrame:
-    """lineitem with the dimensions whose columns occur in ``text``."""
+    """lineitem with the dimensions whose columns occur in ``text``. Customers are joined to the orders, so that the rows of lineitem move once for their part and once for their order."""
     df = spread(table(spark, sf_dir, "lineitem"))
-    if any(c in text for c in ("o_", "c_", "r_name")):
-        df = df.join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
-    if any(c in text for c in ("c_mkt", "r_name")):
-        df = df.join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
-    if "r_name" in text:
-        df = (df.join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
-              .join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey")))
     if "p_" in text:
         df = df.join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    if any(c in text for c in ("o_", "c_", "r_name")):
+        orders = table(spark, sf_dir, "orders")
+        if any(c in text for c in ("c_mkt", "r_name")):
+            customer = table(spark, sf_dir, "customer")
+            if "r_name" in text:
+                customer = (customer.join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+                            .join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey")))
+            orders = orders.join(customer, F.col("o_custkey") == F.col("c_custkey"))
+        df = df.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
     return df
 
 

@@ -428,6 +428,45 @@ def test_rows_are_dealt_by_known_sizes_not_by_guesses(spark, monkeypatch):
     kept.unpersist()
 
 
+def test_profiled_rows_are_made_in_slices_and_leave_nothing(spark, sf, monkeypatch):
+    """Slices of the join key filter both sides before they move and give each row once, null keys too; the rows and the shuffles of every query are gone at the end."""
+    import os
+    from tabsight.functions import lineage
+    from tabsight.operators import profile as P
+    from tabsight.plans.views import sales
+    folder = lineage.shared_folder(spark).removeprefix("file://")
+    df = sales(spark, sf, "order_id", "customer_segment", "product_category", "net_sales")
+    want = sorted(map(tuple, df.collect()))
+    setting = spark.conf.get(lineage.SHUFFLE_CLEANUP)
+    monkeypatch.setattr(lineage, "SLICE_BYTES", lineage.known_bytes(df) // 3)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        one = df.where(F.pmod(F.xxhash64("order_id"), F.lit(4)) == 1)._jdf.queryExecution().optimizedPlan().toString()
+        assert one.count("pmod(xxhash64(l_orderkey") == one.count("pmod(xxhash64(o_orderkey") == 1
+        before = set(os.listdir(folder))
+        with lineage.held_on_disk(df, "order_id") as rows:
+            assert len(set(os.listdir(folder)) - before) == 1 and sorted(map(tuple, rows.collect())) == want
+            assert rows.dtypes == df.dtypes and not lineage.more_than_scan(rows)
+        assert set(os.listdir(folder)) == before and spark.conf.get(lineage.SHUFFLE_CLEANUP) == setting
+        monkeypatch.setattr(lineage, "SLICE_BYTES", 8)
+        odd = spark.createDataFrame([(None, 1.0), (None, 1.0), (3, None), (4, float("nan"))], "k long, v double").join(spark.range(2).select("id"))
+        assert lineage.known_bytes(odd) >= 16
+        with lineage.held_on_disk(odd, "k") as rows:
+            assert spark.conf.get(lineage.SHUFFLE_CLEANUP) == "true"
+            assert sorted(map(str, rows.collect())) == sorted(map(str, odd.collect()))
+        monkeypatch.setattr(lineage, "SLICE_BYTES", 2**40)
+        with pytest.raises(ZeroDivisionError), lineage.held_on_disk(df, "order_id"):
+            1 / 0
+        assert set(os.listdir(folder)) == before
+        monkeypatch.setattr(lineage, "SLICE_BYTES", lineage.known_bytes(df) // 3)
+        got = P.full_profile(df, "t", join_key="order_id").collect()
+        assert set(os.listdir(folder)) == before
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    monkeypatch.undo()
+    assert sorted(map(str, got)) == sorted(map(str, P.full_profile(df, "t").collect()))
+
+
 @pytest.mark.parametrize("odd", [False, True])
 def test_profile_takes_moments_and_pairs_from_one_scan(spark, monkeypatch, odd):
     """Shapes and correlations equal Spark's aggregates, with nulls and constants; only NaN or infinity make the profile use those aggregates."""
