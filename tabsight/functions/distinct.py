@@ -1,8 +1,8 @@
 """Exact numbers of different values per column without moving a cell's text.
 
 A sketch (one aggregate, nothing shuffled but its registers) says about how many values a column has, and where whole numbers lie. It decides how each column is
-counted exactly: few values in a small table inside every task, whole numbers that lie close together as bits of their range, everything else by
-fingerprints of 128 bits (or the value itself where it has no more bits), which are combined before they are shuffled.
+counted exactly: few values in a small table inside every task, whole numbers that lie close together as bits of their range, other numbers by
+themselves and everything else by fingerprints of 128 bits, which are combined before they are shuffled.
 """
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
@@ -12,6 +12,7 @@ from .text import quoted
 
 FEW = 1_000  # values by the sketch up to which a column is counted apart from larger ones
 DENSE = 64  # a range of at most so many places per value is counted in bits; a fingerprint takes 128
+PASS_CELLS = 50_000_000  # values that are counted in one pass: its shuffle lies on disk at once
 WHOLE = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 
 
@@ -39,6 +40,27 @@ def _prints(field: T.StructField) -> tuple[Column, Column]:
     return F.xxhash64(F.lit(1), c), F.xxhash64(F.lit(2), c)
 
 
+def _numbers(field: T.StructField) -> tuple[Column, ...]:
+    """What is shuffled for a value of a column of many: the number itself, or two fingerprints."""
+    if isinstance(field.dataType, (T.FloatType, T.DoubleType)):
+        return (quoted(field.name).cast("double") + F.lit(0.0),)  # one zero; grouped, NaN is one value
+    return _prints(field)[:1] if _whole(field) is not None else _prints(field)
+
+
+def _passes(fields: list[T.StructField], seen: dict[str, dict]) -> list[list[T.StructField]]:
+    """Columns that are counted in one scan: of one kind, and together of ``PASS_CELLS`` values unless one alone has more."""
+    passes: dict[tuple, list] = {}
+    room = {}
+    for f in fields:
+        kind = len(_numbers(f)), isinstance(f.dataType, (T.FloatType, T.DoubleType))
+        if kind not in room or seen[f.name]["values"] > room[kind]:
+            passes.setdefault(kind, []).append([])
+            room[kind] = PASS_CELLS
+        passes[kind][-1].append(f)
+        room[kind] -= seen[f.name]["values"]
+    return [p for own in passes.values() for p in own]
+
+
 def sketch(df: DataFrame, more: dict[str, dict[str, Column]] | None = None) -> dict[str, dict]:
     """Per column rows, values (not null), about how many different ones, and the range of whole numbers. ``more`` aggregates of a column ride along
     in the same scan."""
@@ -64,8 +86,8 @@ def distinct_counts(df: DataFrame, seen: dict[str, dict]) -> dict[str, int]:
             many.append(f)
     out = {}
 
-    def prints(fields):
-        cells = F.array(*[F.when(quoted(f.name).isNotNull(), F.struct(F.lit(i).alias("i"), *[p.alias(n) for p, n in zip(_prints(f), "ab")])) for i, f in enumerate(fields)])
+    def prints(fields, of=_prints):
+        cells = F.array(*[F.when(quoted(f.name).isNotNull(), F.struct(F.lit(i).alias("i"), *[p.alias(n) for p, n in zip(of(f), "ab")])) for i, f in enumerate(fields)])
         apart = df.select(F.explode(cells).alias("_c")).where("_c is not null").select("_c.*").distinct()
         return {fields[r["i"]].name: r["n"] for r in apart.groupBy("i").agg(F.count("*").alias("n")).collect()}
 
@@ -77,8 +99,8 @@ def distinct_counts(df: DataFrame, seen: dict[str, dict]) -> dict[str, int]:
         bits = df.select(F.explode(cells).alias("_c")).select("_c.*").where("bit is not null").groupBy("i", "bucket").agg(
             F.bitmap_count(F.bitmap_construct_agg("bit")).alias("n"))
         out |= {dense[r["i"]].name: r["n"] for r in bits.groupBy("i").agg(F.sum("n").alias("n")).collect()}
-    if many:
-        out |= prints(many)
+    for fields in _passes(many, seen):
+        out |= prints(fields, _numbers)
     return {f.name: out.get(f.name, 0) for f in df.schema}
 
 

@@ -467,6 +467,22 @@ def test_profiled_rows_are_made_in_slices_and_leave_nothing(spark, sf, monkeypat
     assert sorted(map(str, got)) == sorted(map(str, P.full_profile(df, "t").collect()))
 
 
+def test_many_values_are_counted_in_passes(spark, monkeypatch):
+    """Numbers are counted by themselves, with one zero and one NaN, and few columns at once; texts by fingerprints."""
+    from tabsight.functions import distinct as D
+    rows = [(i * 1.25 if i % 9 else None, float(i % 700) if i % 700 else (-0.0 if i % 2 else 0.0), i * 10**9, f"t{i % 900}") for i in range(2000)]
+    rows += [(float("nan"), float("nan"), 5, None)] * 3
+    df = spark.createDataFrame(rows, "a double, b float, c long, d string").repartition(4)
+    monkeypatch.setattr(D, "FEW", 10)
+    monkeypatch.setattr(D, "PASS_CELLS", 2500)
+    seen = D.sketch(df)
+    passes = D._passes(list(df.schema), seen)
+    assert sorted([f.name for f in p] for p in passes) == [["a"], ["b"], ["c"], ["d"]] and [len(D._numbers(f)) for f in df.schema] == [1, 1, 1, 2]
+    assert D.distinct_counts(df, seen) == {"a": 1778, "b": 701, "c": 2001, "d": 900}
+    monkeypatch.setattr(D, "PASS_CELLS", 10**6)
+    assert len(D._passes(list(df.schema), seen)) == 3 and D.distinct_counts(df, seen) == {"a": 1778, "b": 701, "c": 2001, "d": 900}
+
+
 @pytest.mark.parametrize("odd", [False, True])
 def test_profile_takes_moments_and_pairs_from_one_scan(spark, monkeypatch, odd):
     """Shapes and correlations equal Spark's aggregates, with nulls and constants; only NaN or infinity make the profile use those aggregates."""
